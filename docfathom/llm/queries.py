@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash
-from .common import documents
+from . import anomaly, packing, pii, quality, simhash
+from .common import documents, remainder
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    scored = quality.score(docs, model, ["doc_id"]).withColumnRenamed("_df_score", "score")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return anomaly.judge(docs, anomaly.fit(docs, labels))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
+    "op9_rules": op9_rules,
 }
 ORACLES: dict[str, str] = {}
