@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, langid, packing, pii, quality, simhash
+from . import anomaly, langid, lm, packing, pii, quality, simhash
 from .common import documents, remainder
 
 
@@ -44,6 +44,14 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.judge(docs, anomaly.fit(docs, labels))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    model, width = lm.fit(docs.where(~held_out).select("text"))
+    scored = lm.score(docs, model, width)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
@@ -51,5 +59,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_rules": op9_rules,
+    "op10_lm": op10_lm,
 }
 ORACLES: dict[str, str] = {}
