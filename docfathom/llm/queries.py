@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, langid, lm, packing, pii, quality, simhash
+from . import anomaly, decontam, langid, lm, packing, pii, quality, simhash
 from .common import documents, remainder
 
 
@@ -16,6 +16,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_decontam": op5_decontam,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_rules": op9_rules,
