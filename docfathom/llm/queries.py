@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, decontam, langid, lm, packing, pii, quality, simhash
+from . import anomaly, decontam, langid, licenses, lm, packing, pii, quality, simhash
 from .common import documents, remainder
 
 
@@ -20,6 +20,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_decontam": op5_decontam,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_rules": op9_rules,
