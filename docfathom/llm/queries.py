@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, decontam, langid, licenses, lm, packing, pii, quality, simhash
+from . import anomaly, decontam, langid, licenses, lines, lm, packing, pii, quality, simhash
 from .common import documents, remainder
 
 
@@ -30,6 +30,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup(documents(spark, sf_dir))
+    return kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_df_lines").cast("long").alias("n_lines"), F.size("_df_drop").cast("long").alias("n_dropped"),
+                       F.array_join("_df_drop", ",").alias("dropped"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -61,6 +67,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
