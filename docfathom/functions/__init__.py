@@ -1 +1 @@
-
+"""Column builders: text, hashes, scores."""

@@ -1 +1,6 @@
+"""The query catalogue: importing it registers every query."""
 
+from . import keyword
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "keyword"]
