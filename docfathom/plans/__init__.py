@@ -1,6 +1,6 @@
 """The query catalogue: importing it registers every query."""
 
-from . import keyword
+from . import keyword, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "keyword"]
+__all__ = ["ORACLES", "QUERIES", "keyword", "vectors"]
