@@ -1,6 +1,6 @@
 """The query catalogue: importing it registers every query."""
 
-from . import keyword, vectors
+from . import ingest, keyword, telemetry, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "keyword", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "ingest", "keyword", "telemetry", "vectors"]
