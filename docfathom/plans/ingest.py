@@ -115,12 +115,12 @@ def truncated_texts(spark, sf):
 
 
 @query("doc_health", """WITH l AS (SELECT l_orderkey AS doc_id, count(*) AS total, count(*) FILTER (l_returnflag = 'N') AS valid, count(*) FILTER (l_returnflag = 'A') AS repaired, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_quantity > 40) AS truncated, avg(l_discount) AS loss FROM lineitem GROUP BY 1)
-  SELECT doc_id, round(greatest(0, 0.4 * 75 + 30 * valid / total + 20 * (1 - failed / total) + 10 * (1 - repaired / total) - 10 * truncated / total * loss), 3) AS health FROM l""")
+  SELECT doc_id, round(greatest(0, 0.4 * 75 + 30 * valid / total + 20 * (1 - failed / total) + 10 * (1 - repaired / total) - 10 * truncated / total * loss) + 1e-7, 3) AS health FROM l""")
 def doc_health(spark, sf):
     """Lines of an order stand for chunks of a document"""
     flag = lambda f: F.count_if(F.col("l_returnflag") == f)
     rows = T.rollup(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), ["doc_id"], total=F.count(F.lit(1)), valid=flag("N"), repaired=flag("A"), failed=flag("R"), truncated=F.count_if(F.col("l_quantity") > 40), loss=F.avg("l_discount"))
-    return rows.select("doc_id", F.round(I.health(F.lit(75), *[F.col(c) for c in ("total", "valid", "repaired", "failed", "truncated", "loss")]), 3).alias("health"))
+    return rows.select("doc_id", F.round(I.health(F.lit(75), *[F.col(c) for c in ("total", "valid", "repaired", "failed", "truncated", "loss")]) + 1e-7, 3).alias("health"))
 
 
 @query("row_validation", """SELECT doc_id, concat_ws(',', CASE WHEN length(text) < 20 THEN 'text' END, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 5 THEN 'words' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'lang' END) AS errors FROM documents""")
