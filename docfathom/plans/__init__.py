@@ -1,6 +1,6 @@
 """The query catalogue: importing it registers every query."""
 
-from . import graph, ingest, keyword, telemetry, vectors
+from . import documents, graph, ingest, keyword, telemetry, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "ingest", "keyword", "telemetry", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "documents", "graph", "ingest", "keyword", "telemetry", "vectors"]
