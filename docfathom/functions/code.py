@@ -50,7 +50,7 @@ def by_language(code: Column, lang: Column, patterns: dict[str, str]) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    return path.rlike(r"(?i)(^|/)(tests?|__tests__|spec)(/|$)|(^|/)test_[^/]*$|[^/]*(_test|\.test|\.spec|Test|Tests|Spec)\.\w+$")
+    return path.rlike(r"(?i:(^|/)(tests?|__tests__|spec)(/|$)|(^|/)test_[^/]*$|(_test|\.test|\.spec)\.\w+$)|(Test|Tests|Spec)\.\w+$")
 
 
 def parsed(code: Column, path: Column) -> Column:
