@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         return pd.DataFrame({"i": every[w != 0], "w": w[w != 0]})
 
     found = texts.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, i array<int>, v array<float>")
-    model = found.withColumn("order", F.xxhash64("doc_id")).groupBy(F.lit(0)).applyInPandas(lambda f: fit(f), "i long, w double").toPandas()
+    model = found.withColumn("order", F.xxhash64("doc_id")).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda f: fit(f), "i long, w double").toPandas()
     return model["i"].to_numpy(np.int64), model["w"].to_numpy(float)
 
 
