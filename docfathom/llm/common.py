@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,15 +47,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/docfathom-{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing.
+
+    bucket_by: the table keeps its rows by that column in as many buckets as a shuffle has partitions, so that it joins and
+    aggregates by the column without a shuffle.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if bucket_by:
+        table = f"docfathom_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer.option("path", path).bucketBy(buckets, bucket_by).format("parquet").saveAsTable(table)
+        out = spark.table(table)
+    else:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out._docfathom_path = path
+    del df, writer
+    free(spark)
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan reads any more; Spark removes them when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by cut() that no later plan reads."""
     path = getattr(df, "_docfathom_path", None)
@@ -118,34 +138,45 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def linked_components(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], near: int = 8, block: int = 32) -> DataFrame:
-    """(node, comp) over all verified pairs that share a key, without all pairs of any bucket.
+def linked_components(keyed: DataFrame, texts: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], near: int = 8, leaders: int = 3, block: int = 64,
+                      prepare: Callable[[DataFrame], DataFrame] = lambda texts: texts) -> DataFrame:
+    """(node, comp) over all verified pairs that share a key, without all pairs of a bucket.
 
-    bucket_pairs() are verified first. Only pairs across components matter after that, so in each bucket of over
-    near + 1 rows the rows outside its first component are compared with the whole bucket, `block` of them a pass,
-    until none is left: nothing is capped. verify() takes (a, b) and returns those that hold.
+    texts (id, ...) hold what verify(pairs, texts) compares, once prepare() has seen those of candidates; it returns those of the pairs (a, b) that hold. First come
+    bucket_pairs(). After that only pairs across components matter. In buckets of over near + 1 rows, the rows that meet
+    most others elsewhere are compared with all rows of other components; then each row outside a bucket's first
+    component is compared with all rows of other components, `block` of them a pass. Nothing is capped.
     """
     raw = cut(bucket_pairs(keyed, near), "pairs")
-    links = cut(verify(raw.where("a < b").select("a", "b").distinct()), "links")
+    some = raw.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(prepare(texts.join(some.hint("shuffle_hash"), "id")), "texts")
+    links = cut(verify(raw.where("a < b").select("a", "b").distinct(), texts), "links")
     found = components(links)
-    done = 0
     rows = raw.where("big is not null").select(F.col("big").alias("key"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    if raw.where("big is not null").limit(1).count():
-        rows = cut(rows, "big")
-        while True:
-            labelled = rows.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            firsts = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
-            left = (labelled.join(firsts, "key").where("comp > low")
-                    .withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-                    .where(f"at > {done} and at <= {done + block}").select("key", F.col("id").alias("x"), F.col("comp").alias("xc")))
-            pairs = labelled.join(left, "key").where("comp <> xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            pairs = cut(pairs, "pairs")
-            if not pairs.limit(1).count():
-                break
-            more = cut(verify(pairs), "links")
-            if more.limit(1).count():
-                links, done = links.unionAll(more), 0
-                found = components(links)
-            else:
-                done += block
-    return found
+    rows = cut(rows, "big")
+    if rows.isEmpty():
+        return found
+
+    def cross(chosen: DataFrame, labelled: DataFrame) -> DataFrame:
+        pairs = labelled.join(chosen.select("key", F.col("id").alias("x"), F.col("comp").alias("xc")), "key").where("comp <> xc")
+        return verify(cut(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs"), texts)
+
+    def split_buckets() -> DataFrame:
+        labelled = rows.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
+        return cut(labelled.join(several, "key"), "labelled")
+
+    labelled = split_buckets()
+    if labelled.isEmpty():
+        return found
+    weight = labelled.join(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    first = labelled.join(weight, "id").withColumn("at", F.row_number().over(by_weight)).where(F.col("at") <= leaders)
+    links = links.unionAll(cut(cross(first, labelled), "links"))
+    found = components(links)
+    labelled = split_buckets()
+    rest = cut(labelled.where("comp > low").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))), "rest")
+    most = rest.agg(F.max("at")).first()[0] or 0
+    for done in range(0, most, block):
+        links = links.unionAll(cut(cross(rest.where((F.col("at") > done) & (F.col("at") <= done + block)), labelled), "links"))
+    return components(links) if most else found
