@@ -126,24 +126,34 @@ def mix(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of text ids whose shingle sets have at least this similarity."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes): the distinct shingle hashes of each text (id, text), in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
+
+
+def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of text ids whose shingle sets (id, hashes) have at least this similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != a:
-                    last = (a, np.unique(shingle_hashes(words_of(x), shingle)))
-                other = np.unique(shingle_hashes(words_of(y), shingle))
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(both >= least * (len(last[1]) + len(other) - both))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= least * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    likely = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))
+    return both.where(likely).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
@@ -152,7 +162,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, seg
     Candidates share a point within one bit of each in some segment, so they are at most two bits apart there; texts
     of any length compare by exact Jaccard similarity. Texts without a word are equal to each other.
     """
-    texts = cut(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"]), "texts")
+    texts = cut(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"]), "texts", bucket_by="id")
     bits = max(SEGMENT_BITS, math.ceil(math.log2(max(2, texts.count()))) + 4)
     per = 64 // bits
     fps = cut(long_fingerprints(texts, -(-segments // per), SHINGLE_FOR_SEGMENTS), "long")
@@ -160,7 +170,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, seg
     part = fps.select("id", F.posexplode(F.array(*cuts)).alias("seg", "v"))
     point = F.explode(F.array(F.col("v"), *ball(F.col("v"), bits)))
     keyed = part.select("id", "seg", point.alias("z")).select(F.col("z").bitwiseXOR(F.shiftleft(F.col("seg").cast("long"), 56)).alias("key"), "id")
-    return linked_components(keyed, lambda pairs: jaccard(pairs, texts, shingle, least)).withColumnRenamed("node", "id")
+    found = linked_components(keyed, texts, lambda pairs, sets: jaccard(pairs, sets, least), near=2, prepare=lambda some: shingle_sets(some, shingle))
+    return found.withColumnRenamed("node", "id")
 
 
 #: Shorter shingles move fewer bits than the five-word ones that decide.
