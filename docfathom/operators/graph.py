@@ -135,8 +135,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         lone = F.broadcast(rank.join(out, F.col("node") == F.col("u"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lone")))  # one row
         got = links.join(rank, F.col("u") == F.col("node")).groupBy("v").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         rank = nodes.join(got, F.col("node") == F.col("v"), "left").crossJoin(lone).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lone") / n)).alias("rank"))
-        if k % 5 == 4:
-            rank = rank.checkpoint()
+        rank = rank.checkpoint()  # the next round reads it twice
     return rank
 
 
@@ -150,8 +149,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
         y = x.join(got, F.col("node") == F.col("u"), "left").select("node", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("y"))
         norm = F.broadcast(y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm")))  # one row
         x = y.crossJoin(norm).select("node", (F.col("y") / F.col("norm")).alias("x"))
-        if k % 5 == 4:
-            x = x.checkpoint()
+        x = x.checkpoint()  # the next round reads it twice
     return x.withColumnRenamed("x", "centrality")
 
 
@@ -164,8 +162,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
         votes = both.join(label, F.col("v") == F.col("node")).groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("u").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
         label = label.join(best, F.col("node") == F.col("u"), "left").select("node", F.coalesce("best", "label").alias("label"))
-        if k % 3 == 2:
-            label = label.checkpoint()
+        label = label.checkpoint()  # the next round reads it twice
     return label
 
 
