@@ -7,9 +7,9 @@ point in common, and points of one bucket are at most two bits apart, so a bucke
 its pairs: the number of links grows with the fingerprints and not with the square of a group of copies. Plain
 segment tables would gather every fingerprint that shares a segment, which near copies by the thousand all do.
 
-similar_documents() serves a similarity of word shingles, such as 0.8 over five words. There, fingerprints are long
-(segments of their own hash seed each) and two documents become candidates when a segment is within two bits in the
-same sense; whole texts then decide by exact Jaccard similarity of their shingle sets.
+similar_documents() serves a similarity of word shingles, such as 0.8 over five words, and misses no pair: two sets of
+that similarity have a shingle in common among the first fifth of each, in any order that all texts share. The order
+puts rare shingles first, by a table of counts of fixed size; whole sets then decide by exact Jaccard similarity.
 
 Defined results: null text counts as empty; texts without a word have fingerprint zero and are linked like any other;
 rows that repeat get equal answers; an empty table gives no rows; other columns never meet internal names.
@@ -30,8 +30,10 @@ from .common import components, cut, linked_components
 
 SEED = 42
 SHINGLE = 3
-#: Segments of a long fingerprint, and bits of each for tables of up to a million texts; more bits beyond.
-SEGMENTS, SEGMENT_BITS = 8, 24
+#: Counters for how many texts hold a shingle; shingles share them by hash. Their number moves cost, never results.
+SLOTS = 1 << 18
+#: Keys handed on at once.
+ROWS = 100_000
 #: Hashes of a text that are unpacked at once.
 BLOCK = 1 << 15
 
@@ -104,26 +106,58 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(own.join(names, "comp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def long_fingerprints(texts: DataFrame, words: int, shingle: int) -> DataFrame:
-    """(id, fps): a SimHash of 64 times `words` bits of each text, each word of bits from a hash of its own."""
+def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), shingle))
+
+
+def slot_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each slot, how often texts (id, text) hold a shingle of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            found = [distinct_hashes(t, shingle) % np.uint64(SLOTS) for t in batch.column(0).to_pylist()]
+            count += np.bincount(np.concatenate([np.empty(0, np.int64), *[f.view(np.int64) for f in found]]), minlength=SLOTS)
+        held = count.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(count[held])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefix_keys(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(key, id): of each text (id, text) as many shingles, the rarest first, that texts of similarity `least` share one.
+
+    Of n shingles such a text shares least * n or more, so one of any n - least * n + 1 of them; of the shared ones the
+    first in the common order is in both prefixes. Texts without a word have the key 0.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
-            for text in batch.column(1).to_pylist():
-                base = shingle_hashes(words_of(text), shingle)
-                fps.append([signed(majority(mix(base, k))) for k in range(words)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["id", "fps"])
+            keys: list[np.ndarray] = []
+            ids: list[np.ndarray] = []
 
-    return texts.select("id", "text").mapInArrow(run, "id long, fps array<long>")
+            def out() -> pa.RecordBatch:
+                done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+                keys.clear()
+                ids.clear()
+                return done
 
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = distinct_hashes(text, shingle)
+                first = len(h) - math.ceil(least * len(h) - 1e-9) + 1
+                rare = np.lexsort((h, counts.value[h % np.uint64(SLOTS)]))[:first]
+                keys.append(h[rare].view(np.int64) if len(h) else np.zeros(1, np.int64))
+                ids.append(np.full(len(keys[-1]), ident, np.int64))
+                if sum(map(len, keys)) > ROWS:
+                    yield out()
+            if keys:
+                yield out()
 
-def mix(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of the same shingles, by the finaliser of a splitmix generator."""
-    x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return texts.select("id", "text").mapInArrow(run, "key long, id long")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -131,7 +165,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [distinct_hashes(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
@@ -156,28 +190,17 @@ def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(likely).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, comp) of the texts that are linked to another: id is xxhash64 of the text, comp the smallest linked id.
 
-    Candidates share a point within one bit of each in some segment, so they are at most two bits apart there; texts
-    of any length compare by exact Jaccard similarity. Texts without a word are equal to each other.
+    Candidates share a key of prefix_keys(); texts of any length compare by exact Jaccard similarity. Texts without a
+    word are equal to each other.
     """
     texts = cut(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"]), "texts", bucket_by="id")
-    bits = max(SEGMENT_BITS, math.ceil(math.log2(max(2, texts.count()))) + 4)
-    per = 64 // bits
-    fps = cut(long_fingerprints(texts, -(-segments // per), SHINGLE_FOR_SEGMENTS), "long")
-    cuts = [F.shiftrightunsigned(F.col("fps")[s // per], s % per * bits).bitwiseAND(F.lit((1 << bits) - 1)) for s in range(segments)]
-    part = fps.select("id", F.posexplode(F.array(*cuts)).alias("seg", "v"))
-    point = F.explode(F.array(F.col("v"), *ball(F.col("v"), bits)))
-    keyed = part.select("id", "seg", point.alias("z")).select(F.col("z").bitwiseXOR(F.shiftleft(F.col("seg").cast("long"), 56)).alias("key"), "id")
-    found = linked_components(keyed, texts, lambda pairs, sets: jaccard(pairs, sets, least), near=2, prepare=lambda some: shingle_sets(some, shingle))
+    found = linked_components(prefix_keys(texts, shingle, least), texts, lambda pairs, sets: jaccard(pairs, sets, least), near=2, prepare=lambda some: shingle_sets(some, shingle))
     return found.withColumnRenamed("node", "id")
 
 
-#: Shorter shingles move fewer bits than the five-word ones that decide.
-SHINGLE_FOR_SEGMENTS = 2
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs without those near-duplicate to a kept one: of each group the row of the smallest doc_id stays.
 

@@ -78,3 +78,18 @@ def test_keep_one_odd_rows(docs_of):
     assert sorted(t for t in kept if t and t.strip()) == sorted({t for t in ODD if t and t.strip()})
     group = simhash.keep_one(docs_of([prose(1, 60)] * 300 + [prose(2, 60)])).collect()
     assert sorted(r.doc_id for r in group) == [0, 300]
+
+
+def test_keep_one_finds_contiguous_edits(docs_of):
+    """Appended and replaced passages at a similarity just over 0.8: no pair is lost."""
+    base = [prose(9000 + k, 200 if k % 3 else 800) for k in range(200)]
+    copies = []
+    for k, t in enumerate(base):
+        words = t.split()
+        new = prose(20_000 + k, len(words)).split()
+        copies.append(" ".join(words + new[: len(words) * 24 // 100] if k % 2 else new[: len(words) // 10] + words[len(words) // 10 :]))
+    similar = {200 + k for k in range(200) if jaccard(base[k], copies[k]) >= 0.8}
+    assert len(similar) >= 190
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(base + copies)).collect()}
+    assert set(range(200)) <= kept
+    assert not similar & kept and not ({200 + k for k in range(200)} - similar) - kept
