@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_COMPONENT = 2_000_000
+#: Nodes of one value that are joined with as many others under one key.
+BLOCK = 200
 # Severity by relationship, and synonyms of relationships.
 SEVERITY = {"conflict": 1.0, "partial_conflict": 0.6, "duplicate": 0.3, "consistent": 0.0}
 SYNONYMS = {
@@ -77,16 +79,23 @@ def conflict_score(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(total, F.col("node") == F.col("u"), "left").select("node", F.coalesce("s", F.lit(0.0)).alias("conflict"))
 
 
-def shared_value_edges(rows: DataFrame, most: int = 200) -> DataFrame:
-    """(a, b, shared) of rows (node, value): pairs that share values and how many. A value of over `most` nodes links its nodes
-    to its first one alone, so that a common value gives a star and not all its pairs."""
-    rows = rows.distinct()
-    w = Window.partitionBy("value")
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("first", F.min("node").over(w))
-    small, large = sized.where(F.col("n") <= most), sized.where(F.col("n") > most)
-    pairs = small.select("value", F.col("node").alias("a")).join(small.select("value", F.col("node").alias("b")), "value").where("a < b").select("a", "b", "value")
-    stars = large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), "value")
-    return pairs.unionByName(stars).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def shared_value_edges(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b, shared) of rows (node, value): all pairs that share values and how many.
+
+    Nodes of a common value are dealt into blocks of about BLOCK, and each two blocks are joined under a key of their own, so
+    that no task holds all pairs of a value. Only where `most` is given, a value of over `most` nodes links its nodes to its
+    first one alone, so that a common value gives a star and not all its pairs."""
+    rows = rows.dropna(subset=["node", "value"]).select("node", "value").distinct()
+    sized = rows.join(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")), "value")
+    small = sized if most is None else sized.where(F.col("n") <= most)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = small.select("value", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("at"))
+    left = dealt.select("value", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j"), F.col("node").alias("u"))
+    right = dealt.select("value", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.col("node").alias("v"))
+    pairs = left.join(right, ["value", "i", "j"]).where("i < j or u < v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    if most is not None:
+        pairs = pairs.unionByName(sized.where((F.col("n") > most) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -96,6 +96,18 @@ def test_edges(spark):
     assert G.shared_value_edges(common, most=10).count() == 50 and G.shared_value_edges(common, most=100).count() == 50 * 49 // 2
 
 
+def test_common_values_give_all_pairs(spark):
+    held = {1: range(450), 2: range(400, 700), 3: (1, 2, 449, 650), 4: (5,)}
+    want = {}
+    for nodes in held.values():
+        for b in nodes:
+            for a in nodes:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    rows = spark.createDataFrame([(k, v) for v, nodes in held.items() for k in nodes] + [(1, 1), (None, 1), (7, None)], "node long, value long")
+    assert {(r.a, r.b): r.shared for r in G.shared_value_edges(rows).collect()} == want
+
+
 def test_layers(spark):
     nodes = spark.createDataFrame([(k,) for k in range(5)], "node long")
     arcs = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (4, 3)], "u long, v long")
