@@ -25,25 +25,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 1_000
-#: Languages learned at most, the most frequent ones: a bound for the sample and the model.
-LANGUAGES = 200
 ENTRIES = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 MIN_COUNT = 2
 CERTAIN = 12
 MEMO = 300_000
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a word that its n-grams are taken from; the rest of a longer one adds nothing new.
-LONGEST = 400
+#: n-grams of a word that are held at once: a run of letters without spaces can be as long as its text.
+BLOCK = 10_000
+#: Counts that a task holds before it hands them on.
+HELD = 500_000
 
 
 def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f"<{word[:LONGEST]}>"
-    return [marked[k : k + n] for k in range(len(marked) - n + 1)]
+def grams(word: str, n: int) -> list[list[str]] | Iterator[list[str]]:
+    """All n-grams of a whole word, in blocks."""
+    marked = f"<{word}>"
+    last = len(marked) - n + 1
+    if last <= BLOCK:
+        return [[marked[k : k + n] for k in range(last)]]
+    return ([marked[k : k + n] for k in range(at, min(at + BLOCK, last))] for at in range(0, last, BLOCK))
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -63,9 +67,14 @@ def counted(docs: DataFrame) -> DataFrame:
                 for word, n in words_of(text).items():
                     c[0, word] += n
                     for k in ORDERS:
-                        for g in grams(word, k):
-                            c[k, g] += 1
-            if sum(map(len, seen.values())) > 500_000:
+                        for part in grams(word, k):
+                            for g in part:
+                                c[k, g] += 1
+                            if len(part) == BLOCK and sum(map(len, seen.values())) > HELD:
+                                yield out()
+                                seen.clear()
+                                c = seen.setdefault(lang, Counter())
+            if sum(map(len, seen.values())) > HELD:
                 yield out()
                 seen.clear()
         yield out()
@@ -97,9 +106,14 @@ class Model:
         if row is not None:
             return self.table[row]
         for n in ORDERS:
-            rows = [r for g in grams(word, n) if (r := self.known[n].get(g)) is not None]
-            if rows:
-                return self.table[rows].mean(axis=0)
+            total, held = np.zeros(len(self.langs)), 0
+            for part in grams(word, n):
+                rows = [r for g in part if (r := self.known[n].get(g)) is not None]
+                if rows:
+                    total += self.table[rows].sum(axis=0)
+                    held += len(rows)
+            if held:
+                return total / held
         return np.zeros(len(self.langs))
 
     def predict(self, words: Counter, memo: dict[str, np.ndarray]) -> tuple[str, float]:
@@ -118,10 +132,10 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENTRIES) -> Model:
-    """From rows (doc_id, text, lang). Sample, counts and tables are bounded by the parameters."""
+    """From rows (doc_id, text, lang). All languages of the rows are learned; what is read of each and the table's entries are bounded by the parameters."""
     docs = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = F.broadcast(sizes.select(F.col("lang"), (F.lit(float(per_language)) / F.col("count")).alias("share")))
+    sizes = docs.groupBy("lang").count()
+    share = F.broadcast(sizes.select(F.col("lang"), (F.lit(float(per_language)) / F.col("count")).alias("share")))  # a row a language
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col("doc_id")), 11) / F.lit(float(1 << 53))
     chosen = docs.join(share, "lang").where(chance < F.col("share")).select("lang", "text")
     count = counted(chosen).where(f"n >= {MIN_COUNT}").persist()

@@ -32,6 +32,24 @@ def test_language(spark, docs_of):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_of_unbroken_text(spark):
+    run = lambda letters, seed, n: "".join(random.Random(seed).choice(letters) for _ in range(n))
+    letters = {"xx": "अआइईउऊऋएऐओऔकखगघङ", "yy": "一丁七丈三上下不与丐丑专且世丘丙"}
+    rows = [(k, run(letters[lang], k, 300), lang) for k, lang in enumerate(["xx", "yy"] * 30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = [run(letters["xx"], 100, 410) + run(letters["yy"], 101, 5_000), run(letters["yy"], 102, 410) + run(letters["xx"], 103, 250_000)]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()} == {0: "yy", 1: "xx"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, " ".join([f"{chr(0x4E00 + k // 3)}{chr(0x6E00 + k // 3)}"] * 5), f"l{k // 3:03}") for k in range(690)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 230
+    assert all(r.lang_pred == f"l{r.doc_id // 3:03}" for r in langid.identify(docs, model).collect())
+
+
 def test_quality(spark, docs_of):
     bad = lambda k: " ".join(w + random.Random(k).choice(["###", "$$$", "%%%"]) for w in prose(k, 50).split())
     rows = [(k, bad(k) if k % 4 == 0 else prose(k, 50)) for k in range(400)]
