@@ -1,4 +1,4 @@
-"""Shared parts: scratch tables, bucket pairs, distributed components, deterministic samples."""
+"""Shared parts: scratch tables, MinHash buckets, distributed components, deterministic samples."""
 
 from __future__ import annotations
 
@@ -6,10 +6,22 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: MinHash signatures: columns of four hashes, and hashes in all.
+BANDS = 12
+LANES = 4 * BANDS
+#: Hashes in which two signatures agree, at least: at a similarity of 0.8 all but 2 in 100,000 pairs do.
+AGREE = 26
+#: Further hashes in the key of a bucket that is dealt anew.
+FINER = 3
+#: A bucket of one row more is compared whole.
+NEAR = 4
+#: Rows of a bucket that are sorted together.
+PART = 10_000
 #: Rows in one Arrow batch; a batch of long texts must fit beside the worker.
 BATCH_ROWS = 500
 
@@ -63,7 +75,7 @@ def cut(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     else:
         writer.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
-    out._docfathom_path = path
+    out._docfathom_path, out._docfathom_table = path, table if bucket_by else None
     del df, writer
     free(spark)
     return out
@@ -77,9 +89,11 @@ def free(spark: SparkSession) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by cut() that no later plan reads."""
-    path = getattr(df, "_docfathom_path", None)
+    path, table = getattr(df, "_docfathom_path", None), getattr(df, "_docfathom_table", None)
     if path:
         spark = df.sparkSession
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -94,21 +108,60 @@ def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
-def bucket_pairs(keyed: DataFrame, near: int) -> DataFrame:
-    """Candidate pairs of a table (key, id): linear in its rows whatever the bucket sizes.
+def lane(at: int) -> Column:
+    """One of the LANES 16-bit parts of the columns s0, s1, ... of a signature."""
+    return F.shiftrightunsigned(F.col(f"s{at // 4}"), 16 * (at % 4)).bitwiseAND(F.lit(0xFFFF))
 
-    Each row of a bucket, in id order, meets the bucket's first row and the `near` rows before it, so a bucket of up
-    to near + 1 rows gives all its pairs. Rows of larger buckets carry the key (`big`), for cross_pairs().
-    Returns (a, b, big) with a < b; pairs can repeat.
+
+def band_rows(sigs: DataFrame) -> DataFrame:
+    """(key, id, comp, band, last) for each band of each signature, as deal() takes them."""
+    bands = F.array(*[F.struct(F.xxhash64(F.lit(b), F.col(f"s{b}")).alias("key"), F.lit(b).cast("byte").alias("band")) for b in range(BANDS)])
+    rows = sigs.select("id", F.explode(bands).alias("at"))
+    return rows.select("at.key", "id", F.col("id").alias("comp"), "at.band", F.lit(-1).cast("byte").alias("last"))
+
+
+def finer_rows(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of buckets that are too large, dealt anew: by the key and a group of FINER further lanes, each group after the last one used."""
+    groups = []
+    for j in range(LANES // FINER):
+        lanes = range(j * FINER, (j + 1) * FINER)
+        value = reduce(lambda x, y: F.shiftleft(x, 16).bitwiseOR(y), map(lane, lanes))
+        own = F.col("band").isin(sorted({at // 4 for at in lanes}))
+        groups.append(F.when((F.col("last") < j) & ~own, F.struct(F.xxhash64("key", F.lit(j), value).alias("key"), F.lit(j).cast("byte").alias("last"))))
+    found = rows.join(sigs, "id").select("id", "comp", "band", F.explode(F.array_compact(F.array(*groups))).alias("at"))
+    return found.select("at.key", "id", "comp", "band", "at.last")
+
+
+def deal(rows: DataFrame) -> DataFrame:
+    """rows in buckets that hold two components or more, with the bucket's size n, its smallest id and the NEAR ids before it there.
+
+    Sizes and smallest ids are aggregated before the shuffle and joined back, and rows of a large bucket are sorted in
+    parts of about PART rows: no bucket, however large, needs one task.
     """
-    by_id = Window.partitionBy("key").orderBy("id")
-    rows = keyed.select("key", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"),
-                        F.first("id").over(by_id).alias("head"),
-                        *[F.lag("id", i).over(by_id).alias(f"p{i}") for i in range(1, near + 1)])
-    others = F.array_distinct(F.array_compact(F.array("head", *[f"p{i}" for i in range(1, near + 1)])))
-    return (rows.where("n > 1")
-            .select(F.explode(others).alias("a"), F.col("id").alias("b"), F.when(F.col("n") > near + 1, F.col("key")).alias("big"))
-            .where((F.col("a") < F.col("b")) | F.col("big").isNotNull()))
+    several = cut(rows.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+                  .where("low < high").select("key", "head", "n"), "buckets")
+    part = F.when(F.col("n") > PART, F.pmod("id", F.ceil(F.col("n") / PART))).otherwise(F.lit(0))
+    by_id = Window.partitionBy("key", "part").orderBy("id")
+    found = rows.join(several, "key").withColumn("part", part)
+    found = cut(found.select("key", "id", "comp", "band", "last", "head", "n", *[F.lag("id", i).over(by_id).alias(f"p{i}") for i in range(1, NEAR + 1)]), "dealt")
+    discard(several)
+    return found
+
+
+def bucket_pairs(dealt: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b: all of a bucket of up to NEAR + 1 rows; of a larger one each row with its head and the one before it."""
+    small = F.array(*[F.col(f"p{i}") for i in range(1, NEAR + 1)])
+    others = F.when(F.col("n") <= NEAR + 1, small).otherwise(F.array("head", "p1"))
+    return dealt.select(F.explode(F.array_compact(others)).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+
+
+def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures agree on AGREE of LANES lanes."""
+    parts = [f"s{k}" for k in range(BANDS)]
+    both = pairs.join(sigs.select(F.col("id").alias("a"), *[F.col(p).alias(f"a{p}") for p in parts]), "a")
+    both = both.join(sigs.select(F.col("id").alias("b"), *[F.col(p).alias(f"b{p}") for p in parts]), "b")
+    both = both.select("a", "b", *[F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}")).alias(p) for p in parts])
+    return both.where(sum((lane(k) == 0).cast("int") for k in range(LANES)) >= AGREE).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,52 +184,40 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
         if was == mark:
             break
-    return now.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+    out = cut(now.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()), "components")
+    discard(now)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def linked_components(keyed: DataFrame, texts: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], near: int = 8, leaders: int = 3, block: int = 64,
-                      prepare: Callable[[DataFrame], DataFrame] = lambda texts: texts) -> DataFrame:
-    """(node, comp) over all verified pairs that share a key, without all pairs of a bucket.
+def linked_components(sigs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, comp): comp is the smallest id reachable over verified pairs of MinHash candidates.
 
-    texts (id, ...) hold what verify(pairs, texts) compares, once prepare() has seen those of candidates; it returns those of the pairs (a, b) that hold. First come
-    bucket_pairs(). After that only pairs across components matter. In buckets of over near + 1 rows, the rows that meet
-    most others elsewhere are compared with all rows of other components; then each row outside a bucket's first
-    component is compared with all rows of other components, `block` of them a pass. Nothing is capped.
+    sigs (id, s0, ...) hold MinHashes of 16 bits, four to a column; each column is a band. Rows of one band key are a
+    bucket. A bucket of up to NEAR + 1 rows is compared whole; in a larger one each row meets the first one and the one
+    before it, and while such a bucket holds several components its rows are dealt anew by further lanes, until all
+    buckets are small or of one component. Pairs whose signatures agree on too few lanes are dropped before
+    verify(pairs), which returns those of the pairs (a, b) that hold. Work is in proportion to the rows of a bucket.
     """
-    raw = cut(bucket_pairs(keyed, near), "pairs")
-    some = raw.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(prepare(texts.join(some.hint("shuffle_hash"), "id")), "texts")
-    links = cut(verify(raw.where("a < b").select("a", "b").distinct(), texts), "links")
-    found = components(links)
-    rows = raw.where("big is not null").select(F.col("big").alias("key"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = cut(rows, "big")
-    if rows.isEmpty():
-        return found
-
-    def cross(chosen: DataFrame, labelled: DataFrame) -> DataFrame:
-        pairs = labelled.join(chosen.select("key", F.col("id").alias("x"), F.col("comp").alias("xc")), "key").where("comp <> xc")
-        return verify(cut(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs"), texts)
-
-    def split_buckets() -> DataFrame:
-        labelled = rows.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
-        return cut(labelled.join(several, "key"), "labelled")
-
-    labelled = split_buckets()
-    if labelled.isEmpty():
-        return found
-    weight = labelled.join(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-    first = labelled.join(weight, "id").withColumn("at", F.row_number().over(by_weight)).where(F.col("at") <= leaders)
-    links = links.unionAll(cut(cross(first, labelled), "links"))
-    found = components(links)
-    labelled = split_buckets()
-    rest = cut(labelled.where("comp > low").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id"))), "rest")
-    most = rest.agg(F.max("at")).first()[0] or 0
-    for done in range(0, most, block):
-        links = links.unionAll(cut(cross(rest.where((F.col("at") > done) & (F.col("at") <= done + block)), labelled), "links"))
-    return components(links) if most else found
+    found, dealt = None, deal(band_rows(sigs))
+    while True:
+        links = cut(verify(agreeing(bucket_pairs(dealt), sigs)), "links")
+        if found is None or not links.isEmpty():
+            stars = links if found is None else links.unionAll(found.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
+            found, was = components(stars), found
+            if was is not None:
+                discard(was)
+        discard(links)
+        large = dealt.where(F.col("n") > NEAR + 1).select("key", "id", "band", "last")
+        large = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        rows = cut(large.join(mixed, "key"), "mixed")
+        discard(dealt)
+        if rows.isEmpty():
+            discard(rows)
+            return found
+        dealt = deal(finer_rows(rows, sigs))
+        discard(rows)

@@ -7,9 +7,9 @@ point in common, and points of one bucket are at most two bits apart, so a bucke
 its pairs: the number of links grows with the fingerprints and not with the square of a group of copies. Plain
 segment tables would gather every fingerprint that shares a segment, which near copies by the thousand all do.
 
-similar_documents() serves a similarity of word shingles, such as 0.8 over five words, and misses no pair: two sets of
-that similarity have a shingle in common among the first fifth of each, in any order that all texts share. The order
-puts rare shingles first, by a table of counts of fixed size; whole sets then decide by exact Jaccard similarity.
+similar_documents() serves a similarity of word shingles, such as 0.8 over five words, which two bits of a SimHash
+cannot: such texts differ in about ten of 64 bits. Its candidates are MinHash bands, alike at every table size, and
+whole sets then decide by exact Jaccard similarity.
 
 Defined results: null text counts as empty; texts without a word have fingerprint zero and are linked like any other;
 rows that repeat get equal answers; an empty table gives no rows; other columns never meet internal names.
@@ -17,7 +17,7 @@ rows that repeat get equal answers; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, linked_components
+from .common import BANDS, LANES, components, cut, discard, linked_components
 
 SEED = 42
 SHINGLE = 3
-#: Counters for how many texts hold a shingle; shingles share them by hash. Their number moves cost, never results.
-SLOTS = 1 << 18
-#: Keys handed on at once.
-ROWS = 100_000
+_random = random.Random(21)
+MASKS = np.array([_random.getrandbits(64) for _ in range(LANES)], np.uint64)
 #: Hashes of a text that are unpacked at once.
 BLOCK = 1 << 15
 
@@ -110,94 +108,57 @@ def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), shingle))
 
 
-def slot_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """For each slot, how often texts (id, text) hold a shingle of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            found = [distinct_hashes(t, shingle) % np.uint64(SLOTS) for t in batch.column(0).to_pylist()]
-            count += np.bincount(np.concatenate([np.empty(0, np.int64), *[f.view(np.int64) for f in found]]), minlength=SLOTS)
-        held = count.nonzero()[0]
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(count[held])], names=["slot", "n"])
-
-    found = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return out
-
-
-def prefix_keys(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(key, id): of each text (id, text) as many shingles, the rarest first, that texts of similarity `least` share one.
-
-    Of n shingles such a text shares least * n or more, so one of any n - least * n + 1 of them; of the shared ones the
-    first in the common order is in both prefixes. Texts without a word have the key 0.
-    """
-    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list[np.ndarray] = []
-            ids: list[np.ndarray] = []
-
-            def out() -> pa.RecordBatch:
-                done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
-                keys.clear()
-                ids.clear()
-                return done
-
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = distinct_hashes(text, shingle)
-                first = len(h) - math.ceil(least * len(h) - 1e-9) + 1
-                rare = np.lexsort((h, counts.value[h % np.uint64(SLOTS)]))[:first]
-                keys.append(h[rare].view(np.int64) if len(h) else np.zeros(1, np.int64))
-                ids.append(np.full(len(keys[-1]), ident, np.int64))
-                if sum(map(len, keys)) > ROWS:
-                    yield out()
-            if keys:
-                yield out()
-
-    return texts.select("id", "text").mapInArrow(run, "key long, id long")
+def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the low 16 bits of its MinHashes, four to a column; an empty set is one of its own."""
+    every = np.concatenate([np.append(h, np.uint64(0)) if not len(h) else h for h in sets])
+    edges = np.cumsum([0, *(max(1, len(h)) for h in sets[:-1])])
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for k, mask in enumerate(MASKS):
+        least = np.minimum.reduceat(every ^ mask, edges)
+        out[:, k // 4] |= (least & np.uint64(0xFFFF)) << np.uint64(16 * (k % 4))
+    return out.view(np.int64)
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes): the distinct shingle hashes of each text (id, text), in order."""
+def signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, s0, ...) of each text (id, text), as linked_components() takes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [distinct_hashes(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
+            if batch.num_rows:
+                found = min_hashes([distinct_hashes(t, shingle) for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["id", *(f"s{k}" for k in range(BANDS))])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
+    return texts.select("id", "text").mapInArrow(run, ", ".join(["id long", *(f"s{k} long" for k in range(BANDS))]))
 
 
-def jaccard(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of text ids whose shingle sets (id, hashes) have at least this similarity."""
+def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of text ids whose sets of shingles have at least this similarity; texts without a word are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = x.values.to_numpy(), y.values.to_numpy()
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = distinct_hashes(x, shingle), distinct_hashes(y, shingle)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= least * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    likely = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))
-    return both.where(likely).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, comp) of the texts that are linked to another: id is xxhash64 of the text, comp the smallest linked id.
 
-    Candidates share a key of prefix_keys(); texts of any length compare by exact Jaccard similarity. Texts without a
-    word are equal to each other.
+    Candidates come from linked_components(); texts of any length compare by exact Jaccard similarity.
     """
-    texts = cut(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"]), "texts", bucket_by="id")
-    found = linked_components(prefix_keys(texts, shingle, least), texts, lambda pairs, sets: jaccard(pairs, sets, least), near=2, prepare=lambda some: shingle_sets(some, shingle))
+    text = F.coalesce("text", F.lit(""))
+    texts = cut(docs.select(F.xxhash64(text).alias("id"), text.alias("text")).dropDuplicates(["id"]), "texts", bucket_by="id")
+    sigs = cut(signatures(texts, shingle), "signatures", bucket_by="id")
+    found = linked_components(sigs, lambda pairs: jaccard(pairs, texts, shingle, least))
+    discard(sigs)
+    discard(texts)
     return found.withColumnRenamed("node", "id")
 
 
