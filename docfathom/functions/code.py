@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +65,52 @@ def parsed(code: Column, path: Column) -> Column:
                     by_language(code, lang, FUNCTIONS).alias("functions"), by_language(code, lang, CLASSES).alias("classes"), endpoints.alias("endpoints"),
                     pick(SERVICE_CALLS).alias("calls"), pick(TABLES).alias("tables"), pick(URLS, 0).alias("urls"), pick(QUEUES).alias("queues"),
                     F.array_sort(F.array_distinct(F.concat(maven, found(code, GRADLE, 1)))).alias("dependencies"), is_test(path).alias("is_test"))
+
+
+# Words that name nothing by themselves.
+NO_EXPORTS = tuple(
+    "the a an and or but if then else which that this these those is are was were be been being have has had do does did will would should could may might can must for to of in on at by from as with about "
+    "into up through during before after above below between under again further once where when why how what who whom whose your our their my his her its we me him you he she it i not no nor only same so "
+    "than too very just am pm get put post delete patch head options trace connect".split()
+)
+
+
+def valid_export(value: Column) -> Column:
+    """Whether a name says anything: longer than one character, and not of words of NO_EXPORTS alone."""
+    clean = F.lower(F.trim(value))
+    parts = F.filter(F.split(clean, "[-_/:]"), lambda t: (t != "") & ~t.isin(*NO_EXPORTS))
+    return F.coalesce((F.length(clean) > 1) & ~clean.isin(*NO_EXPORTS) & (F.size(parts) > 0), F.lit(False))
+
+
+def config(code: Column, path: Column) -> Column:
+    """Struct of what Mule flows, Camel routes, beans, properties, pages and SQL scripts declare: kind, exports, endpoints, calls, services, queues, databases, service_name, service_type."""
+    name = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
+    ext = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
+    mule = path.rlike("-mule\\.xml$") | code.contains("<mule")
+    camel = ~mule & (code.contains("<route") | code.contains("<camelContext"))
+    kind = F.when(ext == "xml", F.when(mule, "mule").when(camel, "camel").otherwise("xml")).when(ext.isin("properties", "yml", "yaml"), "properties").when(ext == "html", "html").when(ext == "sql", "sql").otherwise("other")
+    pick = lambda p, g=1: F.array_distinct(F.filter(found(code, p, g), lambda h: h != ""))
+    none = F.array().cast("array<string>")
+    by = lambda **of: F.array_sort(reduce(lambda out, k: F.when(kind == k, of[k]).otherwise(out), of, none))
+    title = F.transform(pick(r"(?i)<title>([^<]+)</title>"), lambda t: F.trim(t))
+    tables = pick(r"(?i)(?:from|join)\s+([A-Za-z0-9_.]+)")
+    exports = by(mule=pick(r'<flow\s+name="([^"]+)"'), camel=F.transform(pick(r'<route\s+id="([^"]+)"'), lambda r: F.concat(F.lit("CamelRoute:"), r)), xml=pick(r'<bean\s+id="([^"]+)"'), html=title, sql=tables)
+    ends = F.filter(F.concat(pick(r'<from\s+uri="([^"]+)"'), pick(r'<to\s+uri="([^"]+)"')), valid_export)
+    parts = F.transform(pick(r"camel\.component\.([a-z0-9]+)\.[a-z0-9.]+\s*="), lambda c: F.concat(F.lit("camel-"), c))
+    calls = by(mule=F.array_union(pick(r"<(?:http|jms|kafka|db):(\w+)"), pick(r'<flow-ref\s+name="([^"]+)"')), camel=F.array_union(pick(r'ref="([^"]+)"'), pick(r'bean="([^"]+)"')), xml=pick(r'class="([^"]+)"'))
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    service = F.when(kind == "mule", F.coalesce(F.nullif(F.regexp_extract(path, r"(?:^|\W)(\w+)-mule\.xml$", 1), F.lit("")), name)).when(kind == "html", F.coalesce(first(title), name)).when(kind == "sql", F.coalesce(first(tables), name)).otherwise(name)
+    spring = code.contains("camel.") | code.contains("camel:")
+    return F.struct(kind.alias("kind"), exports.alias("exports"), by(mule=pick(r'path="([^"]*)"'), camel=ends, properties=parts).alias("endpoints"), calls.alias("calls"),
+                    by(mule=pick(r'<http:request\s+(?:[^>]*?)path="([^"]+)"'), properties=pick(r"(?:service\.url|endpoint|baseUrl|\.url)[.\w]*\s*=\s*(https?:[\w:/.]+)")).alias("services"),
+                    by(properties=pick(r"(?:queue|topic|channel)[:\w.]*\s*=\s*([^\n]+)")).alias("queues"), by(properties=pick(r"(?:jdbc|datasource)[:\w.]*url\s*=\s*([^\n]+)")).alias("databases"), service.alias("service_name"),
+                    F.when(kind == "mule", "mule-flow").when(kind == "camel", "camel-xml-route").when((kind == "properties") & spring, "spring-boot-camel").when((kind == "sql") & (F.size(tables) > 0), "sql-script").alias("service_type"))
+
+
+def summary(p: Column) -> Column:
+    """What parsed() found in a file, in one line."""
+    count = lambda a, one, many: F.when(F.size(a) > 0, F.concat(F.size(a).cast("string"), F.lit(" "), F.when(F.size(a) == 1, one).otherwise(many), F.lit(" ("), F.array_join(a, ", "), F.lit(")")))
+    held = F.concat_ws(", ", count(p.classes, "class", "classes"), count(p.functions, "function", "functions"), count(p.endpoints, "endpoint", "endpoints"))
+    head = F.concat(F.coalesce(p.language, F.lit("unknown")), F.when(p.is_test, " test file").otherwise(" file"), F.when(held != "", F.concat(F.lit(" with "), held)).otherwise(""))
+    said = lambda a, text: F.when(F.size(a) > 0, F.concat(F.lit(text), F.array_join(a, ", ")))
+    return F.concat_ws("; ", head, said(p.imports, "imports "), said(p.dependencies, "depends on "))

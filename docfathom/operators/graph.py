@@ -1,8 +1,8 @@
 """Consistency graph: edges from similarity and shared values, filters, and graph analytics.
 
 Iterative operators keep one table of node state, cut by checkpoint() after each step (a driver-side loop over plans, no
-rows); components come from star contraction. Exact betweenness and modularity need a graph's adjacency at hand: they run
-per connected component in one task each, and refuse components over MAX_COMPONENT edges.
+rows); components come from star contraction. Betweenness gives every worker the graph's arrays and shares out the sources;
+greedy modularity runs per connected component in one task. Both refuse more than MAX_COMPONENT edges.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 MAX_COMPONENT = 2_000_000
 #: Nodes of one value that are joined with as many others under one key.
 BLOCK = 200
@@ -26,17 +28,6 @@ SYNONYMS = {
 }
 
 
-def with_checkpoints(spark) -> None:
-    """Set a checkpoint folder on a local master where none is set."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docfathom-"))
-
-
 def relationship(label: Column) -> Column:
     """The known relationship a label means; consistent if it says nothing."""
     low = F.lower(F.trim(label))
@@ -211,42 +202,48 @@ def strength(edges: DataFrame, mode: str = "parity") -> DataFrame:
     return rows.withColumn("jaccard", jaccard).withColumn("attachment", F.when(F.lit(mode == "parity"), 0).otherwise(F.col("da") * F.col("db"))).withColumn("combined", F.col("weight") * (1 + F.col("jaccard")))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, betweenness): exact, of pairs within the whole graph; Brandes over each component in one task."""
-    n = nodes.count()
-    comp = components(nodes, edges).select("node", "component")
-    rows = directed(edges.select("a", "b")).join(comp, F.col("u") == F.col("node")).select("component", "u", "v")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MAX_COMPONENT:
-            raise ValueError("a component too large for exact betweenness")
-        ids = np.unique(frame.u.to_numpy())
-        place = {x: k for k, x in enumerate(ids)}
-        near: list[list[int]] = [[] for _ in ids]
-        for u, v in zip(frame.u, frame.v, strict=True):
-            near[place[u]].append(place[v])
+def betweenness(nodes: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
+    """(node, betweenness): Brandes from every node, or from k of them (the smallest hashes), scaled up. Every worker holds the graph's
+    arrays, which are bounded by MAX_COMPONENT edges; the sources are shared out."""
+    spark, n = nodes.sparkSession, nodes.count()
+    simple = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if simple.limit(MAX_COMPONENT + 1).count() > MAX_COMPONENT:
+        raise ValueError("a graph too large for each worker to hold")
+    rows = simple.toPandas()
+    ids = np.unique(np.concatenate([rows["a"], rows["b"]])) if len(rows) else np.empty(0, object)
+    ends = np.stack([np.searchsorted(ids, rows[c]) for c in ("a", "b")]) if len(rows) else np.empty((2, 0), int)
+    both = np.concatenate([ends, ends[::-1]], axis=1)
+    both = both[:, np.argsort(both[0], kind="stable")]
+    shared = spark.sparkContext.broadcast((ids, np.searchsorted(both[0], np.arange(len(ids) + 1)), both[1]))
+    chosen = nodes.select("node") if k is None else nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(k)
+    scale = 1.0 if k is None else n / max(1, min(k, n))
+
+    def run(frames):
+        ids, first, near = shared.value
+        place = {x: i for i, x in enumerate(ids)}
         total = np.zeros(len(ids))
-        for s in range(len(ids)):
-            paths, dist, before, order = np.zeros(len(ids)), np.full(len(ids), -1), [[] for _ in ids], [s]
-            paths[s], dist[s] = 1, 0
-            for u in order:  # grows as it goes
-                for v in near[u]:
-                    if dist[v] < 0:
-                        dist[v] = dist[u] + 1
-                        order.append(v)
-                    if dist[v] == dist[u] + 1:
-                        paths[v] += paths[u]
-                        before[v].append(u)
-            share = np.zeros(len(ids))
-            for v in reversed(order):
-                for u in before[v]:
-                    share[u] += paths[u] / paths[v] * (1 + share[v])
-                if v != s:
-                    total[v] += share[v]
-        return pd.DataFrame({"node": ids, "betweenness": total / max(1, (n - 1) * (n - 2))})
+        for frame in frames:
+            for s in (place[x] for x in frame["node"] if x in place):
+                paths, dist, share, layers = np.zeros(len(ids)), np.full(len(ids), -1), np.zeros(len(ids)), [np.array([s])]
+                paths[s], dist[s] = 1, 0
+                steps = []
+                while len(layers[-1]):  # a layer at a time: arcs from it to nodes not reached before
+                    u = np.repeat(layers[-1], first[layers[-1] + 1] - first[layers[-1]])
+                    v = near[np.concatenate([np.arange(first[x], first[x + 1]) for x in layers[-1]])] if len(u) else np.empty(0, int)
+                    new = dist[v] < 0
+                    u, v = u[new], v[new]
+                    np.add.at(paths, v, paths[u])
+                    layers.append(np.unique(v))
+                    dist[layers[-1]] = len(layers) - 1
+                    steps.append((u, v))
+                for u, v in reversed(steps):
+                    np.add.at(share, u, paths[u] / paths[v] * (1 + share[v]))
+                share[s] = 0
+                total += share
+        yield pd.DataFrame({"node": ids, "value": total})
 
     kind = dict(nodes.dtypes)["node"]
-    found = rows.groupBy("component").applyInPandas(lambda f: one(f), f"node {kind}, betweenness double")
+    found = chosen.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(run, f"node {kind}, value double").groupBy("node").agg((F.sum("value") * scale / max(1, (n - 1) * (n - 2))).alias("betweenness"))
     return nodes.select("node").join(found, "node", "left").fillna({"betweenness": 0.0})
 
 
@@ -287,6 +284,13 @@ def modularity_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
+def leanings(clusters: DataFrame, edges: DataFrame, weight: Column, least: float) -> DataFrame:
+    """(node, cluster, weight): clusters (node, cluster) other than its own that a node's edges to weigh `least` or more on average."""
+    both = directed(edges.select("a", "b", weight.alias("w")))
+    there = both.join(clusters.select(F.col("node").alias("v"), "cluster"), "v").join(clusters.select(F.col("node").alias("u"), F.col("cluster").alias("own")), "u").where("cluster <> own")
+    return there.groupBy(F.col("u").alias("node"), "cluster").agg(F.avg("w").alias("weight")).where(F.col("weight") >= least)
+
+
 def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, mean clustering, components and size of the largest."""
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
@@ -297,11 +301,11 @@ def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row.withColumn("density", F.coalesce(F.try_divide(2 * F.col("m"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, layer) of a directed graph (u, v): nodes without open predecessors are peeled off; what is left comes last."""
     with_checkpoints(nodes.sparkSession)
     left, arcs, done, k = nodes.select("node"), edges.select("u", "v").distinct(), None, 0
-    while k < most:
+    while True:
         free = left.join(arcs, F.col("node") == F.col("v"), "left_anti").checkpoint()
         if free.isEmpty():
             break

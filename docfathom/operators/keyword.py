@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import with_checkpoints
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_QUERIES = 1000
+#: Terms that are looked for token by token; more of them join as rows.
+MAX_TERMS = 2000
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", toks=tokens) -> DataFrame:
@@ -48,20 +51,38 @@ def literal_queries(spark, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
 
 
+def matched_postings(docs: DataFrame, terms: DataFrame, toks=tokens) -> DataFrame:
+    """(doc_id, term, tf, doc_length) of the terms (term) alone, and a row of the empty term for each document, so that one pass over
+    the texts gives the counts of the corpus too. Up to MAX_TERMS terms are looked for before tokens become rows."""
+    known = [r.term for r in terms.limit(MAX_TERMS + 1).collect()]
+    rows = docs.select("doc_id", toks(F.coalesce("text", F.lit(""))).alias("t"))
+    held = F.filter("t", lambda x: x.isin(known)) if len(known) <= MAX_TERMS else F.col("t")
+    rows = rows.select("doc_id", F.size("t").alias("doc_length"), F.explode(F.concat(F.array(F.lit("")), held)).alias("term"))
+    if len(known) > MAX_TERMS:
+        rows = rows.join(terms.unionAll(terms.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    return rows.groupBy("doc_id", "term", "doc_length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def ranked(post: DataFrame, terms: DataFrame, n_docs: Column, avg_length: Column, k: int, floor: float | None) -> DataFrame:
+    """(query_id, doc_id, score, rank) of postings and query terms (query_id, term, times): the k best documents of each query, ties by doc_id."""
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = post.join(df.join(terms, "term"), "term")
+    weight = idf(n_docs, F.col("df"), floor) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / avg_length))
+    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("times")).alias("score"))
+    return top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, floor: float | None = EPSILON, toks=tokens) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, ties by doc_id.
 
-    Only postings of query terms leave the scan's stage: document frequency and length travel with them.
+    The texts are read and tokenised once; the postings of the queries' terms are checkpointed and give all counts. A
+    persisted index (sources.stores.KeywordIndex) saves that pass too.
     """
+    with_checkpoints(docs.sparkSession)
     terms = query_terms(queries, toks)
-    stats = corpus_stats(docs, toks=toks)
-    wanted = terms.select("term").distinct()
-    post = postings(docs.where(F.col("text").isNotNull()), toks=toks).join(wanted, "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    weight = idf(F.col("n_docs"), F.col("df"), floor) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("avg_length")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("times")).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    post = matched_postings(docs, terms.select("term").distinct(), toks).checkpoint()
+    n, mean = post.where("term = ''").agg(F.count(F.lit(1)), F.avg("doc_length")).first()
+    return ranked(post.where("term <> ''"), terms, F.lit(n), F.lit(mean or 1.0), k, floor)
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from . import keyword as K
 from . import vectors as V
+from ..session import with_checkpoints
+from .terms import expanded
 
 # Words of queries that set filters. A language's words are substrings, tried in this order.
 LANGUAGE_WORDS = (
@@ -26,10 +28,12 @@ ACADEMIC_WORDS = (
 CODE_WORDS = (
     "microservice", "/api/", "rest api", "soap api", "graphql", "endpoint", "controller class", "java class", "python class", "function definition", "code snippet", "implementation code", "service class",
 )
-CODE_CATEGORY_WORDS = (
-    "source code", "code snippet", "code example", "implementation code", "microservice", "api endpoint", "web service", "rest service", "api service", "maven dependency", "npm package", "pip install", "gradle",
-    "library import", "package import", "/api/", "rest api", "soap endpoint", "graphql", "http request", "http response", "api controller", "function call", "method invocation", "api call", "service invocation",
-)
+# Words that mean code, services, dependencies, endpoints and calls; any of them asks for the category code.
+CODE_EXAMPLE_WORDS = ("source code", "code snippet", "code example", "implementation code", "microservice", "api endpoint")
+SERVICE_WORDS = ("microservice", "web service", "rest service", "api service")
+DEPENDENCY_WORDS = ("maven dependency", "npm package", "pip install", "gradle", "library import", "package import")
+ENDPOINT_WORDS = ("/api/", "rest api", "soap endpoint", "graphql", "http request", "http response", "api controller")
+CALL_WORDS = ("function call", "method invocation", "api call", "service invocation")
 GOVERNANCE_WORDS = ("security", "mfa", "authentication", "authorization", "authorisation")
 PATTERN_WORDS = ("pattern", "architecture", "design")
 API_WORDS = ("/api/", "rest api", "soap api", "api endpoint", "http request", "http response")
@@ -50,24 +54,62 @@ def detected_filters(query: Column) -> Column:
     for name, words in reversed(LANGUAGE_WORDS):
         lang = F.when(any_of(q, words), name).otherwise(lang)
     lang = F.when(code_allowed, lang)
-    code = code_allowed & (lang.isNotNull() | any_of(q, CODE_CATEGORY_WORDS) | code_like)
+    code = code_allowed & (lang.isNotNull() | any_of(q, CODE_EXAMPLE_WORDS + SERVICE_WORDS + DEPENDENCY_WORDS + ENDPOINT_WORDS + CALL_WORDS) | code_like)
     category = F.when(code, "code").when(any_of(q, GOVERNANCE_WORDS), "governance").when(any_of(q, PATTERN_WORDS), "patterns")
     return F.struct(lang.alias("language"), category.alias("source_category"), (any_of(q, API_WORDS) & code_allowed).alias("is_api_reference"),
                     (any_of(q, CONFIG_WORDS) & category.isNull()).alias("is_configuration"), any_of(q, TABLE_WORDS).alias("contains_table"))
 
 
-def retrieve(docs: DataFrame, query: str, semantic: DataFrame | None, k: int = 5, weights: tuple[float, float] = (0.6, 0.4), scorer=None) -> DataFrame:
-    """(id, text, score, method, rank): keyword search of docs (doc_id, text) joined with an injected semantic list
-    (query_id 0, id, score), fused, reranked by the light rules or an injected scorer(query, text)."""
+def retrieve(docs: DataFrame, query: str, semantic: DataFrame | None, k: int = 5, weights: tuple[float, float] = (0.6, 0.4), scorer=None, where: Column | None = None, expand: bool = False,
+             edges: DataFrame | None = None, neighbours: DataFrame | None = None, persona: tuple[DataFrame, str, int] | None = None) -> DataFrame:
+    """(id, text, score, method, rank): keyword search of docs (doc_id, text, ...) joined with an injected semantic list
+    (query_id 0, id, score), fused, reranked by the light rules or an injected scorer(query, text).
+
+    where: only documents of this filter are searched, on both sides. expand: the query's terms are searched with what they
+    expand to. edges (a, b, severity): results bring in the neighbours of their worst edges at half their score. persona (references,
+    persona, year): what its rules let through, ordered by its scores. neighbours (id, prev_id, next_id, text): each result comes with
+    the chunks before and after it, `part` says which is which.
+    """
     spark = docs.sparkSession
-    words = K.bm25(docs, K.literal_queries(spark, [query]), 2 * k).select("query_id", F.col("doc_id").alias("id"), "score")
+    docs = docs if where is None else docs.where(where)
+    asked = K.literal_queries(spark, [query])
+    if expand:
+        asked = expanded(asked).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("query"))
+    words = K.bm25(docs, asked, 2 * k).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    if semantic is not None and where is not None:
+        semantic = semantic.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     top = words.select("query_id", "id", "score", F.lit("keyword").alias("method")) if semantic is None else V.fused(semantic, words, 2 * k, "rrf", weights).drop("rank")
     rows = top.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     if scorer is not None:
-        return V.cross_encoded(rows.withColumn("query", F.lit(query)).drop("score"), scorer, k).select("id", "text", "score", "method", "rank")
-    no = F.lit(False)
-    rows = rows.withColumn("score", V.rerank_score(F.col("text"), 2 * (1 - F.col("score") / F.max("score").over(Window.partitionBy("query_id"))), query, F.lit(0), no, no, no))
-    return K.top(rows, ["query_id"], [F.desc(F.round("score", 9)), F.asc("id")], k).select("id", "text", "score", "method", "rank")
+        rows = V.cross_encoded(rows.withColumn("query", F.lit(query)).drop("score"), scorer, k)
+    else:
+        no = F.lit(False)
+        rows = rows.withColumn("score", V.rerank_score(F.col("text"), 2 * (1 - F.col("score") / F.max("score").over(Window.partitionBy("query_id"))), query, F.lit(0), no, no, no))
+        rows = K.top(rows, ["query_id"], [F.desc(F.round("score", 9)), F.asc("id")], k)
+    rows = rows.select("id", "text", "score", "method", "rank")
+    if edges is not None:
+        more = with_graph(rows, edges, k).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+        rows = rows.unionByName(more.select("id", "text", "score", F.lit("graph").alias("method"), F.lit(None).cast("int").alias("rank")))
+    if persona is not None:
+        references, name, year = persona
+        kept = V.persona_ranked(references, name, 1 << 30, year).select("id", "persona_score")
+        rows = rows.join(kept, "id").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("persona_score", 9)), "id"))).drop("persona_score")  # at most a few times k rows
+    return rows if neighbours is None else with_neighbours(rows, neighbours)
+
+
+def with_graph(rows: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(id, score): up to k neighbours of each result (id, score) by severity that are no results themselves, at half the best score that led to them."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "severity").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "severity"))
+    near = K.top(both.join(rows.select(F.col("id").alias("u"), "score"), "u"), ["u"], [F.desc("severity"), F.asc("v")], k)
+    return near.groupBy(F.col("v").alias("id")).agg((F.max("score") / 2).alias("score")).join(rows.select("id"), "id", "left_anti")
+
+
+def with_neighbours(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """rows with a row for the chunk before and after each (id, prev_id, next_id), in the order prev, main, next."""
+    named = rows.join(neighbours.select("id", "prev_id", "next_id"), "id", "left")
+    parts = F.array(*[F.struct(F.lit(n).alias("place"), F.lit(name).alias("part"), F.col(c).alias("at")) for n, name, c in ((0, "prev", "prev_id"), (1, "main", "id"), (2, "next", "next_id"))])
+    every = named.withColumn("p", F.explode(parts)).where("p.at is not null").select(F.col("p.at").alias("id"), "p.part", "p.place", "score", "method", "rank", F.when(F.col("p.part") == "main", F.col("text")).alias("own"))
+    return every.join(neighbours.select("id", F.col("text").alias("_text")), "id", "left").withColumn("text", F.coalesce("own", "_text")).drop("own", "_text")
 
 
 def bm25_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -76,11 +118,16 @@ def bm25_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def with_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Hits (id, ...) with the parent's text where there is one, else their own."""
+    """Hits (id, ...) with the parent's text where there is one, else their own; children_with_parents() leaves the others out."""
     rows = hits.join(children.select("id", "parent_id", "text"), "id").join(parents.select("parent_id", F.col("text").alias("whole")), "parent_id", "left")
     return rows.withColumn("text", F.coalesce("whole", "text")).drop("whole")
 
 
+def children_with_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Hits (id, ...) with parent_id and the parent's text, of children that have a parent."""
+    return hits.join(children.select("id", "parent_id"), "id").join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id")
+
+
 def prompt(query: Column, chunks: Column) -> Column:
     """A numbered context and the question."""
     return F.concat(F.lit("Context:\n"), F.array_join(F.transform(chunks, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c)), "\n"), F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
@@ -115,18 +162,25 @@ def merged_vocabulary(target: DataFrame, source: DataFrame) -> DataFrame:
     return both.groupBy("term").agg(F.min_by("weight", "p").alias("weight"), F.sum("frequency").alias("frequency"))
 
 
-def cycle_members(edges: DataFrame, most: int = 8) -> DataFrame:
-    """(node, length): nodes of a directed graph (u, v) on a cycle of at most `most` steps, and the shortest one's length.
+def simple_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle): all simple cycles of a directed graph (u, v), each once, from its smallest node on; of at most `longest` arcs if given.
 
-    Paths are kept as pairs of ends, not as sequences: a step's table has at most as many rows as there are pairs within reach.
+    Nodes that no cycle can pass are peeled off first. Paths begin at a cycle's smallest node and never go below it; they
+    grow by a join a step until none is left, so the tables are as large as the paths are many.
     """
-    arcs = edges.select("u", "v").distinct()
-    reach = arcs.select(F.col("u").alias("s"), F.col("v").alias("t"))
-    out = reach.where("s = t").select(F.col("s").alias("node"), F.lit(1).alias("length"))
-    for n in range(2, most + 1):
-        reach = reach.where("s <> t").join(arcs, F.col("t") == F.col("u")).select("s", F.col("v").alias("t")).distinct()
-        out = out.unionByName(reach.where("s = t").select(F.col("s").alias("node"), F.lit(n).alias("length")))
-    return out.groupBy("node").agg(F.min("length").alias("length"))
+    with_checkpoints(edges.sparkSession)
+    arcs, n = edges.select("u", "v").distinct().checkpoint(), -1
+    while (m := arcs.count()) != n:  # only arcs between nodes that are entered and left
+        n = m
+        arcs = arcs.join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(arcs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v").checkpoint()
+    out = arcs.where("u = v").select(F.array("u").alias("cycle"))
+    paths, length = arcs.where("u < v").select(F.array("u", "v").alias("path")), 2
+    while (longest is None or length <= longest) and not paths.isEmpty():
+        step = paths.withColumn("u", F.element_at("path", -1)).join(arcs, "u").checkpoint()
+        out = out.unionAll(step.where(F.col("v") == F.col("path")[0]).select(F.col("path").alias("cycle")))
+        paths = step.where((F.col("v") > F.col("path")[0]) & ~F.array_contains("path", F.col("v"))).select(F.concat("path", F.array("v")).alias("path"))
+        length += 1
+    return out
 
 
 # Numbers of chapters in words and Roman figures.
@@ -188,9 +242,9 @@ def table_stats(text: Column) -> Column:
     return F.struct(F.size(blocks).alias("tables"), F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b)).alias("chars"))
 
 
-def clustered(vectors: DataFrame, threshold: float = 0.8, linkage: str = "single") -> DataFrame:
-    """(id, cluster) of a vocabulary's vectors (id, v): cut where cosine falls under the threshold. A vocabulary is one group
-    in one task, and of a bounded size."""
+def clustered(vectors: DataFrame, threshold: float = 0.8, linkage: str = "single", by: str | None = None) -> DataFrame:
+    """(id, cluster) of a vocabulary's vectors (id, v): cut where cosine falls under the threshold. A vocabulary (of each value of a
+    column, if one is named) is one group in one task, and of a bounded size."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -201,16 +255,20 @@ def clustered(vectors: DataFrame, threshold: float = 0.8, linkage: str = "single
         m = np.stack(frame.v.to_numpy()).astype(float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         sim = m @ m.T
-        groups = [[k] for k in range(len(m))]
-        pick = {"single": np.max, "complete": np.min, "average": np.mean}[linkage]
+        groups = {k: [k] for k in range(len(m))}
+        near = sim.copy()  # between groups, kept by the smallest member
+        np.fill_diagonal(near, -np.inf)
         while len(groups) > 1:
-            best = max(((pick(sim[np.ix_(a, b)]), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), default=(-1, 0, 0))
-            if best[0] < threshold:
+            i, j = sorted(divmod(int(near.argmax()), len(m)))
+            if near[i, j] < threshold:
                 break
-            i, j = -best[1], -best[2]
-            groups[i] = sorted(groups[i] + groups[j])
-            del groups[j]
+            a, b = len(groups[i]), len(groups[j])
+            rows = near[i], near[j]
+            merged = {"single": np.maximum(*rows), "complete": np.minimum(*rows), "average": (a * rows[0] + b * rows[1]) / (a + b)}[linkage]
+            near[i] = near[:, i] = merged
+            near[i, i] = near[j] = near[:, j] = -np.inf
+            groups[i] = sorted(groups[i] + groups.pop(j))
         ids = frame.id.to_numpy()
-        return pd.DataFrame([(ids[k], ids[g[0]]) for g in groups for k in g], columns=["id", "cluster"])
+        return pd.DataFrame([(ids[k], ids[g[0]]) for g in groups.values() for k in g], columns=["id", "cluster"])
 
-    return vectors.select("id", "v").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda f: run(f), "id long, cluster long")
+    return vectors.select("id", "v", (F.col(by) if by else F.lit(0)).alias("one")).groupBy("one").applyInPandas(lambda f: run(f), "id long, cluster long")

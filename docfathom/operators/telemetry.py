@@ -6,10 +6,17 @@ window over the group and not a collected array, so a group may be larger than a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Gaps before the last so many weigh nothing in a double.
+LAST = 128
+
+
 def rate(hit: Column) -> Column:
     return F.avg(hit.cast("double"))
 
@@ -40,9 +47,12 @@ def ema_gaps(rows: DataFrame, by: list[str], ts: str) -> DataFrame:
     """Accesses and the running mean 0.7 * old + 0.3 * gap of the seconds between them, in time order; score min(100, n / (ema / 3600 + 1))."""
     w = Window.partitionBy(*by).orderBy(ts, "event_id")
     gaps = rows.select(*by, ts, "event_id", (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) / 1e6).alias("gap"))
-    folded = gaps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(ts, "event_id", "gap"))).alias("g"))
-    ema = F.aggregate("g", F.lit(None).cast("double"), lambda s, x: F.when(x["gap"].isNull(), s).when(s.isNull(), x["gap"]).otherwise(0.7 * s + 0.3 * x["gap"]))
-    out = folded.select(*by, "n", F.coalesce(ema, F.lit(0.0)).alias("ema"))
+    late = Window.partitionBy(*by).orderBy(F.desc(ts), F.desc("event_id"))
+    last = gaps.where("gap is not null").withColumn("j", F.row_number().over(late)).where(F.col("j") <= LAST)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    weight = F.when(F.col("j") == F.col("n") - 1, F.pow(F.lit(0.7), F.col("j") - 1)).otherwise(0.3 * F.pow(F.lit(0.7), F.col("j") - 1))
+    means = last.join(sizes, by).groupBy(*by).agg(F.sum(F.col("gap") * weight).alias("ema"))
+    out = sizes.join(means, by, "left").select(*by, "n", F.coalesce("ema", F.lit(0.0)).alias("ema"))
     return out.withColumn("score", F.least(F.lit(100.0), F.col("n") / (F.col("ema") / 3600 + 1)))
 
 
@@ -71,16 +81,33 @@ def budget(rows: DataFrame, by: list[str], order: list[str], cost: str, total: f
 
 
 def token_bucket(rows: DataFrame, by: list[str], ts: str, rate_per_s: float, capacity: float, cost: float = 1.0) -> DataFrame:
-    """Each group's requests in time order against a bucket that fills at rate_per_s: how many were let through."""
-    folded = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)).alias("t"))
-    state = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("passed"))
-
-    def step(s, t):
-        have = F.least(F.lit(float(capacity)), s["tokens"] + F.coalesce(t - s["last"], F.lit(0.0)) * rate_per_s)
-        ok = have >= cost
-        return F.struct((have - F.when(ok, cost).otherwise(0.0)).alias("tokens"), t.alias("last"), (s["passed"] + ok.cast("long")).alias("passed"))
-
-    return folded.select(*by, F.size("t").cast("long").alias("requests"), F.aggregate("t", state, step)["passed"].alias("passed"))
+    """(by..., requests, passed): each group's requests in time order against a bucket that fills at rate_per_s.
+
+    Rows come sorted and are gone through once, a state at a time: no group is held as a whole.
+    """
+    kinds = [f"{c} {dict(rows.dtypes)[c]}" for c in by]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, [0, 0, 0.0, 0.0]  # requests, passed, tokens, time
+        done: list[tuple] = []
+        for frame in frames:
+            for *this, t in frame.itertuples(index=False):
+                if this != key:
+                    if key is not None:
+                        done.append((*key, *state[:2]))
+                    key, state = this, [0, 0, float(capacity), t]
+                state[2] = min(float(capacity), state[2] + (t - state[3]) * rate_per_s)
+                state[3] = t
+                state[0] += 1
+                if state[2] >= cost:
+                    state[1], state[2] = state[1] + 1, state[2] - cost
+            yield pd.DataFrame(done, columns=[*by, "requests", "passed"])
+            done = []
+        if key is not None:
+            yield pd.DataFrame([(*key, *state[:2])], columns=[*by, "requests", "passed"])
+
+    timed = rows.select(*by, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    return timed.repartition(*by).sortWithinPartitions(*by, "t").mapInPandas(run, ", ".join([*kinds, "requests long", "passed long"]))
 
 
 # Errors that pass by themselves.

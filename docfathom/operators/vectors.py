@@ -2,8 +2,7 @@
 
 Cosine over a collection is a matrix product: queries are a bounded block, given to every worker, and each Arrow batch
 of the collection is multiplied with it; a worker keeps the k best of each query, so a few rows a query and task are
-shuffled. knn_join() goes block by block through all rows as queries: exact, and as costly as it must be; give `block_by`
-to compare within groups only.
+shuffled. knn_join() takes a table of queries, or all rows, and compares blocks with blocks.
 """
 
 from __future__ import annotations
@@ -79,25 +78,85 @@ def nearest(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, same:
     return top(part, ["query_id"], [F.desc(F.round("similarity", 12)), F.asc("id")], k).drop("rank")
 
 
-def knn_join(rows: DataFrame, k: int, block_by: str | None = None) -> DataFrame:
-    """nearest() with all rows (id, v) as queries, a block at a time; the driver holds one block."""
-    out = None
-    source = rows.select("id", "v", *([block_by] if block_by else [])).orderBy(*([block_by] if block_by else []), "id")
-    held: list = []
+def knn_join(rows: DataFrame, k: int, block_by: str | None = None, queries: DataFrame | None = None, same: bool = True) -> DataFrame:
+    """(query_id, id, similarity): the k nearest of rows (id, v) to each of the queries (id, v), or to each of the rows.
 
-    def flush(out: DataFrame | None) -> DataFrame:
-        ids, m = np.array([r[0] for r in held]), np.array([r[1] for r in held], float)
-        within = rows.where(F.col(block_by).eqNullSafe(F.lit(held[0][2]))) if block_by else rows
-        part = nearest(within, ids, m, k, same=True)
-        return part if out is None else out.unionAll(part)
+    Both sides are dealt into blocks by the hash of the id, and each pair of blocks meets in a task of its own as a matrix
+    product, so a task holds two blocks whatever the tables' sizes. Exact, and all rows as queries cost what that costs;
+    block_by compares within the groups of a column only.
+    """
+    queries = rows if queries is None else queries
+    group = F.col(block_by) if block_by else F.lit(0)
+    sides = []
+    for side, other in ((queries, rows), (rows, queries)):
+        own, across = (max(1, -(-x.count() // BLOCK)) for x in (side, other))
+        sides.append((side.select(F.col("id").alias("id"), F.col("v").cast("array<double>").alias("v"), group.cast("string").alias("g"), F.pmod(F.xxhash64("id"), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("other"))))
+    # aliases: a cogroup loses columns that both sides have from one table
+    left = sides[0].select("id", "v", "g", F.col("own").alias("qb"), F.col("other").alias("rb"))
+    right = sides[1].select("id", "v", "g", F.col("other").alias("qb"), F.col("own").alias("rb"))
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "similarity": np.empty(0)})
+        s = _unit(q.v) @ _unit(r.v).T
+        ids = np.broadcast_to(r.id.to_numpy()[None, :], s.shape)
+        if same:
+            s = np.where(ids == q.id.to_numpy()[:, None], -np.inf, s)
+        at = np.lexsort((ids, -np.round(s, 12)), axis=1)[:, :k]
+        s, ids = np.take_along_axis(s, at, 1), np.take_along_axis(ids, at, 1)
+        row, col = np.nonzero(np.isfinite(s))
+        return pd.DataFrame({"query_id": q.id.to_numpy()[row], "id": ids[row, col], "similarity": s[row, col]})
+
+    by = ["g", "qb", "rb"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda q, r: meet(q, r), "query_id long, id long, similarity double")
+    return top(found, ["query_id"], [F.desc(F.round("similarity", 12)), F.asc("id")], k).drop("rank")
+
+
+def blocked(left: DataFrame, right: DataFrame, score, keep, schema: str = "query_id long, id long, similarity double") -> DataFrame:
+    """Rows of score(q, r), a matrix for two blocks of vectors, that keep(matrix) marks, over all pairs of blocks of left and right (id, v)."""
+    sides = []
+    for k, (side, other) in enumerate(((left, right), (right, left))):
+        own, across = (max(1, -(-x.count() // BLOCK)) for x in (side, other))
+        mine, theirs = ("qb", "rb") if k == 0 else ("rb", "qb")
+        sides.append(side.select(F.col("id").alias("id"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(own)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias(theirs)))
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "similarity": np.empty(0)})
+        s = score(np.stack(q.v.to_numpy()).astype(float), np.stack(r.v.to_numpy()).astype(float))
+        row, col = np.nonzero(keep(s) & (q.id.to_numpy()[:, None] != r.id.to_numpy()[None, :]))
+        return pd.DataFrame({"query_id": q.id.to_numpy()[row], "id": r.id.to_numpy()[col], "similarity": s[row, col]})
+
+    return sides[0].groupBy("qb", "rb").cogroup(sides[1].groupBy("qb", "rb")).applyInPandas(lambda q, r: meet(q, r), schema)
+
+
+def close_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(query_id, id, similarity) of all ordered pairs of rows (id, v) with at least this cosine."""
 
-    for r in source.toLocalIterator():
-        if held and (len(held) == BLOCK or block_by and r[2] != held[0][2]):
-            out, held = flush(out), []
-        held.append(r)
-    if held:
-        out = flush(out)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+    def cosines(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ (r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)).T
+
+    return blocked(rows, rows, cosines, lambda s: np.round(s, 12) >= least)
+
+
+def expansions(terms: DataFrame, candidates: DataFrame, k: int, least: float) -> DataFrame:
+    """(term, other, similarity): of the k candidates (id, v) nearest to each term (id, v) by norm ratio those over a threshold."""
+
+    def ratio(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        apart, together = (np.sqrt(((q[:, None, :] + sign * r[None, :, :]) ** 2).sum(axis=2)) for sign in (-1, 1))
+        return 1 - apart / np.where(together == 0, np.nan, together)
+
+    found = blocked(terms, candidates, lambda q, r: np.concatenate([ratio(q[a : a + 16], r) for a in range(0, len(q), 16)]), np.isfinite)
+    best = top(found, ["query_id"], [F.desc(F.round("similarity", 12)), F.asc("id")], k)
+    return best.where(F.col("similarity") >= least).select(F.col("query_id").alias("term"), F.col("id").alias("other"), "similarity")
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    sizes = {len(v) for v in vectors}
+    if len(sizes) > 1:
+        raise ValueError(f"dimension {min(sizes)} meets {max(sizes)}")
+    m = np.stack(vectors.to_numpy()).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def min_max(score: Column, by: list[str]) -> Column:
@@ -180,16 +239,3 @@ def persona_ranked(rows: DataFrame, persona: str, k: int, as_of_year: int) -> Da
     score = (0.5 * F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("distance")), F.lit(0.0)) + 0.2 * q + 0.15 * F.coalesce("domain_relevance_score", F.lit(0.0))
              + 0.1 * F.least(F.lit(1.0), c / 100) + (0.05 + recency_bias) * recency - F.when(link != "available", penalty).otherwise(0.0))
     return rows.where(academic | allowed).withColumn("persona_score", score).orderBy(F.desc("persona_score"), "id").limit(k)
-
-
-def components_single_link(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, cluster): single linkage cut at the similarity that made `pairs` (a, b); small vocabularies."""
-    label = nodes.select("id", F.col("id").alias("cluster"))
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b"), F.col("a"))).toDF("a", "b")
-    for _ in range(rounds):
-        low = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("low"))
-        new = label.join(low, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster")).checkpoint()
-        if new.exceptAll(label).isEmpty():
-            return new
-        label = new
-    return label

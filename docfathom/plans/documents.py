@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..operators import academic as A
 from ..operators import chunking as H
+from ..operators import tables as B
 from ..operators import terms as T
 from .keyword import STOP_SQL
 from .registry import query, table
@@ -20,7 +21,7 @@ def docs(spark, sf):
 
 @query("recursive_chunks")
 def recursive_chunks(spark, sf):
-    """C02, C03, B07, S10"""
+    """C02, C03, B07"""
     return H.chunks(docs(spark, sf))
 
 
@@ -32,16 +33,44 @@ def parent_child(spark, sf):
 
 @query("html_text")
 def html_text(spark, sf):
-    """S01, C17, C04"""
+    """S01"""
     return H.html_text(table(spark, sf, "pages")).drop("links")
 
 
-@query("html_links")
+@query("html_links", """SELECT page_id, replace(unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]+)"', 1)), '&amp;', '&') AS link FROM pages""")
 def html_links(spark, sf):
     """S11"""
     return H.html_text(table(spark, sf, "pages")).select("page_id", F.explode("links").alias("link"))
 
 
+TABLE_PAGE = "<p>Head {0}</p><table><caption>Sizes</caption><tr><th colspan=2>A</th></tr><tr><td>{0}</td><td></td></tr></table><table><tr><td>x</td><td>y</td></tr></table>"
+
+
+@query("html_tables", """WITH t AS (SELECT doc_id AS page_id, unnest([0, 1]) AS place FROM documents) SELECT page_id, place::INT AS place, CASE place WHEN 0 THEN 'content' ELSE 'layout' END AS kind, CASE place WHEN 0 THEN 2 ELSE 1 END AS rows, 2 AS cols,
+  CASE place WHEN 0 THEN '[TABLE 0]' || chr(10) || 'Table-Type: content' || chr(10) || 'Context: Head ' || page_id || chr(10) || 'Caption: Sizes' || chr(10) || chr(10) || '| A | A |' || chr(10) || '|---|---|' || chr(10) || '| ' || page_id || ' |  |' || chr(10) || '[/TABLE 0]'
+  ELSE '[TABLE 1]' || chr(10) || 'Table-Type: layout' || chr(10) || 'Context: Head ' || page_id || chr(10) || chr(10) || '| x | y |' || chr(10) || '[/TABLE 1]' END AS text FROM t""")
+def html_tables(spark, sf):
+    """C17: the pages hold few tables, so that each document's number is put into two"""
+    before, middle, after = TABLE_PAGE.split("{0}")
+    page = F.concat(F.lit(before), "doc_id", F.lit(middle), "doc_id", F.lit(after))
+    return B.html_tables(docs(spark, sf).select(F.col("doc_id").alias("page_id"), page.alias("html"))).select("page_id", "place", "kind", "rows", "cols", "text")
+
+
+@query("page_tables")
+def page_tables(spark, sf):
+    """C17: the tables of the pages, tested on known ones"""
+    return B.html_tables(table(spark, sf, "pages"))
+
+
+@query("table_chunks", """SELECT doc_id, 0 AS chunk_index, false AS is_table, 'Intro ' || doc_id AS text FROM documents UNION ALL SELECT doc_id, 1, true, '#### TABLE MARKER ####' || chr(10) || '[TABLE 0]' || chr(10) || 'Table Part: 1/1' || chr(10) || 'Context: Intro ' || doc_id || chr(10) || '| A | B |' || chr(10) || '|---|---|' || chr(10)
+  || '| ' || doc_id || ' | ' || lang || ' |' || chr(10) || '[/TABLE 0]' || chr(10) || '#### /TABLE MARKER ####' FROM documents UNION ALL SELECT doc_id, 2, false, 'Layout table 1 (cosmetic structure)' || chr(10) || ' - x | y' FROM documents""")
+def table_chunks(spark, sf):
+    """C04, C05"""
+    k, nl = F.col("doc_id").cast("string"), F.lit("\n")
+    text = F.concat(F.lit("Intro "), k, F.lit("\n[TABLE 0]\nTable-Type: content\n| A | B |\n|---|---|\n| "), k, F.lit(" | "), "lang", F.lit(" |\n[/TABLE 0]"), nl, F.lit("[TABLE 1]\n| x | y |\n[/TABLE 1]"))
+    return B.chunks(docs(spark, sf).select("doc_id", text.alias("text"))).drop("chunk_id")
+
+
 REFS = """refs AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'crossref' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'heuristic' ELSE 'other' END AS source, CASE o_orderkey % 3 WHEN 0 THEN 'Q1' WHEN 1 THEN 'B' ELSE NULL END AS venue,
   (o_custkey % 250)::BIGINT AS citations, CASE WHEN o_orderkey % 5 = 0 THEN 'stale_404' WHEN o_orderkey % 7 = 0 THEN 'stale_moved' ELSE 'available' END AS link, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey % 13) / 10.0::DOUBLE END AS confidence,
   o_orderkey % 8 = 0 AS oa, o_orderkey % 9 = 0 AS paywall, o_custkey, o_orderdate, o_orderstatus FROM orders)"""
@@ -58,7 +87,7 @@ def refs(spark, sf):
   + 0.2 * CASE WHEN citations > 0 THEN least(1, ln(1 + citations) / ln(201)) ELSE 0 END + 0.2 * CASE link WHEN 'available' THEN 1.0 WHEN 'stale_moved' THEN 0.8 ELSE 0.3 END + 0.1 * coalesce(greatest(0, least(1, confidence)), 0.5)
   + CASE WHEN oa THEN 0.05 ELSE 0 END - CASE WHEN paywall THEN 0.05 ELSE 0 END)), 6) AS quality FROM refs""")
 def citation_quality(spark, sf):
-    """A06, A24"""
+    """A06"""
     c, no = F.col, F.lit(False)
     return refs(spark, sf).select("id", F.round(A.quality_score(c("source"), c("venue"), c("citations"), c("link"), c("confidence"), c("oa"), c("paywall"), no, no), 6).alias("quality"))
 
@@ -81,12 +110,11 @@ def staleness(spark, sf):
 
 
 @query("citation_patterns", f"""WITH {REFS}, p AS (SELECT o_custkey % 20 AS doc, source, count(*) AS n FROM refs GROUP BY 1, 2), t AS (SELECT doc, max(n) / sum(n)::DOUBLE AS c FROM p GROUP BY 1)
-  SELECT o_custkey % 20 AS doc, count(*) AS total, count(DISTINCT citations % 40) AS "distinct", round(avg((1998 - year(o_orderdate) <= 2)::INT), 6) AS recent, round(any_value(c), 6) AS concentration FROM refs JOIN t ON doc = o_custkey % 20 GROUP BY 1""")
+  SELECT o_custkey % 20 AS doc, count(*) AS total, count(DISTINCT citations % 40) AS "distinct", round(avg((2004 - (year(o_orderdate) + 3) <= 5)::INT), 6) AS recent, round(any_value(c), 6) AS concentration FROM refs JOIN t ON doc = o_custkey % 20 GROUP BY 1""")
 def citation_patterns(spark, sf):
     """G29, X32"""
     rows = refs(spark, sf).select((F.col("o_custkey") % 20).alias("doc"), "source", (F.col("citations") % 40).cast("string").alias("doi"), F.lit("t").alias("title"), (F.year("o_orderdate") + 3).alias("year"))
-    return A.citation_patterns(rows, 2001 + 3 - 1, "doc").withColumn("concentration", F.round("concentration", 6)).drop("recent").join(
-        rows.groupBy("doc").agg(F.round(F.avg((1998 - (F.col("year") - 3) <= 2).cast("int")), 6).alias("recent")), "doc")
+    return A.citation_patterns(rows, 2004, "doc").withColumn("concentration", F.round("concentration", 6)).withColumn("recent", F.round("recent", 6))
 
 
 @query("citation_filters", f"WITH {REFS} SELECT id FROM refs WHERE (venue IS NULL OR venue IN ('Q1')) AND (NOT EXISTS (SELECT 1 FROM refs WHERE confidence IS NOT NULL) OR confidence IN (0.1, 0.2, 0.3))")
@@ -99,7 +127,7 @@ def citation_filters(spark, sf):
 
 @query("citation_export", f"""WITH {REFS} SELECT id, 'Title ' || (id % 50) AS title, year(o_orderdate)::INT AS year FROM refs WHERE link = 'available' ORDER BY year DESC, title, id LIMIT 100""")
 def citation_export(spark, sf):
-    """S24, J03"""
+    """S24"""
     rows = refs(spark, sf).where("link = 'available'").select("id", F.concat(F.lit("Title "), F.col("id") % 50).alias("title"), F.year("o_orderdate").alias("year"))
     return rows.orderBy(F.desc_nulls_last("year"), "title", "id").limit(100)
 
@@ -118,15 +146,15 @@ def reference_ids(spark, sf):
     return docs(spark, sf).select("doc_id", A.reference_id(doi, F.col("text")).alias("ref"))
 
 
-@query("reference_sections")
+@query("reference_sections", """SELECT doc_id, place::INT AS place, raw, doi, year::INT AS year FROM documents, (VALUES (0, 'Smith, J. (2019) On trees. doi 10.1234/AB.7', '10.1234/AB.7', 2019), (1, 'Doe, A. 2001. Of stones.', NULL, 2001)) v(place, raw, doi, year)""")
 def reference_sections(spark, sf):
-    """The tables hold no reference list, so one is put after each fifth text"""
+    """The tables hold no reference list, so one is put after each text"""
     listed = F.concat("text", F.lit("\nReferences\n[1] Smith, J. (2019) On trees. doi 10.1234/AB.7\n[2] Doe, A. 2001. Of\nstones.\n"))
-    return A.references(docs(spark, sf).where("doc_id % 5 = 0").withColumn("text", listed))
+    return A.references(docs(spark, sf).withColumn("text", listed))
 
 
 SENTENCE = r"list_filter(list_transform(string_split(regexp_replace(t, '([.?!]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
-CLAIMS = rf"""src AS (SELECT doc_id, text || ' This study suggests that ' || lang || ' texts differ [' || doc_id || ']. We find no ' || lang || ' texts that differ. In short results show growth.' AS t FROM documents WHERE lang = 'en'),
+CLAIMS = rf"""src AS (SELECT doc_id, text || ' This study suggests that ' || lang || ' texts differ [' || doc_id || ']. We find no ' || lang || ' texts that differ. In short results show growth.' AS t FROM documents),
 s AS (SELECT doc_id, generate_subscripts({SENTENCE}, 1) - 1 AS place, unnest({SENTENCE}) AS raw FROM src), c AS (SELECT doc_id, place, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ') AS claim FROM s),
 k AS (SELECT * FROM c WHERE regexp_matches(lower(claim), '{"|".join(A.CLAIM_MARKERS)}') AND NOT claim LIKE '%-' AND NOT (regexp_matches(claim, '^[a-z]') AND length(string_split(claim, ' ')[1]) <= 3 AND string_split(claim, ' ')[1] <> 'i')
   QUALIFY row_number() OVER (PARTITION BY doc_id, lower(claim) ORDER BY place) = 1),
@@ -135,7 +163,7 @@ claims AS (SELECT doc_id, place, claim, regexp_matches(claim, '\[\d+(?:[,;-] ?\d
 
 def claim_texts(spark, sf):
     tail = F.concat(F.lit(" This study suggests that "), "lang", F.lit(" texts differ ["), "doc_id", F.lit("]. We find no "), "lang", F.lit(" texts that differ. In short results show growth."))
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", F.concat("text", tail).alias("text"))
+    return docs(spark, sf).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 @query("sentence_claims", f"WITH {CLAIMS} SELECT doc_id, place::INT AS place, md5(claim) AS hash, cited, negative FROM claims")
@@ -161,20 +189,31 @@ def keyword_topk(spark, sf):
     return A.keywords(docs(spark, sf)).drop("rank")
 
 
-@query("contribution_alignment", f"""WITH {KEYS}, a AS (SELECT doc_id, list(word) AS w FROM k GROUP BY 1), p AS (SELECT x.doc_id, x.w AS a, y.w AS b FROM a x JOIN a y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 2 = 0)
+@query("contribution_alignment", f"""WITH {KEYS}, a AS (SELECT doc_id, list(word) AS w FROM k GROUP BY 1), p AS (SELECT x.doc_id, x.w AS a, y.w AS b FROM a x JOIN a y ON y.doc_id = x.doc_id + 1)
   SELECT doc_id, len(list_intersect(a, b)) AS shared, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0), 6) AS jaccard FROM p""")
 def contribution_alignment(spark, sf):
     """Keywords of each text and the next one's"""
     k = A.keywords(docs(spark, sf)).groupBy("doc_id").agg(F.collect_list("word").alias("w"))
-    both = k.where("doc_id % 2 = 0").select("doc_id", F.col("w").alias("a")).join(k.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id")
+    both = k.select("doc_id", F.col("w").alias("a")).join(k.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("b")), "doc_id")
     found = A.alignment(F.col("a"), F.col("b"))
     return both.select("doc_id", found["shared"].cast("long").alias("shared"), F.round(found["jaccard"], 6).alias("jaccard"))
 
 
-@query("method_checklist", "SELECT doc_id, item, len(regexp_extract_all(lower(text), '\\b(?:' || p || ')'))::INT AS hits FROM documents, (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in A.METHOD_ITEMS.items()) + ") m(item, p) WHERE doc_id < 500")
+METHOD_SQL = "(SELECT doc_id, item, len(regexp_extract_all(lower(text), p))::INT AS hits FROM documents, (VALUES " + ", ".join(f"('{k}', '{'|'.join(v)}')" for k, v in A.METHOD_ITEMS.items()) + ") m(item, p))"
+
+
+@query("method_checklist", f"SELECT doc_id, item, hits FROM {METHOD_SQL}")
 def method_checklist(spark, sf):
-    """Of the first 500 texts by doc_id, the report's own scope"""
-    return A.method_checklist(docs(spark, sf).where("doc_id < 500")).select("doc_id", "item", "hits")
+    """A14"""
+    return A.method_checklist(docs(spark, sf)).select("doc_id", "item", "hits")
+
+
+@query("method_verdict", f"""WITH v AS (SELECT doc_id, count(*) FILTER (hits = 0) AS gaps, coalesce(string_agg(CASE WHEN hits = 0 THEN item END, ',' ORDER BY item), '') AS missing, bool_or(hits = 0 AND item IN {A.CORE_ITEMS}) AS core FROM {METHOD_SQL} GROUP BY 1)
+  SELECT doc_id, round(1 - gaps / 8.0::DOUBLE, 6) AS score, missing, CASE WHEN core THEN 'critical' WHEN gaps >= 3 THEN 'warning' END AS flag FROM v""")
+def method_verdict(spark, sf):
+    """A14, A19"""
+    found = A.method_verdict(A.method_checklist(docs(spark, sf)))
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.array_join("missing", ",").alias("missing"), "flag")
 
 
 @query("missing_sections", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT regexp_matches(lower(text), '\\b{s}\\b') THEN '{s}' END" for s in A.SECTIONS) + ") AS missing FROM documents")
@@ -183,12 +222,26 @@ def missing_sections(spark, sf):
     return A.missing_sections(docs(spark, sf)).select("doc_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("assessment_score", "SELECT l_orderkey AS id, round(0.2 * avg(l_discount) + 0.2 * avg(l_tax) + 0.2 * least(1, count(*) / 7.0) + 0.2 * avg((l_returnflag = 'N')::INT) + 0.2 * avg(l_quantity) / 50, 6) AS score FROM lineitem GROUP BY 1")
+PARTS = """p AS (SELECT l_orderkey AS id, avg(l_discount) * 10 AS coherence, avg(l_tax) * 10 AS questions, count(*) < 3 AS missing, count(*) % 2 = 0 AS orphans, avg((l_returnflag = 'N')::INT) AS recency, avg((l_linestatus = 'O')::INT) AS diversity,
+  min(l_quantity) < 10 AS unsupported, count(*) / 7.0::DOUBLE AS methodology, avg(l_quantity) * 3 AS readability, avg(l_discount) AS passive, avg(l_tax) AS overlap FROM lineitem GROUP BY 1)"""
+
+
+def score_sql(persona: str) -> str:
+    w = A.ASSESSMENT[persona]
+    return f"""{w["structure"]} * (coherence + questions) / 2 * CASE WHEN missing THEN 0.7 ELSE 1 END * CASE WHEN orphans THEN 0.95 ELSE 1 END + {w["citations"]} * (recency + diversity) / 2 * CASE WHEN unsupported THEN 0.8 ELSE 1 END
+      + {w["methodology"]} * methodology + {w["writing"]} * greatest(0, least(1, readability / 100)) * greatest(0, 1 - passive) + {w["alignment"]} * overlap"""
+
+
+@query("assessment_score", f"WITH {PARTS} SELECT id, " + ", ".join(f"round({score_sql(p)}, 6) AS {p}" for p in A.ASSESSMENT) + " FROM p")
 def assessment_score(spark, sf):
-    """Parts of an assessment from lines of an order"""
-    parts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.avg("l_discount").alias("structure"), F.avg("l_tax").alias("citations"), F.least(F.lit(1.0), F.count(F.lit(1)) / 7).alias("claims"),
-                                                                                     F.avg((F.col("l_returnflag") == "N").cast("int")).alias("method"), (F.avg("l_quantity") / 50).alias("writing"))
-    return parts.select("id", F.round(A.overall({k: F.col(k) for k in A.ASSESSMENT["supervisor"]}, "supervisor"), 6).alias("score"))
+    """Parts of an assessment from lines of an order, as each persona weighs them"""
+    n, avg = F.count(F.lit(1)), lambda c: F.avg(c)
+    parts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        (avg("l_discount") * 10).alias("coherence"), (avg("l_tax") * 10).alias("questions"), (n < 3).alias("missing"), (n % 2 == 0).alias("orphans"), avg((F.col("l_returnflag") == "N").cast("int")).alias("recency"),
+        avg((F.col("l_linestatus") == "O").cast("int")).alias("diversity"), (F.min("l_quantity") < 10).alias("unsupported"), (n / 7).alias("methodology"), (avg("l_quantity") * 3).alias("readability"),
+        avg("l_discount").alias("passive"), avg("l_tax").alias("overlap"))
+    names = ("coherence", "questions", "missing", "orphans", "recency", "diversity", "unsupported", "methodology", "readability", "passive", "overlap")
+    return parts.select("id", *[F.round(A.overall(p, **{k: F.col(k) for k in names}), 6).alias(p) for p in A.ASSESSMENT])
 
 
 @query("words_per_chapter", "SELECT lang, source, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS words FROM documents GROUP BY 1, 2")
@@ -197,34 +250,55 @@ def words_per_chapter(spark, sf):
     return docs(spark, sf).groupBy("lang", "source").agg(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("words"))
 
 
-GRAMS = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{T.WORD}') AS t FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, unnest(t) AS term FROM w
-  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM w),
-c AS (SELECT doc_id, term, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 3),
-terms AS (SELECT doc_id, term, f, len(string_split(term, ' ')) AS n FROM c WHERE length(term) >= CASE WHEN contains(term, ' ') THEN 2 ELSE 3 END AND len(list_filter(string_split(term, ' '), lambda x: list_contains([{STOP_SQL}], x)
-  OR (length(regexp_replace(x, '[^a-z]', '', 'g')) >= 4 AND NOT length(regexp_replace(x, '[^aeiou]', '', 'g')) / length(regexp_replace(x, '[^a-z]', '', 'g'))::DOUBLE BETWEEN 0.25 AND 0.65))) = 0 AND NOT regexp_matches(term, '{T.ADDRESS}'))"""
+def plausible_sql(w: str) -> str:
+    letters, vowels = (f"length(regexp_replace({w}, '[^{c}]', '', 'g'))" for c in ("a-z", "aeiou"))
+    return f"({letters} < 4 OR {vowels} / {letters}::DOUBLE BETWEEN 0.25 AND 0.65) AND NOT regexp_matches({w}, '{T.ADDRESS}')"
+
 
+RUN = {n: " || ' ' || ".join(f"t[i + {k}]" for k in range(n)) for n in range(2, T.LONGEST + 1)}
+GRAMS = rf"""w0 AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND x NOT IN ({STOP_SQL}) AND regexp_matches(x, '^[a-z]')) AS t FROM documents),
+fine AS (SELECT word, {plausible_sql("word")} AS ok FROM (SELECT DISTINCT unnest(t) AS word FROM w0)),
+w1 AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM w0), w AS (SELECT doc_id, list(CASE WHEN ok THEN word END ORDER BY i) AS t FROM w1 JOIN fine USING (word) GROUP BY 1),
+g AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM w) WHERE length(term) >= 3 {"".join(f" UNION ALL SELECT doc_id, unnest(list_filter(list_transform(range(1, len(t) - {n - 2}), lambda i: {RUN[n]}), lambda x: x IS NOT NULL)) FROM w WHERE len(t) >= {n}" for n in RUN)}),
+c AS (SELECT doc_id, term, count(*) AS f, len(string_split(term, ' ')) AS n FROM g GROUP BY 1, 2), good AS (SELECT doc_id, term AS word FROM c WHERE n = 1 AND f >= 3),
+once AS (SELECT doc_id, term, any_value(n) AS n FROM (SELECT doc_id, term, n, unnest(string_split(term, ' ')) AS word FROM c WHERE f < 2 AND n > 1) JOIN good USING (doc_id, word) GROUP BY 1, 2 HAVING count(*) = any_value(n)),
+kept AS (SELECT doc_id, term, f, n FROM c WHERE f >= 2 UNION ALL SELECT doc_id, term, 1, n FROM once),
+terms AS (SELECT *, max(f) OVER d AS top, sum(f) OVER d AS total, count(*) OVER d AS kinds FROM kept WINDOW d AS (PARTITION BY doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, term) <= {T.MOST_TERMS})"""
+SCORED = rf"""{GRAMS}, kw AS (SELECT doc_id, term, f, n, unnest(string_split(term, ' ')) AS word FROM kept), tf AS (SELECT doc_id, word, sum(least(f, 3))::DOUBLE AS tf, max(CASE WHEN n > 1 THEN f END) AS pf FROM kw GROUP BY 1, 2),
+  bm AS (SELECT doc_id, term, sum({T.ONE_DOCUMENT_IDF} * tf * 2.5 / (tf + 1.5)) AS bm25 FROM kw JOIN tf USING (doc_id, word) GROUP BY 1, 2), best AS (SELECT doc_id, greatest(0.1, max(bm25)) AS best FROM bm GROUP BY 1),
+  x AS (SELECT t.*, bm25, best, pf, f / top::DOUBLE AS share, f / 2.0 AS ratio FROM terms t JOIN bm USING (doc_id, term) JOIN best USING (doc_id) LEFT JOIN tf ON tf.doc_id = t.doc_id AND tf.word = t.term),
+  scored AS (SELECT doc_id, term, f AS frequency, bm25, greatest(0, least(1, (0.85 * share + 0.15 * least(bm25 / best, 1) * share) * CASE WHEN n > 2 AND ratio < 3 THEN 0.95 ELSE 1.0 END * CASE WHEN n = 1 AND pf >= 2 THEN greatest(0.3, 1 - 0.7 * pf / top) ELSE 1 END
+    + CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 0.15 * least(ratio / 3, 1) ELSE 0.2 * least(ratio / 3, 1) END)) AS relevance, f / total / (1 + f / kinds::DOUBLE) AS tf_idf FROM x)"""
+TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(term, '{pattern}') THEN '{name}'" for name, pattern in T.TYPES) + " ELSE 'concept' END"
 
-@query("terminology_scores", rf"""WITH {GRAMS}, i AS (SELECT doc_id, word, max(f) AS pf FROM (SELECT doc_id, f, unnest(list_distinct(string_split(term, ' '))) AS word FROM terms WHERE n > 1) GROUP BY 1, 2),
-  x AS (SELECT t.*, max(f) OVER d AS most, sum(f) OVER d AS total, count(*) OVER d AS kinds, pf, f / 3.0 AS ratio FROM terms t LEFT JOIN i ON i.doc_id = t.doc_id AND i.word = t.term WINDOW d AS (PARTITION BY t.doc_id))
-  SELECT doc_id, term, f AS frequency, round(greatest(0, least(1, 0.85 * f / most * CASE WHEN n < 3 OR ratio >= 3 THEN 1.0 ELSE 0.95 END * CASE WHEN n = 1 AND pf >= 3 THEN greatest(0.3, 1 - 0.7 * pf / most) ELSE 1 END
-    + CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 0.15 * least(ratio / 3, 1) ELSE 0.2 * least(ratio / 3, 1) END)), 6) AS relevance, round(f / total / (1 + f / kinds::DOUBLE), 6) AS tf_idf FROM x""")
+
+@query("terminology_scores", rf"""WITH {SCORED} SELECT doc_id, term, frequency, round(bm25 + 1e-9, 6) AS bm25, round(relevance + 1e-9, 6) AS relevance, round(tf_idf + 1e-9, 6) AS tf_idf, {TYPE_SQL} AS type FROM scored""")
 def terminology_scores(spark, sf):
-    """T01, T02, X07, X08, X09"""
-    t = T.extract(docs(spark, sf).where("lang = 'en'"))
-    return t.select("doc_id", "term", "frequency", F.round("relevance", 6).alias("relevance"), F.round("tf_idf", 6).alias("tf_idf"))
+    """T01, T02, T03, X07, X08, X09"""
+    t = T.extract(docs(spark, sf))
+    return t.select("doc_id", "term", "frequency", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("bm25", "relevance", "tf_idf")], "type")
 
 
 @query("related_terms", rf"""WITH {GRAMS}, rw AS (SELECT DISTINCT doc_id, term, unnest(string_split(term, ' ')) AS word FROM terms), p AS (SELECT DISTINCT a.doc_id, a.term, b.term AS other FROM rw a JOIN rw b ON a.doc_id = b.doc_id AND a.word = b.word AND a.term <> b.term),
   k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY other) <= 5) SELECT doc_id, term, string_agg(other, ',' ORDER BY other) AS related FROM k GROUP BY 1, 2""")
 def related_terms(spark, sf):
     """T04"""
-    return T.related(T.extract(docs(spark, sf).where("lang = 'en'")), ["doc_id"]).select("doc_id", "term", F.array_join("related", ",").alias("related"))
+    return T.related(T.extract(docs(spark, sf)), ["doc_id"]).select("doc_id", "term", F.array_join("related", ",").alias("related"))
 
 
-@query("term_store", rf"""WITH {GRAMS} SELECT term, sum(f)::BIGINT AS frequency, count(*) AS docs FROM terms GROUP BY 1""")
+@query("term_store", rf"""WITH {SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY term) AS n FROM scored)
+  SELECT term, sum(frequency)::BIGINT AS frequency, count(*) AS docs, round(sum(relevance * CASE WHEN i = 1 THEN pow(0.5, n - 1) ELSE pow(0.5, n - i + 1) END), 6) AS score FROM o GROUP BY 1""")
 def term_store(spark, sf):
     """T05, T06, G38"""
-    return T.store(T.extract(docs(spark, sf).where("lang = 'en'"))).select("term", "frequency", F.size("docs").cast("long").alias("docs"))
+    return T.store(T.extract(docs(spark, sf))).select("term", "frequency", "docs", F.round("score", 6).alias("score"))
+
+
+@query("top_domain_terms", rf"""WITH {SCORED}, s AS (SELECT source AS domain, term, sum(frequency)::BIGINT AS frequency, round(max(relevance), 6) AS relevance FROM scored JOIN documents USING (doc_id) GROUP BY 1, 2)
+  SELECT domain, term, frequency, relevance FROM s QUALIFY row_number() OVER (PARTITION BY domain ORDER BY relevance DESC, frequency DESC, term) <= 20""")
+def top_domain_terms(spark, sf):
+    """A source stands for a domain"""
+    found = T.extract(docs(spark, sf)).join(docs(spark, sf).select("doc_id", F.col("source").alias("domain")), "doc_id")
+    return T.top_by_domain(found, 20).withColumn("relevance", F.round("relevance", 6))
 
 
 @query("subngram_filter", rf"""WITH {GRAMS}, s AS (SELECT term, sum(f)::BIGINT AS f FROM terms GROUP BY 1), r AS (SELECT term, row_number() OVER (ORDER BY f DESC, term) AS rank FROM s QUALIFY rank <= 300)
@@ -233,15 +307,27 @@ def subngram_filter(spark, sf):
     """J21, over the 300 top terms of a report"""
     from pyspark.sql import Window
 
-    best = T.extract(docs(spark, sf).where("lang = 'en'")).groupBy("term").agg(F.sum("frequency").alias("f")).orderBy(F.desc("f"), "term").limit(300)
+    best = T.extract(docs(spark, sf)).groupBy("term").agg(F.sum("frequency").alias("f")).orderBy(F.desc("f"), "term").limit(300)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f"), "term")).cast("long"))
     return T.without_parts(ranked, []).select("term", "rank")
 
 
-@query("query_expansion", "SELECT * FROM (VALUES (0::BIGINT, 'search', 1.0::DOUBLE, 'term'), (0, 'behaviour', 1.0, 'term'), (0, 'query', 0.7, 'synonym'), (0, 'behavior', 0.7, 'variant'), (1, 'login', 1.0, 'term'), (1, 'api', 1.0, 'term'), (1, 'authentication', 0.7, 'synonym'), (1, 'application programming interface', 0.7, 'abbreviation')) t(query_id, term, weight, kind)")
+ASKED = ("analyze behaviour", "auth-api token", "firewall fiber", "part of brandNames", "la de enten")
+PAIRS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', '{k}', {('term', 'variant', 'synonym', 'abbreviation').index(k)})" for a, b, k in T.expansions_of("network")) + ") x(term, other, kind, o)"
+
+
+@query("query_expansion", rf"""WITH q AS (SELECT c_custkey AS query_id, [{", ".join(f"'{q}'" for q in ASKED)}][c_custkey % {len(ASKED)} + 1] AS query FROM customer),
+  own AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(translate(regexp_replace(query, '([a-z])([A-Z])', '\1 \2', 'g'), '-_', '  ')), '\s+')) AS term FROM q) WHERE length(term) > 2),
+  voc AS (SELECT p_brand AS name, 'tok' || min(p_size) AS acronym, min(p_size) / 10.0::DOUBLE AS weight FROM part GROUP BY 1),
+  r AS (SELECT query_id, term, 'term' AS kind, 0 AS o FROM own UNION ALL SELECT query_id, other, kind, o FROM own JOIN {PAIRS_SQL} USING (term)
+    UNION ALL SELECT query_id, unnest([name, acronym]), 'domain', 4 FROM own JOIN voc ON contains(lower(name), term) OR lower(acronym) = term),
+  k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY o) = 1) SELECT query_id, term, coalesce(weight, 1.0) AS weight, kind FROM k LEFT JOIN voc ON lower(name) = lower(term)""")
 def query_expansion(spark, sf):
-    """V16, V17, X04, J19"""
-    return T.expanded(spark.createDataFrame([(0, "search behaviour"), (1, "login-api")], "query_id long, query string"))
+    """V16, V17, V18, X04, J19"""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("c_custkey") % len(ASKED) + 1).cast("int"))
+    queries = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), asked.alias("query"))
+    words = table(spark, sf, "part").groupBy(F.col("p_brand").alias("term")).agg(F.concat(F.lit("tok"), F.min("p_size")).alias("acronym"), (F.min("p_size") / 10).alias("weight"))
+    return T.expanded(queries, "network", words)
 
 
 # Inline sources, as the tables hold no code.
@@ -260,6 +346,49 @@ def sources(spark):
     return spark.createDataFrame(SOURCES, "path string, code string")
 
 
+CONFIGS = (
+    ("src/orders-mule.xml", '<mule><flow name="orders"><http:listener path="/orders"/><flow-ref name="audit"/><http:request method="GET" path="/stock"/></flow></mule>'),
+    ("routes/mail.xml", '<camelContext><route id="mail"><from uri="jms:in"/><to uri="smtp:out"/><to uri="x"/><process ref="clean"/></route></camelContext>'),
+    ("beans.xml", '<beans><bean id="clock" class="com.shop.Clock"/></beans>'),
+    ("app.properties", "service.url=http://stock/api\njdbc.url=jdbc:pg://db\norder.queue=orders.new\ncamel.component.http.timeout=5\n"),
+    ("index.html", "<html><title>Shop front</title></html>"),
+    ("q/report.sql", "SELECT * FROM sales JOIN shop.items ON 1 = 1"),
+)
+
+
+@query("config_parse", """SELECT * FROM (VALUES ('src/orders-mule.xml', 'mule', 'orders', '/orders,/stock', 'audit,listener,request', '/stock', 'orders', 'mule-flow'), ('routes/mail.xml', 'camel', 'CamelRoute:mail', 'jms:in,smtp:out', 'clean', '', 'mail', 'camel-xml-route'),
+  ('beans.xml', 'xml', 'clock', '', 'com.shop.Clock', '', 'beans', NULL), ('app.properties', 'properties', '', 'camel-http', '', 'http://stock/api', 'app', 'spring-boot-camel'),
+  ('index.html', 'html', 'Shop front', '', '', '', 'Shop front', NULL), ('q/report.sql', 'sql', 'sales,shop.items', '', '', '', 'sales', 'sql-script')) t(path, kind, exports, endpoints, calls, services, service_name, service_type)""")
+def config_parse(spark, sf):
+    """K04, K05, K06"""
+    rows = spark.createDataFrame(CONFIGS, "path string, code string").select("path", C.config(F.col("code"), F.col("path")).alias("p"))
+    return rows.select("path", "p.kind", *[F.array_join(f"p.{k}", ",").alias(k) for k in ("exports", "endpoints", "calls", "services")], "p.service_name", "p.service_type")
+
+
+@query("valid_exports", f"""SELECT p_partkey FROM part WHERE length(trim(v)) > 1 AND len(list_filter(regexp_split_to_array(lower(trim(v)), '[-_/:]'), lambda x: x <> '' AND NOT list_contains([{", ".join(f"'{w}'" for w in C.NO_EXPORTS)}], x))) > 0""".replace(
+    "FROM part WHERE", "FROM (SELECT p_partkey, ['the-of', 'x', ' ', 'get_put', 'orders/new', 'a:b', p_name][p_partkey % 7 + 1] AS v FROM part) WHERE"))
+def valid_exports(spark, sf):
+    """K06"""
+    value = F.element_at(F.array(*map(F.lit, ("the-of", "x", " ", "get_put", "orders/new", "a:b")), F.col("p_name")), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, sf, "part").where(C.valid_export(value)).select("p_partkey")
+
+
+@query("code_summaries", """SELECT * FROM (VALUES ('src/app/service.py', 'python file with 1 class (Loader), 2 functions (load, main); imports json, os'), ('pom.xml', 'xml file; depends on io.x:web, org.apache:core'), ('tests/test_loader.py', 'python test file with 1 function (test_load)')) t(path, summary)""")
+def code_summaries(spark, sf):
+    """K09"""
+    rows = sources(spark).where(F.col("path").isin("src/app/service.py", "pom.xml", "tests/test_loader.py"))
+    return rows.select("path", C.summary(C.parsed(F.col("code"), F.col("path"))).alias("summary"))
+
+
+@query("dependency_map", """SELECT * FROM (VALUES ('io.x:web', 'pom.xml'), ('org.apache:core', 'pom.xml'), ('org.slf4j:slf4j-api', 'build.gradle'), ('junit:junit', 'build.gradle'), ('os', 'src/app/service.py'), ('json', 'src/app/service.py'), ('java.util.List', 'src/main/java/OrderController.java'),
+  ('com.shop.core.Clock', 'src/main/java/OrderController.java'), ('react', 'web/app.js'), ('lodash', 'web/app.js'), ('fmt', 'cmd/main.go')) t(dependency, files)""")
+def dependency_map(spark, sf):
+    """Every dependency with the files that name it"""
+    parsed = sources(spark).select("path", C.parsed(F.col("code"), F.col("path")).alias("p"))
+    rows = parsed.select("path", F.explode(F.concat("p.imports", "p.dependencies")).alias("dependency"))
+    return rows.groupBy("dependency").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files"))
+
+
 @query("code_parse", """SELECT * FROM (VALUES ('src/app/service.py', 'python', 'json,os', 'load,main', 'Loader', '', '', false), ('src/main/java/OrderController.java', 'java', 'com.shop.core.Clock,java.util.List', 'add,list', 'OrderController', '/orders,/orders/new', '', false),
   ('pom.xml', 'xml', '', '', '', '', 'io.x:web,org.apache:core', false), ('build.gradle', 'gradle', '', '', '', '', 'junit:junit,org.slf4j:slf4j-api', false), ('web/app.js', 'javascript', 'lodash,react', 'start', 'Box', '', '', false),
   ('tests/test_loader.py', 'python', '', 'test_load', '', '', '', true), ('cmd/main.go', 'go', 'fmt', 'Run,main', 'Server', '', '', false)) t(path, language, imports, functions, classes, endpoints, dependencies, is_test)""")
@@ -280,7 +409,7 @@ def repository_summary(spark, sf):
 
 @query("code_doc_ids", "SELECT l_orderkey, l_linenumber, min('proj_repo_src_a' || l_orderkey || '_' || l_linenumber || '_py') AS doc_id FROM lineitem GROUP BY 1, 2")
 def code_doc_ids(spark, sf):
-    """X12, X48"""
+    """X12"""
     path = F.concat(F.lit("proj/repo/src/a"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit(".py"))
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.translate(path, "/ .-", "____")).alias("doc_id"))
 

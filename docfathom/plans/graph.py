@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import drawing as W
 from ..operators import graph as G
 from ..operators import keyword as K
+from ..session import with_checkpoints
 from .registry import query, table
 
-EDGES = """edges AS MATERIALIZED (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE a.l_partkey % 20 = 3 GROUP BY 1, 2),
+VALUE = "l_partkey || '@' || strftime(l_shipdate, '%Y-%m-%d')"
+EDGES = f"""line AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, {VALUE} AS value FROM lineitem), edges AS MATERIALIZED (SELECT a.node AS a, b.node AS b, count(*) AS shared FROM line a JOIN line b ON a.value = b.value AND a.node < b.node GROUP BY 1, 2),
 nodes AS (SELECT s_suppkey AS node FROM supplier), d AS MATERIALIZED (SELECT a AS u, b AS v, shared FROM edges UNION ALL SELECT b, a, shared FROM edges), deg AS (SELECT u, count(*) AS d FROM d GROUP BY 1)"""
 
 
+def deliveries(spark, sf):
+    """(node, value): suppliers, and the parts and days that they delivered."""
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node"), F.concat_ws("@", "l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value"))
+
+
 def graph(spark, sf):
-    """(nodes, edges): suppliers joined by common parts of a twentieth of all parts, which is the graph's definition"""
-    line = table(spark, sf, "lineitem").where("l_partkey % 20 = 3").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("value"))
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), G.shared_value_edges(line)
+    """(nodes, edges): suppliers, joined where they delivered the same part on the same day, over all lines. The edges are checkpointed: what reads them does not join again."""
+    with_checkpoints(spark)
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), G.shared_value_edges(deliveries(spark, sf)).checkpoint()
 
 
 @query("shared_value_edges", f"WITH {EDGES} SELECT * FROM edges")
@@ -24,13 +32,13 @@ def shared_value(spark, sf):
     return graph(spark, sf)[1]
 
 
-@query("dependency_overlap", f"""WITH {EDGES}, n AS (SELECT l_suppkey AS s, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_partkey % 20 = 3 GROUP BY 1)
-  SELECT a, b, round(shared / greatest(x.n, y.n)::DOUBLE, 6) AS weight FROM edges JOIN n x ON a = x.s JOIN n y ON b = y.s WHERE shared >= 2""")
+@query("dependency_overlap", f"""WITH {EDGES}, n AS (SELECT node AS s, count(*) AS n FROM line GROUP BY 1)
+  SELECT a, b, round(shared / greatest(x.n, y.n)::DOUBLE, 9) AS weight FROM edges JOIN n x ON a = x.s JOIN n y ON b = y.s""")
 def dependency_overlap(spark, sf):
     """J11"""
-    line = table(spark, sf, "lineitem").where("l_partkey % 20 = 3").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n"))
-    edges = graph(spark, sf)[1].where("shared >= 2").join(line.select(F.col("l_suppkey").alias("a"), F.col("n").alias("na")), "a").join(line.select(F.col("l_suppkey").alias("b"), F.col("n").alias("nb")), "b")
-    return edges.select("a", "b", F.round(F.col("shared") / F.greatest("na", "nb"), 6).alias("weight"))
+    held = deliveries(spark, sf).groupBy("node").agg(F.count_distinct("value").alias("n"))
+    edges = graph(spark, sf)[1].join(held.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(held.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    return edges.select("a", "b", F.round(F.col("shared") / F.greatest("na", "nb"), 9).alias("weight"))
 
 
 D = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -86,10 +94,10 @@ def heatmap(spark, sf):
     return grid.join(cells, ["a", "b"], "left").select("a", "b", F.round(F.coalesce("severity", F.lit(0.0)), 6).alias("severity"))
 
 
-@query("ranked_neighbours", f"WITH {EDGES} SELECT u AS seed, v AS neighbour, row_number() OVER (PARTITION BY u ORDER BY shared DESC, v)::BIGINT AS rank FROM d WHERE u <= 10 QUALIFY rank <= 3")
+@query("ranked_neighbours", f"WITH {EDGES} SELECT u AS seed, v AS neighbour, row_number() OVER (PARTITION BY u ORDER BY shared DESC, v)::BIGINT AS rank FROM d QUALIFY rank <= 3")
 def ranked_neighbours(spark, sf):
     """W13, V24, N11, N15"""
-    both = G.directed(graph(spark, sf)[1]).where("u <= 10")
+    both = G.directed(graph(spark, sf)[1])
     return K.top(both, ["u"], [F.desc("shared"), F.asc("v")], 3).select(F.col("u").alias("seed"), F.col("v").alias("neighbour"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -201,24 +209,32 @@ def edge_strength_true(spark, sf):
     return G.strength(edges, "true").select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.col("attachment").cast("long").alias("attachment"), F.round("combined", 6).alias("combined"))
 
 
-@query("betweenness")
+def between_sql(depth: int = 9) -> str:
+    """Shortest paths of all pairs, a step at a time, and the share of each node in them."""
+    steps = ", ".join(f"""v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL SELECT s, d.v, {k + 1}, sum(n) FROM v{k} x JOIN d ON d.u = x.t WHERE dist = {k} AND NOT EXISTS (SELECT 1 FROM v{k} y WHERE y.s = x.s AND y.t = d.v) GROUP BY 1, 2)""" for k in range(depth))
+    return f"""WITH {EDGES}, v0 AS (SELECT node AS s, node AS t, 0 AS dist, 1.0::DOUBLE AS n FROM nodes), {steps},
+  b AS (SELECT m.t AS node, sum(m.n * r.n / w.n) AS x FROM v{depth} m JOIN v{depth} r ON m.t = r.s AND m.s <> m.t AND r.t <> m.t JOIN v{depth} w ON w.s = m.s AND w.t = r.t AND w.dist = m.dist + r.dist AND w.s <> w.t GROUP BY 1)
+  SELECT node, round(coalesce(x, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS betweenness FROM nodes LEFT JOIN b USING (node)"""
+
+
+@query("betweenness", between_sql())
 def betweenness(spark, sf):
-    """Tested against hand-made graphs"""
-    return G.betweenness(*graph(spark, sf))
+    """N02"""
+    return G.betweenness(*graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query("modularity_communities")
 def modularity(spark, sf):
     """Tested for its partition of hand-made graphs"""
     nodes, edges = graph(spark, sf)
-    return G.modularity_communities(nodes, edges.where("shared >= 2"))
+    return G.modularity_communities(nodes, edges)
 
 
-@query("cluster_secondary", f"""WITH {EDGES}, e AS (SELECT u, v % 5 AS cluster, avg(shared) AS w FROM d GROUP BY 1, 2) SELECT u AS node, cluster, round(w, 6) AS weight FROM e WHERE w >= 1.2 AND cluster <> u % 5""")
+@query("cluster_secondary", label_sql(3).replace("SELECT node, label FROM l3", "SELECT d.u AS node, l.label AS cluster, round(avg(shared), 6) AS weight FROM d JOIN l3 l ON l.node = d.v JOIN l3 o ON o.node = d.u WHERE l.label <> o.label GROUP BY 1, 2 HAVING avg(shared) >= 0.5"))
 def cluster_secondary(spark, sf):
-    """Other clusters a node leans to, by mean weight"""
-    both = G.directed(graph(spark, sf)[1]).groupBy(F.col("u").alias("node"), (F.col("v") % 5).alias("cluster")).agg(F.avg("shared").alias("w"))
-    return both.where("w >= 1.2 and cluster <> node % 5").select("node", "cluster", F.round("w", 6).alias("weight"))
+    """Other communities a node leans to, by the mean weight of its edges to them"""
+    nodes, edges = graph(spark, sf)
+    return G.leanings(G.label_propagation(nodes, edges, rounds=3).withColumnRenamed("label", "cluster"), edges, F.col("shared"), 0.5).withColumn("weight", F.round("weight", 6))
 
 
 @query("facets", """SELECT coalesce('segment:' || c_mktsegment, 'nation:' || c_nationkey) AS facet, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey))""")
@@ -293,3 +309,26 @@ def circular_layout(spark, sf):
 def spatial_query(spark, sf):
     """A rectangle"""
     return table(spark, sf, "customer").where(F.col("c_acctbal").between(0, 1000) & F.col("c_nationkey").between(5, 10)).select("c_custkey")
+
+
+@query("force_layout")
+def force_layout(spark, sf):
+    """The nations of each region, whose suppliers bind them; tested for its forces"""
+    nation = table(spark, sf, "nation")
+    nodes = nation.select(F.col("n_regionkey").alias("drawing"), F.col("n_nationkey").alias("node"))
+    edges = nodes.select("drawing", F.col("node").alias("a")).join(nodes.select("drawing", F.col("node").alias("b")), "drawing").where("a < b and (a + b) % 3 = 0")
+    return W.force_layout(nodes, edges)
+
+
+@query("layout_bounds", "SELECT n_regionkey AS drawing, min(n_nationkey) - 1.0 AS x_min, min(n_nationkey * 2) - 1.0 AS y_min, max(n_nationkey) + 1.0 AS x_max, max(n_nationkey * 2) + 1.0 AS y_max FROM nation GROUP BY 1")
+def layout_bounds(spark, sf):
+    """L05"""
+    rows = table(spark, sf, "nation").select(F.col("n_regionkey").alias("drawing"), F.col("n_nationkey").alias("node"), F.col("n_nationkey").cast("double").alias("x"), (F.col("n_nationkey") * 2.0).alias("y"))
+    return W.bounds(rows, 1.0)
+
+
+@query("box_collisions", """WITH b AS (SELECT c_custkey AS node, c_custkey % 97 AS x, c_custkey % 89 AS y FROM customer) SELECT a.node AS a, b.node AS b FROM b a JOIN b ON a.node < b.node AND a.x < b.x + 1.5 AND b.x < a.x + 1.5 AND a.y < b.y + 1.5 AND b.y < a.y + 1.5""")
+def box_collisions(spark, sf):
+    """L05"""
+    k = F.col("c_custkey")
+    return W.collisions(table(spark, sf, "customer").select(k.alias("node"), (k % 97).cast("double").alias("x"), (k % 89).cast("double").alias("y"), F.lit(1.5).alias("w"), F.lit(1.5).alias("h")), 4.0)

@@ -182,44 +182,43 @@ def clean_whitespace(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.clean_whitespace(F.col("text"))).alias("hash"))
 
 
-@query("technical_entities", r"""SELECT doc_id, coalesce(array_to_string(list_slice(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(text, '/(?:api/)?\w[\w/]*|/[\w/]+'), lambda x: length(x) > 3), list_transform(regexp_extract_all(text, '\b[a-z_][a-z0-9_]*\([^)]*\)'), lambda x: string_split(x, '(')[1]),
-  regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9]*(?:[A-Z][a-z0-9]+)+\b'), list_filter(regexp_extract_all(text, '\b[A-Z][A-Z0-9_]{2,}\b'), lambda x: contains(x, '_')), regexp_extract_all(text, '\b[a-z_][a-z0-9_]*\.[a-z_][a-z0-9_.]*\b'),
-  list_filter(regexp_extract_all(text, '\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b'), lambda x: length(x) > 5)))), 1, 20), ','), '') AS entities FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query("technical_entities")
 def technical_entities(spark, sf):
-    """X17; on ASCII texts, where both engines agree on word ends"""
-    rows = docs(spark, sf).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", F.array_join(X.entities(F.col("text")), ",").alias("entities"))
+    """DuckDB's word ends know ASCII only, so that a test holds this against plain patterns"""
+    return docs(spark, sf).select("doc_id", F.array_join(X.entities(F.col("text")), ",").alias("entities"))
 
 
-@query("content_flags", r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '```')) >= 2 THEN 'code' WHEN regexp_matches(text, '(?m)^\s*(?:\||[-*] |\d+\. )') THEN 'structured' WHEN contains(text, '`') THEN 'mixed' ELSE 'text' END AS kind, regexp_matches(text, 'https?://') AS has_link, contains(text, 'token') AS has_token FROM documents""")
+@query("content_flags", r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '```')) >= 2 THEN 'code' WHEN regexp_matches(text, '(?m)^\s*(?:\||[-*] |\d+\. )') THEN 'structured' WHEN contains(text, '`') THEN 'mixed' ELSE 'text' END AS kind, regexp_matches(text, 'https?://') AS has_link, contains(text, 'token') AS has_token,
+  CASE WHEN regexp_matches(text, '```\w+') THEN regexp_extract(text, '```(\w+)', 1) WHEN NOT contains(text, '`') THEN NULL WHEN regexp_matches(text, 'def |import |class |self\.|print\(') THEN 'python'
+  WHEN regexp_matches(text, 'const |let |var |function\(|=>|console\.log') THEN 'javascript' WHEN regexp_matches(upper(text), 'SELECT |FROM |WHERE |INSERT INTO') THEN 'sql' WHEN regexp_matches(text, '(?m)^\w+:\s*$') THEN 'yaml' END AS language FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '`import x`' ELSE text END AS text FROM documents)""")
 def content_flags(spark, sf):
     """X18, X16"""
-    t = F.col("text")
-    return docs(spark, sf).select("doc_id", X.content_type(t).alias("kind"), t.rlike("https?://").alias("has_link"), t.contains("token").alias("has_token"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("`import x`"))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", X.content_type(t).alias("kind"), t.rlike("https?://").alias("has_link"), t.contains("token").alias("has_token"), X.code_language(t).alias("language"))
 
 
 SENT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.?!]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
 
-@query("readability", rf"""WITH w AS (SELECT doc_id, len({SENT}) AS s, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}''-]+') AS words FROM documents WHERE lang = 'en'),
+@query("readability", rf"""WITH w AS (SELECT doc_id, len({SENT}) AS s, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}''-]+') AS words FROM documents),
   y AS (SELECT doc_id, s, len(words) AS n, list_sum(list_transform(words, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN x LIKE '%e' AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS syl, len(list_filter(words, lambda x: length(x) >= 12)) AS long FROM w),
   f AS (SELECT *, CASE WHEN s = 0 OR n = 0 THEN 0 ELSE greatest(0, least(100, 206.835 - 1.015 * n / s - 84.6 * syl / n)) END AS flesch FROM y)
   SELECT doc_id, round(flesch, 6) AS flesch, round(long / nullif(n, 0)::DOUBLE, 6) AS jargon, CASE WHEN flesch >= 90 THEN '5th grade' WHEN flesch >= 80 THEN '6th grade' WHEN flesch >= 70 THEN '7th grade' WHEN flesch >= 60 THEN '8th-9th grade' WHEN flesch >= 50 THEN '10th-12th grade' WHEN flesch >= 30 THEN 'undergraduate' ELSE 'postgraduate' END AS level FROM f""")
 def readability(spark, sf):
     """X05, X06, X42, X43, X45, A15"""
-    rows = docs(spark, sf).where("lang = 'en'").select("doc_id", F.size(X.sentences(F.col("text"))).alias("s"), X.words(F.col("text")).alias("w"))
+    rows = docs(spark, sf).select("doc_id", F.size(X.sentences(F.col("text"))).alias("s"), X.words(F.col("text")).alias("w"))
     syl = F.aggregate(F.transform("w", X.syllables), F.lit(0), lambda a, b: a + b)
     score = X.flesch(F.col("s"), F.col("n"), F.col("syl"))
     rows = rows.select("doc_id", "s", F.size("w").alias("n"), syl.alias("syl"), F.size(F.filter("w", lambda w: F.length(w) >= 12)).alias("long"))
     return rows.select("doc_id", F.round(score, 6).alias("flesch"), F.round(F.try_divide(F.col("long"), F.col("n")), 6).alias("jargon"), X.education_level(score).alias("level"))
 
 
-@query("passive_ratio", rf"""WITH s AS (SELECT doc_id, unnest({SENT}) AS s FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}''-]+') AS w FROM s),
+@query("passive_ratio", rf"""WITH s AS (SELECT doc_id, unnest({SENT}) AS s FROM documents), w AS (SELECT doc_id, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}''-]+') AS w FROM s),
   p AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: list_contains([{sqlist(X.BE_VERBS)}], w[i]) AND (w[i + 1] LIKE '%ed' OR list_contains(['known', 'shown', 'seen'], w[i + 1])))) > 0 AS passive FROM w)
   SELECT doc_id, round(avg(passive::INT), 6) AS ratio FROM p GROUP BY 1""")
 def passive_ratio(spark, sf):
     """X44"""
-    s = docs(spark, sf).where("lang = 'en'").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    s = docs(spark, sf).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     return s.groupBy("doc_id").agg(F.round(F.avg(X.passive(F.col("s")).cast("int")), 6).alias("ratio"))
 
 

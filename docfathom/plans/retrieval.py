@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as H
 from ..operators import retrieval as R
 from .registry import query, table
-from .vectors import SEM, semantic
+from .vectors import SEM, kw_sql, semantic
 
 
 def docs(spark, sf):
@@ -18,26 +18,71 @@ ASKED = ("python flask endpoint", "security patterns", "thesis methodology in ja
 
 
 @query("detect_filters", """SELECT * FROM (VALUES ('python flask endpoint', 'python', 'code', false, false, false), ('security patterns', NULL, 'governance', false, false, false), ('thesis methodology in java', NULL, NULL, false, false, false),
-  ('rest api for orders', NULL, 'code', true, false, false), ('setting of the table', NULL, NULL, false, true, true), ('what governs it', NULL, NULL, false, false, false), ('list of design options', 'javascript', 'code', false, false, true), ('phd microservice in golang', 'go', 'code', false, false, false))
-  t(q, language, source_category, is_api_reference, is_configuration, contains_table) WHERE q <> 'what governs it' AND q <> 'list of design options'""")
+  ('rest api for orders', NULL, 'code', true, false, false), ('setting of the table', NULL, NULL, false, true, true), ('what governs it', 'go', 'code', false, false, false), ('list of design options', NULL, 'patterns', false, false, true), ('phd microservice in golang', 'go', 'code', false, false, false))
+  t(q, language, source_category, is_api_reference, is_configuration, contains_table)""")
 def detect_filters(spark, sf):
     """F03, F04"""
-    rows = spark.createDataFrame([(q,) for q in ASKED if q not in ("what governs it", "list of design options")], "q string")
+    rows = spark.createDataFrame([(q,) for q in ASKED], "q string")
     return rows.select("q", R.detected_filters(F.col("q")).alias("f")).select("q", "f.*")
 
 
-@query("retrieve")
+def retrieve_sql(where: str = "true") -> str:
+    """Keyword (10) and semantic (20) lists of the first query, fused by weighted ranks, the ten best reranked; five stay."""
+    return f"""WITH {SEM}, {kw_sql()}, docs AS (SELECT * FROM documents WHERE {where}), a AS (SELECT id, row_number() OVER (ORDER BY r) AS ra FROM sem WHERE query_id = 0 AND id IN (SELECT doc_id FROM docs)),
+  b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rb FROM kw WHERE query_id = 0 AND r <= 10), f AS (SELECT id, round(0.6 * coalesce(1.0 / (60 + ra), 0) + 0.4 * coalesce(1.0 / (60 + rb), 0), 12) AS s,
+  CASE WHEN rb IS NULL THEN 'vector' WHEN ra IS NULL THEN 'keyword' ELSE 'hybrid' END AS method FROM a FULL JOIN b USING (id) QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 10),
+  w AS (SELECT f.*, s / max(s) OVER () AS share, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS words FROM f JOIN docs ON doc_id = id),
+  x AS (SELECT id, method, greatest(0, share) + 0.2 * len(list_intersect(['de', 'enten', 'la'], words)) / 3.0 + CASE WHEN len(words) BETWEEN 300 AND 600 THEN 0.05 WHEN len(words) < 100 THEN -0.05 ELSE 0 END AS score FROM w)
+  SELECT id, round(score, 6) AS score, method, row_number() OVER (ORDER BY round(score, 9) DESC, id)::BIGINT AS rank FROM x QUALIFY rank <= 5"""
+
+
+def first_query(spark, sf):
+    return semantic(spark, sf).where("query_id = 0")
+
+
+def shown(found):
+    return found.select("id", F.round("score", 6).alias("score"), "method", F.col("rank").cast("long").alias("rank"))
+
+
+@query("retrieve", retrieve_sql())
 def retrieve(spark, sf):
     """Keyword and semantic lists, fused and reranked"""
-    return R.retrieve(docs(spark, sf), "la de enten", semantic(spark, sf, n=1)).drop("text")
+    return shown(R.retrieve(docs(spark, sf), "la de enten", first_query(spark, sf)))
+
+
+@query("retrieve_filtered", retrieve_sql("lang = 'de'").replace("FROM documents)\n  WHERE length(term)", "FROM documents WHERE lang = 'de')\n  WHERE length(term)").replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE lang = 'de')"))
+def retrieve_filtered(spark, sf):
+    """A filter on both sides; term weights are those of the filtered documents"""
+    return shown(R.retrieve(docs(spark, sf), "la de enten", first_query(spark, sf), where=F.col("lang") == "de"))
 
 
-@query("bm25_chunk_lookup", f"WITH {SEM} SELECT id, round(score * 9, 6) AS score, round(greatest(0, least(1, 1 - score * 9 / 10)), 6) AS distance, lang FROM sem JOIN documents ON doc_id = id WHERE query_id = 0")
+@query("retrieve_neighbours", f"""WITH r AS ({retrieve_sql()}), p AS (SELECT r.*, unnest([id - 1, id, id + 1]) AS near, unnest(['prev', 'main', 'next']) AS part FROM r) SELECT near AS id, part, score, method, rank, md5(text) AS hash FROM p JOIN documents ON doc_id = near""")
+def retrieve_neighbours(spark, sf):
+    """Each result with the texts before and after it"""
+    d = docs(spark, sf)
+    near = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") > 0, F.col("doc_id") - 1).alias("prev_id"), (F.col("doc_id") + 1).alias("next_id"), "text")
+    found = R.retrieve(d, "la de enten", first_query(spark, sf), neighbours=near)
+    return found.where("text is not null").select("id", "part", F.round("score", 6).alias("score"), "method", F.col("rank").cast("long").alias("rank"), F.md5("text").alias("hash"))
+
+
+@query("retrieve_graph", f"""WITH r AS ({retrieve_sql()}), e AS (SELECT doc_id AS a, doc_id + 7 AS b, doc_id % 10 / 10.0 AS s FROM documents UNION SELECT doc_id, doc_id + 11, doc_id % 7 / 10.0 FROM documents), d AS (SELECT a AS u, b AS v, s FROM e UNION ALL SELECT b, a, s FROM e),
+  n AS (SELECT v, max(score) / 2 AS score FROM (SELECT v, score FROM d JOIN r ON u = id QUALIFY row_number() OVER (PARTITION BY u ORDER BY s DESC, v) <= 5) GROUP BY 1)
+  SELECT id, round(score, 5) AS score, method FROM r UNION ALL SELECT v, round(score, 5), 'graph' FROM n JOIN documents ON doc_id = v WHERE v NOT IN (SELECT id FROM r)""")
+def retrieve_graph(spark, sf):
+    """Results with their neighbours in a graph"""
+    d = docs(spark, sf)
+    k = F.col("doc_id")
+    edges = d.select(k.alias("a"), (k + 7).alias("b"), (k % 10 / 10).alias("severity")).union(d.select(k, k + 11, k % 7 / 10)).distinct()
+    found = R.retrieve(d, "la de enten", first_query(spark, sf), edges=edges)
+    return found.select("id", F.round(F.round("score", 6), 5).alias("score"), "method")
+
+
+@query("bm25_chunk_lookup", f"WITH {SEM} SELECT id, round(score * 9, 6) AS score, round(greatest(0, least(1, 1 - score * 9 / 10)), 6) AS distance, lang, query_id FROM sem JOIN documents ON doc_id = id")
 def bm25_chunk_lookup(spark, sf):
     """J17"""
-    hits = semantic(spark, sf, n=1).select("id", (F.col("score") * 9).alias("score"))
+    hits = semantic(spark, sf).select("query_id", "id", (F.col("score") * 9).alias("score"))
     found = R.bm25_to_chunks(hits, docs(spark, sf).select(F.col("doc_id").alias("id"), "lang"))
-    return found.select("id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "lang")
+    return found.select("id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "lang", "query_id")
 
 
 @query("parent_texts", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o_orderkey IS NULL THEN l_returnflag ELSE o_orderstatus END AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem) LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey")
@@ -49,23 +94,23 @@ def parent_texts(spark, sf):
     return R.with_parents(child.select("id"), child, parent).select("id.l_orderkey", "id.l_linenumber", "id.l_partkey", "text")
 
 
-@query("service_calls", """WITH n AS (SELECT s_name AS node, CASE WHEN s_suppkey % 2 = 0 THEN 'svc' || (s_suppkey % 10) END AS service FROM supplier), c AS (SELECT s_name AS source, CASE WHEN s_suppkey % 3 = 0 THEN 'svc' || (s_suppkey % 10) ELSE '00' || (s_suppkey % 9) END AS called FROM supplier WHERE s_suppkey <= 60),
+@query("service_calls", """WITH n AS (SELECT s_name AS node, CASE WHEN s_suppkey % 2 = 0 THEN 'svc' || (s_suppkey % 10) END AS service FROM supplier), c AS (SELECT s_name AS source, CASE WHEN s_suppkey % 3 = 0 THEN 'svc' || (s_suppkey % 10) ELSE '00' || (s_suppkey % 9) END AS called FROM supplier),
   s AS (SELECT source, called, coalesce((SELECT min(node) FROM n WHERE service = called), (SELECT min(node) FROM n WHERE contains(node, called))) AS target FROM c) SELECT DISTINCT source, target FROM s WHERE target IS NOT NULL AND source <> target""")
 def service_calls(spark, sf):
     """J12"""
     s = table(spark, sf, "supplier")
     nodes = s.select(F.col("s_name").alias("node"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("svc"), F.col("s_suppkey") % 10)).alias("service"))
     called = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("svc"), F.col("s_suppkey") % 10)).otherwise(F.concat(F.lit("00"), F.col("s_suppkey") % 9))
-    return R.service_calls(nodes, s.where("s_suppkey <= 60").select(F.col("s_name").alias("source"), called.alias("called"))).select("source", "target")
+    return R.service_calls(nodes, s.select(F.col("s_name").alias("source"), called.alias("called"))).select("source", "target")
 
 
-@query("span_sections", """WITH c AS (SELECT doc_id, k * 500 AS start, k * 500 + 400 AS "end" FROM documents, range(0, 4) r(k) WHERE k * 500 < n_chars), s AS (SELECT doc_id, k AS place, k * 700 AS s, k * 700 + 700 AS e FROM documents, range(0, 3) r(k))
+@query("span_sections", """WITH c AS (SELECT doc_id, k * 500 AS start, k * 500 + 400 AS "end" FROM (SELECT doc_id, unnest(range(0, (length(text) + 499) // 500)) AS k FROM documents)), s AS (SELECT doc_id, k AS place, k * 700 AS s, k * 700 + 700 AS e FROM (SELECT doc_id, unnest(range(0, (length(text) + 699) // 700)) AS k FROM documents))
   SELECT c.doc_id, start, "end", 'part ' || min(place) AS title FROM c JOIN s ON c.doc_id = s.doc_id AND NOT ("end" < s OR start >= e) GROUP BY 1, 2, 3""")
 def span_sections(spark, sf):
     """J18"""
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k")
-    spans = docs(spark, sf).select("doc_id", "n_chars", k).where("k * 500 < n_chars").select("doc_id", (F.col("k") * 500).alias("start"), (F.col("k") * 500 + 400).alias("end"))
-    parts = docs(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("place"))
+    upto = lambda step: F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / step)), lambda k: k * step < F.length("text")))
+    spans = docs(spark, sf).select("doc_id", upto(500).alias("k")).select("doc_id", (F.col("k") * 500).alias("start"), (F.col("k") * 500 + 400).alias("end"))
+    parts = docs(spark, sf).select("doc_id", upto(700).alias("place"))
     parts = parts.select("doc_id", "place", (F.col("place") * 700).alias("start"), (F.col("place") * 700 + 700).alias("end"), F.concat(F.lit("part "), "place").alias("title"))
     return R.spans_to_sections(spans, parts)
 
@@ -78,19 +123,29 @@ def sampled_edges(spark, sf):
     return R.sampled_edges(edges, n.select((F.col("n_nationkey") + 10).alias("node"), F.col("n_regionkey").alias("sampled")))
 
 
-@query("vocabulary_merge", """WITH t AS (SELECT p_brand AS term, p_size AS weight, 1::BIGINT AS f, 0 AS p FROM part WHERE p_partkey <= 20 UNION ALL SELECT p_brand, p_size, 2, 1 FROM part WHERE p_partkey BETWEEN 15 AND 60),
+@query("vocabulary_merge", """WITH t AS (SELECT p_brand AS term, p_size AS weight, 1::BIGINT AS f, 0 AS p FROM part WHERE p_size <= 25 UNION ALL SELECT p_brand, p_size, 2, 1 FROM part WHERE p_size > 15),
   u AS (SELECT term, min(weight) AS weight, sum(f) AS f, p FROM t GROUP BY term, p) SELECT term, arg_min(weight, p) AS weight, sum(f)::BIGINT AS frequency FROM u GROUP BY 1""")
 def vocabulary_merge(spark, sf):
     """U06"""
     part = table(spark, sf, "part")
     side = lambda w, f: part.where(w).groupBy(F.col("p_brand").alias("term")).agg(F.min("p_size").alias("weight"), F.sum(F.lit(f).cast("long")).alias("frequency"))
-    return R.merged_vocabulary(side("p_partkey <= 20", 1), side("p_partkey between 15 and 60", 2))
+    return R.merged_vocabulary(side("p_size <= 25", 1), side("p_size > 15", 2))
 
 
-@query("dependency_cycles", "SELECT * FROM (VALUES (1::BIGINT, 3), (2, 2), (3, 2), (4, 3)) t(node, length) UNION ALL SELECT 7, 1")
+@query("dependency_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS u, n_nationkey % 7 AS v FROM nation), p(path, last) AS (SELECT [u], u FROM e UNION SELECT list_append(path, v), v FROM p JOIN e ON u = last WHERE v > path[1] AND NOT list_contains(path, v)),
+  c AS (SELECT DISTINCT path FROM p JOIN e ON u = last AND v = path[1]) SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM c""")
 def dependency_cycles(spark, sf):
-    """Members of cycles and the shortest one's length"""
-    return R.cycle_members(spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (4, 1), (2, 4), (5, 1), (7, 7)], "u long, v long").where("u <> 3 or v <> 9"), 4)
+    """All simple cycles of a directed graph of regions and nations"""
+    arcs = table(spark, sf, "nation").select(F.col("n_regionkey").alias("u"), (F.col("n_nationkey") % 7).alias("v"))
+    return R.simple_cycles(arcs).select(F.array_join("cycle", ">").alias("cycle"), F.size("cycle").alias("length"))
+
+
+@query("child_parents", "SELECT l_orderkey, l_linenumber, l_partkey, any_value(o_orderstatus) AS parent_text FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 1, 2, 3")
+def child_parents(spark, sf):
+    """Children without a parent are left out"""
+    line = table(spark, sf, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_orderkey").alias("parent_id")).distinct()
+    parent = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("parent_id"), F.col("o_orderstatus").alias("text"))
+    return R.children_with_parents(line.select("id"), line, parent).select("id.l_orderkey", "id.l_linenumber", "id.l_partkey", "parent_text")
 
 
 @query("chapter_labels", "SELECT * FROM (VALUES ('one', 'Chapter 1'), (' IV ', 'Chapter 4'), ('12', 'Chapter 12'), ('A', 'Annex'), ('B', 'Chapter B')) t(number, label)")
@@ -113,10 +168,10 @@ def json_blocks(spark, sf):
     return rows.select("id", R.json_of("t").alias("found"))
 
 
-@query("prompts", "SELECT conv_id, 'Context:' || chr(10) || string_agg('[' || i || '] ' || left(text, 40), chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: why?' || chr(10) || 'Answer:' AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) WHERE i <= 3 GROUP BY 1")
+@query("prompts", "SELECT conv_id, 'Context:' || chr(10) || string_agg('[' || i || '] ' || text, chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: why?' || chr(10) || 'Answer:' AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations) GROUP BY 1")
 def prompts(spark, sf):
     """X54"""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(40)).alias("t")))), 1, 3).alias("c"))
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("c"))
     return turns.select("conv_id", R.prompt(F.lit("why?"), F.transform("c", lambda x: x["t"])).alias("prompt"))
 
 
@@ -128,6 +183,6 @@ def table_stats(spark, sf):
 
 @query("term_clusters")
 def term_clusters(spark, sf):
-    """A vocabulary of 60 vectors, average linkage"""
-    rows = table(spark, sf, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return R.clustered(rows, 0.6, "average")
+    """Average linkage within the vocabulary of each label"""
+    rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return R.clustered(rows, 0.6, "average", "label")

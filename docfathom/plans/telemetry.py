@@ -111,7 +111,10 @@ def token_budget(spark, sf):
     return found.select("user_id", "event_id", F.round("spent", 4).alias("spent"), "allowed", "warned")
 
 
-@query("token_bucket_replay")
+@query("token_bucket_replay", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+  r AS (SELECT user_id, i, t, 2.0::DOUBLE AS tokens, 1 AS passed FROM e WHERE i = 1 UNION ALL SELECT user_id, i, t, have - (have >= 1)::INT, passed + (have >= 1)::INT FROM
+    (SELECT e.user_id, e.i, e.t, passed, least(3.0::DOUBLE, tokens + (e.t - r.t) * (1 / 7200.0::DOUBLE)) AS have FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+  SELECT user_id, max(i)::BIGINT AS requests, max(passed)::BIGINT AS passed FROM r GROUP BY 1""")
 def token_bucket(spark, sf):
     """Replay of each user's requests"""
     return T.token_bucket(events(spark, sf), ["user_id"], "ts", 1 / 7200, 3.0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import keyword as K
@@ -13,7 +12,7 @@ from .registry import query, table
 D = "list_transform(embedding, lambda x: x::DOUBLE)"
 COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 SEM = f"""e AS (SELECT vec_id, label, {D} AS v FROM embeddings), sem AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS r
-  FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS} AS score FROM e a, e b WHERE a.vec_id < 4) QUALIFY r <= 20)"""
+  FROM (SELECT a.vec_id // 100 AS query_id, b.vec_id AS id, {COS} AS score FROM e a, e b WHERE a.vec_id % 100 = 0) QUALIFY r <= 20)"""
 
 
 def kw_sql() -> str:
@@ -30,11 +29,11 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def semantic(spark, sf, n=4, k=20):
+def semantic(spark, sf, k=20):
+    """Every row whose id is divisible by 100 is a query, against all rows; query_id is that hundredth."""
     rows = vectors(spark, sf)
-    first = rows.where(F.col("id") < n).orderBy("id").collect()  # a stated set of n queries
-    found = V.nearest(rows, np.array([r[0] for r in first]), np.array([r[1] for r in first], float), k)
-    return found.select("query_id", "id", F.col("similarity").alias("score"))
+    found = V.knn_join(rows, k, queries=rows.where("id % 100 = 0"), same=False)
+    return found.select((F.col("query_id") / 100).cast("long").alias("query_id"), "id", F.col("similarity").alias("score"))
 
 
 def keyword(spark, sf, k=20):
@@ -108,17 +107,18 @@ def combined(spark, sf):
     return once.select("query_id", "id", F.round(F.greatest(F.lit(0.0), 1 - 0.1 * (F.col("r") - 1)), 6).alias("score"), "method")
 
 
-LINK = f"""{SEM}, hits AS (SELECT query_id, id, 1 - score AS distance, text, lower(text) AS low FROM sem JOIN documents ON doc_id = id WHERE query_id = 0)"""
+LINK = f"""{SEM}, hits AS (SELECT query_id, id, 1 - score AS distance, text, lower(text) AS low FROM sem JOIN documents ON doc_id = id)"""
 
 
 @query("rerank_light", f"""WITH {LINK}, w AS (SELECT *, list_filter(regexp_split_to_array(low, '\\s+'), lambda x: x <> '') AS words FROM hits),
-  s AS (SELECT id, greatest(0, 1 - distance / 2) + 0.2 * len(list_intersect(['api', 'de', 'en', 'of'], words)) / 4.0 + CASE WHEN id % 3 = 1 THEN 0.1 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END
-    + CASE WHEN len(words) BETWEEN 300 AND 600 THEN 0.05 WHEN len(words) < 100 THEN -0.05 ELSE 0 END AS score FROM w) SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, id LIMIT 10""")
+  s AS (SELECT query_id, id, greatest(0, 1 - distance / 2) + 0.2 * len(list_intersect(['api', 'de', 'en', 'of'], words)) / 4.0 + CASE WHEN id % 3 = 1 THEN 0.1 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END
+    + CASE WHEN len(words) BETWEEN 300 AND 600 THEN 0.05 WHEN len(words) < 100 THEN -0.05 ELSE 0 END AS score FROM w) SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
 def rerank_light(spark, sf):
     """V11"""
-    hits = semantic(spark, sf).where("query_id = 0").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = semantic(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     score = V.rerank_score(F.col("text"), 1 - F.col("score"), "api of de en", F.col("id") % 3, F.col("id") % 2 == 0, F.lit(False), F.lit(False))
-    return hits.select("id", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(10).withColumn("score", F.round("score", 6))
+    best = K.top(hits.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc(F.round("score", 9)), F.asc("id")], 10)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("explain_retrieval", f"""WITH {SEM}, s AS (SELECT query_id, id, label, round(1 - least(1 - score, 1), 3) AS sim FROM sem JOIN e ON vec_id = id WHERE r <= 5)
@@ -188,9 +188,18 @@ def vector_scalars(spark, sf):
                                                 F.size(V.resized(F.col("embedding"), 100)).cast("long").alias("padded"), F.round(head, 5).alias("head"))
 
 
-@query("synonym_pairs", f"""WITH e AS (SELECT vec_id, {D} AS v FROM embeddings WHERE vec_id < 200) SELECT a.vec_id AS id, string_agg(b.vec_id::VARCHAR, ',' ORDER BY b.vec_id) AS synonyms FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE {COS} >= 0.8 GROUP BY 1""")
+@query("synonym_pairs", f"""WITH e AS (SELECT vec_id, {D} AS v FROM embeddings) SELECT a.vec_id AS id, string_agg(b.vec_id::VARCHAR, ',' ORDER BY b.vec_id) AS synonyms FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE {COS} >= 0.8 GROUP BY 1""")
 def synonym_pairs(spark, sf):
-    """A vocabulary of 200 terms, each with those of cosine 0.8 or more"""
-    rows = vectors(spark, sf).where("id < 200")
-    near = V.knn_join(rows, 199).where("similarity >= 0.8")
+    """Each vector with those of cosine 0.8 or more"""
+    near = V.close_pairs(vectors(spark, sf), 0.8)
     return near.groupBy(F.col("query_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("synonyms"))
+
+
+@query("semantic_expansion", f"""WITH e AS (SELECT vec_id, {D} AS v FROM embeddings), p AS (SELECT a.vec_id AS term, b.vec_id AS other, 1 - sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)))
+  / nullif(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] + p[2]) ** 2))), 0) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+  SELECT term, other, round(s, 6) AS similarity FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(s, 12) DESC, other) <= 3) WHERE s >= 0.2""")
+def semantic_expansion(spark, sf):
+    """For every hundredth vector as a term its three nearest candidates over a threshold, by norm ratio"""
+    rows = vectors(spark, sf)
+    found = V.expansions(rows.where("id % 100 = 0"), rows, 3, 0.2)
+    return found.select("term", "other", F.round("similarity", 6).alias("similarity"))

@@ -53,25 +53,49 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write the tables to a folder of their own and then name it in one small file: readers see all or nothing new."""
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n[len(POINTER) :]) for n in names if n.startswith(POINTER) and n[len(POINTER) :].isdecimal())
+
+
+#: Small files, numbered, each naming a version; the highest number counts.
+POINTER = "CURRENT-"
+
+
+def publish(tables: dict[str, DataFrame], root: str, rows_per_file: int = 0, partition_by: dict[str, list[str]] | None = None) -> str:
+    """Write the tables to a folder of their own and then name it in a small file of the next number, which appears whole: readers see all
+    or nothing new, whenever they look. The last pointer but one stays for readers that have just listed it."""
     spark = next(iter(tables.values())).sparkSession
     version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fs_path(f"{root}/CURRENT.{version}"), True)
+        writer = df.write.option("maxRecordsPerFile", rows_per_file)
+        columns = (partition_by or {}).get(name)
+        (writer.partitionBy(*columns) if columns else writer).parquet(f"{root}/{version}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path(f"{root}/.{version}"), True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(fs_path(f"{root}/CURRENT"), False)
-    if not fs.rename(fs_path(f"{root}/CURRENT.{version}"), fs_path(f"{root}/CURRENT")):
+    known = _pointers(spark, root)
+    if not fs.rename(path(f"{root}/.{version}"), path(f"{root}/{POINTER}{(known or [0])[-1] + 1:012}")):
         raise OSError("another writer published")
+    for old in known[:-1]:
+        fs.delete(path(f"{root}/{POINTER}{old:012}"), False)
     return version
 
 
+def current(spark: SparkSession, root: str) -> str | None:
+    """The version that is published, if any."""
+    known = _pointers(spark, root)
+    return spark.read.text(f"{root}/{POINTER}{known[-1]:012}").first()[0] if known else None
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
+    version = current(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published in {root}")
     return spark.read.parquet(f"{root}/{version}/{name}")
 
 
