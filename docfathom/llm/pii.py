@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[Span]:
             found.append(Span(start, "email", used))
         at = text.find("@", max(at + 1, used))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
             found.append(Span(m.start(), "ip", m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= MIN_CARD and MIN_CARD <= len(d := digits_of(m[0])) <= MAX_CARD and luhn(d):
