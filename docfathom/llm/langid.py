@@ -6,11 +6,12 @@ frequencies. A text's word scores add up; the score given is the softmax of thei
 words up to a limit, so that one odd word doesn't decide like a thousand.
 
 Fitting reads a bounded sample: about `per_language` documents of each language, chosen by the hash of doc_id, with
-counts summed in Spark; the model keeps the `entries` most frequent words and n-grams of each length. Rows without a
-language are not learned from. A prediction sees the text alone.
+counts summed in Spark; the model keeps the `entries` most frequent words and n-grams of each length, with their counts
+in every language. Rows without a language are not learned from. A prediction sees the text alone.
 
-Defined results: `und` and score 0 for null text, text without a letter, or a model without a language; long texts
-are read whole; rows that repeat get equal answers; an empty table gives no rows.
+Defined results: `und` and score 0 for null text, text without a letter, or a model without a language; of languages
+that score alike the first by name; long texts are read whole; rows that repeat get equal answers; an empty table gives
+no rows; columns but doc_id, text and (in training) lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,13 @@ HELD = 500_000
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    """Runs of letters. Numbers that the pattern lets through (fractions, circled and Roman numerals) part them."""
+    out = Counter(WORD.findall((text or "").lower()))
+    for w in [w for w in out if not w.isalpha()]:
+        n = out.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            out[part] += n
+    return out
 
 
 def grams(word: str, n: int) -> list[list[str]] | Iterator[list[str]]:
@@ -116,21 +123,44 @@ class Model:
                 return total / held
         return np.zeros(len(self.langs))
 
-    def predict(self, words: Counter, memo: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, words: Counter, memo: Memo) -> tuple[str, float]:
         if not words or not self.langs:
             return "und", 0.0
-        if len(memo) + len(words) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.word(w)
-        n = np.fromiter(words.values(), float, len(words))
-        mean = n @ np.array([memo[w] for w in words]) / n.sum()
-        power = np.exp((mean - mean.max()) * min(n.sum(), CERTAIN))
+        total, held, part = np.zeros(len(self.langs)), 0, {}
+        for w, n in words.items():  # a part of the words at a time: a text may hold more than the memory
+            part[w] = n
+            if len(part) == MEMO:
+                total, held, part = total + memo.weighed(self, part), held + sum(part.values()), {}
+        held += sum(part.values())
+        mean = (total + memo.weighed(self, part)) / held
+        power = np.exp((mean - mean.max()) * min(held, CERTAIN))
         best = int(power.argmax())
         return self.langs[best], float(power[best] / power.sum())
 
 
+class Memo:
+    """Scores of words seen before, one row each; emptied when it is full."""
+
+    def __init__(self, languages: int):
+        self.at: dict[str, int] = {}
+        self.rows = np.empty((1024, languages))
+
+    def weighed(self, model: Model, words: dict[str, int]) -> np.ndarray:
+        """The words' scores, each as often as the word is there, summed."""
+        at = self.at
+        new = words.keys() - at.keys()
+        if len(at) + len(new) > MEMO:
+            at.clear()
+            new = words.keys()
+        while len(at) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        for w in new:
+            self.rows[len(at)] = model.word(w)
+            at[w] = len(at)
+        place = np.fromiter((at[w] for w in words), np.int64, len(words))
+        return np.fromiter(words.values(), float, len(words)) @ self.rows[place]
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENTRIES) -> Model:
     """From rows (doc_id, text, lang). All languages of the rows are learned; what is read of each and the table's entries are bounded by the parameters."""
     docs = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
@@ -142,7 +172,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENTRIE
     totals = {(r[0], r[1]): r[2] for r in count.groupBy("lang", "kind").agg(F.sum("n")).collect()}
     rows: list[tuple] = []
     for kind in (0, *ORDERS):
-        rows += count.where(F.col("kind") == kind).orderBy(F.desc("n"), "gram", "lang").limit(entries).collect()
+        part = count.where(F.col("kind") == kind)
+        best = part.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(entries)
+        rows += part.join(F.broadcast(best), "gram").select("lang", "kind", "gram", "n").orderBy("gram", "lang").collect()  # `entries` n-grams, with their counts in all languages
     count.unpersist()
     return Model([tuple(r) for r in rows], totals)
 
@@ -152,7 +184,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        memo = Memo(len(shared.value.langs))
         for batch in batches:
             found = [shared.value.predict(words_of(t), memo) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
