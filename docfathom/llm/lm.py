@@ -44,6 +44,8 @@ SHARD_ROWS = 4_000_000
 #: Tokens that a task holds before it sends a run.
 RUN = 3_000_000
 MEMO = 400_000
+#: A bigram is two ids in one key of 64 bits; the last id is the start of a text.
+MAX_WORDS = (1 << 32) - 2
 
 
 class Shard(NamedTuple):
@@ -96,17 +98,29 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def exact_sums(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Sums of counts by place; bincount() would add them as doubles."""
+    out = np.zeros(size, "<u8")
+    np.add.at(out, at, counts.astype(np.uint64))
+    return out
+
+
+def present(small: np.ndarray) -> np.ndarray:
+    """The distinct values of small integers from 0, in order."""
+    return np.flatnonzero(np.bincount(small))
+
+
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted run: differences of the keys and the counts, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    parts = steps.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    parts = steps.tobytes() + counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
     return pa.compress(parts, codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = np.frombuffer(pa.decompress(blob, 12 * rows, codec="zstd", asbytes=True), np.uint8)
-    steps, counts = parts[: 8 * rows].reshape(8, rows).T, parts[8 * rows :].reshape(4, rows).T
-    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(counts).view("<u4").ravel().astype(np.int64)
+    parts = np.frombuffer(pa.decompress(blob, 16 * rows, codec="zstd", asbytes=True), np.uint8)
+    steps, counts = (p.reshape(8, rows).T for p in (parts[: 8 * rows], parts[8 * rows :]))
+    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(counts).view("<i8").ravel()
 
 
 RUNS = "shard int, rows long, run binary"
@@ -172,7 +186,7 @@ class Words:
     """Ids and counts of token hashes, from the memory-mapped ranges."""
 
     def __init__(self, shards: list[Shard]):
-        self.parts = [(s.first, mapped(s.path, "<u8", s.rows), mapped(s.path, "<u4", s.rows, 8 * s.rows)) for s in shards if s.rows]
+        self.parts = [(s.first, mapped(s.path, "<u8", s.rows), mapped(s.path, "<u8", s.rows, 8 * s.rows)) for s in shards if s.rows]
         self.low = np.array([p[1][0] for p in self.parts], np.uint64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +194,7 @@ class Words:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         if self.parts:
             part = np.searchsorted(self.low, hashes, "right") - 1
-            for k in np.unique(part):
+            for k in present(part + 1) - 1:
                 if k >= 0:
                     first, keys, count = self.parts[k]
                     here = np.flatnonzero(part == k)
@@ -212,11 +226,11 @@ def word_shards(texts: DataFrame, shards: int, folder: str) -> list[Shard]:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, counts in merged(batches):
-            yield files(shard, put(folder, f"words-{shard}", [keys.astype("<u8"), counts.astype("<u4")]), len(keys), [float(counts.sum())])
+            yield files(shard, put(folder, f"words-{shard}", [keys.astype("<u8"), counts.astype("<u8")]), len(keys), [float(counts.sum())])
 
     rows = gathered(texts.select("text").mapInArrow(count, RUNS), shards).mapInArrow(write, FILES)
     found, first = [], 0
-    for r in sorted(cut(rows, "lm").collect()):
+    for r in sorted(cut(rows, "lm", large=True).collect()):
         found.append((Shard(r[1], first, r[2]), r[3][0]))
         first += r[2]
     return found
@@ -284,9 +298,9 @@ def bigram_shards(texts: DataFrame, found: list[Shard], distinct: int, shards: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, counts in merged(batches):
             before = (keys >> np.uint64(32)).astype(np.int64) - shard * width
-            total = np.bincount(before, counts, width).astype("<u4")
-            kinds = [np.bincount(before[hit], minlength=width).astype("<u4") for hit in (counts == 1, counts == 2, counts > 2)]
-            path = put(folder, f"bigrams-{shard}", [keys.astype("<u8"), total, *kinds, np.minimum(counts, 0xFFFFFFFF).astype("<u4")])
+            total = exact_sums(before, counts, width)
+            kinds = [np.bincount(before[hit], minlength=width).astype("<u8") for hit in (counts == 1, counts == 2, counts > 2)]
+            path = put(folder, f"bigrams-{shard}", [keys.astype("<u8"), total, *kinds, counts.astype("<u8")])
             yield files(shard, path, len(keys), of_count(counts))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +312,12 @@ def bigram_shards(texts: DataFrame, found: list[Shard], distinct: int, shards: i
 
     def write_follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, ids, counts in merged(batches):
-            dense = np.zeros(width, "<u4")
+            dense = np.zeros(width, "<u8")
             dense[ids.astype(np.int64) - shard * width] = counts
             stats = [*of_count(counts), float((counts == 1).sum()), float((counts == 2).sum()), float((counts > 2).sum())]
             yield files(shard, put(folder, f"follows-{shard}", [dense]), width, stats)
 
-    pairs = cut(gathered(texts.select("text").mapInArrow(count, RUNS), shards).mapInArrow(write, FILES), "lm")
+    pairs = cut(gathered(texts.select("text").mapInArrow(count, RUNS), shards).mapInArrow(write, FILES), "lm", large=True)
     follows = cut(gathered(pairs.repartition(shards, "path").mapInArrow(follow, RUNS), shards).mapInArrow(write_follow, FILES), "lm")
     return sorted(pairs.collect()), sorted(follows.collect()), width
 
@@ -312,9 +326,11 @@ def fit(docs: DataFrame) -> tuple[Model, int]:
     """The model of rows (text), and the number of context ids in a bigram shard."""
     spark, folder = docs.sparkSession, new_path(docs.sparkSession, "model")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = word_shards(docs, shards, folder)
+    counted = word_shards(docs, shards, folder)  # a shard is as large as a shuffle partition is set to be
     words = [s for s, _ in counted]
     tokens, distinct = int(sum(n for _, n in counted)), sum(s.rows for s in words)
+    if distinct >= MAX_WORDS:
+        raise ValueError("a bigram's key has 32 bits for a word")
     more = max(shards, math.ceil(tokens / (8 * SHARD_ROWS)))
     pairs, follows, width = bigram_shards(docs, words, distinct, more, folder)
     count = np.sum([r[3] for r in pairs], axis=0) if pairs else np.zeros(4)
@@ -330,9 +346,9 @@ class Scorer:
     def __init__(self, model: Model, width: int):
         self.model, self.width = model, width
         self.words = Words(model.words)
-        self.bigrams = {s.first: (mapped(s.path, "<u8", s.rows), [mapped(s.path, "<u4", width, 8 * s.rows + 4 * width * k) for k in range(4)],
-                                  mapped(s.path, "<u4", s.rows, 8 * s.rows + 16 * width)) for s in model.bigrams}
-        self.follows = {s.first: mapped(s.path, "<u4", width) for s in model.follows}
+        self.bigrams = {s.first: (mapped(s.path, "<u8", s.rows), [mapped(s.path, "<u8", width, 8 * (s.rows + width * k)) for k in range(4)],
+                                  mapped(s.path, "<u8", s.rows, 8 * (s.rows + 4 * width))) for s in model.bigrams}
+        self.follows = {s.first: mapped(s.path, "<u8", width) for s in model.follows}
 
     def lower(self, ids: np.ndarray) -> np.ndarray:
         """Continuation probability of each id (-1 unknown), down to the uniform one."""
@@ -342,7 +358,7 @@ class Scorer:
             return np.full(len(ids), uniform)
         count = np.zeros(len(ids))
         shard = ids // self.width
-        for k in np.unique(shard[ids >= 0]):
+        for k in present(shard[ids >= 0]):
             if int(k) in self.follows:
                 here = (shard == k) & (ids >= 0)
                 count[here] = self.follows[int(k)][ids[here] - k * self.width]
@@ -362,7 +378,7 @@ class Scorer:
         out = low.copy()
         shard = before // self.width
         d1, d2, d3 = m.discounts
-        for k in np.unique(shard[before >= 0]):
+        for k in present(shard[before >= 0]):
             if int(k) not in self.bigrams:
                 continue
             sorted_keys, stats, counts = self.bigrams[int(k)]
