@@ -8,7 +8,9 @@ Training reads at most `rows` labelled documents, those of the smallest hash of
 learned weights (8 * 2**BITS bytes at most) reach the driver and from there every scoring task.
 
 Defined results: null and empty texts score by the bias alone; null labels and doc_ids are not learned from; an empty
-label table gives the score 0.5; rows that repeat get equal scores; texts of any length are read whole.
+label table gives the score 0.5; rows that repeat get equal scores and are learned from once (of texts under one doc_id
+the first in order); texts of any length are read whole; labels that tie in hash go by doc_id; other columns are only
+passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Indices and weights that are not zero, learned in one task from a sample bounded by `rows`."""
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     chosen = F.broadcast(sample_by_hash(chosen, "doc_id", rows))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # rows may repeat
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
