@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BANDS, LANES, components, cut, discard, linked_components
+from .common import BANDS, LANES, components, cut, discard, linked_components, shared, sorted_distinct
 
 SEED = 42
 SHINGLE = 3
@@ -87,7 +87,9 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     """Links (a, b), a < b, such that fingerprints within two bits of each other are connected, and no others."""
     fp = F.col("fp")
     halves = [ball(fp, 32, 0), ball(fp, 32, 32)]
-    keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(fp, *halves[0], *halves[1])).alias("z"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").repartition(parts, "fp").distinct()  # a number keeps the partitions apart: each row becomes 65
+    keyed = distinct.select("fp", F.explode(F.array(fp, *halves[0], *halves[1])).alias("z"))
     first = keyed.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("z", "a")
     return (keyed.join(first, "z").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
             .where("bit_count(a ^ b) <= 2"))
@@ -95,7 +97,7 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable over links of two bits."""
-    fps = cut(fingerprints(docs, shingle), "fingerprints")
+    fps = cut(fingerprints(docs, shingle), "fingerprints", large=True)
     groups = components(near_fingerprints(fps))
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     own = own.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
@@ -105,7 +107,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), shingle))
+    return sorted_distinct(shingle_hashes(words_of(text), shingle))
 
 
 def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -139,7 +141,7 @@ def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 a, b = distinct_hashes(x, shingle), distinct_hashes(y, shingle)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                both = len(shared(a, b))
                 keep.append(both >= least * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
