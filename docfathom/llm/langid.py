@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 1_000
-ENTRIES = 60_000
+#: Words, and n-grams of each length, in the model, each with its counts in all languages: about as many rows as 60,000 pairs with a language.
+ENTRIES = 25_000
 ORDERS = (5, 4, 3, 2, 1)
 MIN_COUNT = 2
 CERTAIN = 12
@@ -148,10 +149,10 @@ class Memo:
     def weighed(self, model: Model, words: dict[str, int]) -> np.ndarray:
         """The words' scores, each as often as the word is there, summed."""
         at = self.at
-        new = words.keys() - at.keys()
+        new = [w for w in words if w not in at]  # a difference of the keys would go through the whole memory
         if len(at) + len(new) > MEMO:
             at.clear()
-            new = words.keys()
+            new = list(words)
         while len(at) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
         for w in new:
