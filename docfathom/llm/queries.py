@@ -1,12 +1,12 @@
-"""The queries op1 to op10 over whole tables, as __spark_entry__ registers them."""
+"""The queries op1 to op13 over whole tables, as __spark_entry__ registers them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, decontam, langid, licenses, lines, lm, packing, pii, quality, simhash
-from .common import documents, remainder
+from . import anomaly, automaton, compaction, decontam, importance, langid, licenses, lines, lm, packing, pii, quality, simhash
+from .common import documents, new_path, remainder
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,25 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = automaton.decode(automaton.encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    drawn = importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compact_clicks(spark.read.parquet(f"{sf_dir}/clicks.parquet"), new_path(spark, "compacted"))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_pii": op2_pii,
@@ -77,5 +96,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_rules": op9_rules,
     "op10_lm": op10_lm,
+    "op11_automaton": op11_automaton,
+    "op12_importance": op12_importance,
+    "op13_compaction": op13_compaction,
 }
 ORACLES: dict[str, str] = {}
