@@ -27,9 +27,6 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-#: What a query on clicks returns.
-RESULT = ("day long, lot long, piece long, n_rows long, min_click_id long, max_click_id long, cents long, sources string, ids_sha256 string, "
-          "columns string, path string, rewritten boolean")
 UNIT = r"([^/]+)\.parquet$"
 
 
@@ -92,8 +89,9 @@ def write_files(df: DataFrame, path: str, staging: str, unit: str, order: list[s
     Columns of `order` that begin with _df_ aren't written either. removals: files that go once the new ones are there.
     """
     spark = df.sparkSession
+    # the journal publishes files, so tasks may put them in place aside as they end: no second round of moves
     ordered = df.repartition(unit).sortWithinPartitions(unit, *[F.col(f"`{c}`") for c in order])
-    ordered.drop(*[c for c in order if c.startswith("_df_")]).write.partitionBy(unit).parquet(staging)
+    ordered.drop(*[c for c in order if c.startswith("_df_")]).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(unit).parquet(staging)
     name = lambda f: f.rsplit("/", 2)[1].removeprefix(f"{unit}=")
     moves = [[f, f"{path}/{name(f)}.parquet"] for f in data_files(spark, staging)]
     _write(spark, f"{staging}.journal", json.dumps({"into": path, "moves": moves, "removals": removals or []}))
@@ -158,12 +156,16 @@ def compact(spark: SparkSession, schema: T.StructType, path: str, planned: DataF
 
 
 def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Files in a folder or its folders; none if there is no such folder."""
     fs, at = _fs(spark, path)
-    found, files = [], fs.listFiles(at(path), True)
-    while files.hasNext():
-        name = files.next().getPath().toString()
-        if name.endswith(".parquet"):
-            found.append(name)
+    found, folders = [], [at(path)] if fs.exists(at(path)) else []
+    while folders:
+        for status in fs.listStatus(folders.pop()):
+            name = status.getPath().toString()
+            if status.isDirectory():
+                folders.append(status.getPath())
+            elif name.endswith(".parquet"):
+                found.append(name)
     return sorted(found)
 
 
@@ -238,9 +240,7 @@ def compact_clicks(clicks: DataFrame, folder: str) -> DataFrame:
     share = lambda x: 1 + n // x
     path = f"{folder}/clicks"
     write_files(clicks_units(clicks, share(200)), path, f"{folder}/first", "_df_unit", ["arrived_at", "click_id"])
-    files = spark.createDataFrame([], "_df_file string, n_rows long")
-    if there := data_files(spark, path):
-        files = rows_of(spark, schema, there).groupBy("_df_file").agg(F.count(F.lit(1)).alias("n_rows"))
+    files = rows_of(spark, schema, [path]).groupBy("_df_file").agg(F.count(F.lit(1)).alias("n_rows"))
     parts = F.split("_df_unit", "_")
     files = files.withColumn("_df_unit", unit_of(F.col("_df_file")))
     files = files.select("_df_unit", parts[0].alias("_df_day"), parts[1].cast("long").alias("lot"), parts[2].cast("long").alias("piece"), "n_rows")
@@ -254,9 +254,7 @@ def compact_clicks(clicks: DataFrame, folder: str) -> DataFrame:
         F.array_join(F.transform(joined, lambda x: x["name"]), ",").alias("sources"), (F.count(F.lit(1)) > 1).alias("rewritten"), F.first("_df_unit").alias("_df_unit"),
     )
     final = final.withColumn("_df_to", F.when(F.col("rewritten"), F.col("_df_to")).otherwise(F.col("_df_unit"))).drop("_df_unit")
-    if not there:
-        return spark.createDataFrame([], RESULT)
-    found = digests(rows_of(spark, schema, data_files(spark, path)), "click_id", F.floor(100 * F.col("value") + 0.5))
+    found = digests(rows_of(spark, schema, [path]), "click_id", F.floor(100 * F.col("value") + 0.5))
     whole = found.withColumn("_df_to", unit_of(F.col("_df_file"))).join(F.broadcast(final), "_df_to")  # a row a file
     where = F.regexp_replace("_df_file", "^file:/+", "/")
     return whole.select("day", "lot", "piece", "n_rows", F.col("min_id").alias("min_click_id"), F.col("max_id").alias("max_click_id"), "cents", "sources", "ids_sha256",
