@@ -67,11 +67,37 @@ def ranked(post: DataFrame, terms: DataFrame, n_docs: Column, avg_length: Column
     """(query_id, doc_id, score, rank) of postings and query terms (query_id, term, times): the k best documents of each query, ties by doc_id."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = post.join(df.join(terms, "term"), "term")
-    weight = idf(n_docs, F.col("df"), floor) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / avg_length))
+    weight = idf(n_docs, F.col("df"), floor) * term_weight(F.col("tf"), F.col("doc_length"), avg_length)
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("times")).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def blocks(post: DataFrame, windows: int) -> DataFrame:
+    """Postings laid out in blocks: a row for each term and window of documents, with the documents in order and `impacts`, the least
+    length for each tf, which bound the score of any of them for any mean length. A window is the documents of one hash."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, windows))).cast("int").alias("window")
+    held = post.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "doc_length"))).alias("p"))
+    of = lambda tf: F.struct(tf.alias("tf"), F.array_min(F.transform(F.filter("p", lambda x: x["tf"] == tf), lambda x: x["doc_length"])).alias("doc_length"))
+    impacts = F.transform(F.array_distinct("p.tf"), of)
+    return held.select("term", "window", F.size("p").alias("n"), impacts.alias("impacts"), *[F.col(f"p.{c}").alias(c) for c in ("doc_id", "tf", "doc_length")])
+
+
+def unblocked(rows: DataFrame) -> DataFrame:
+    """Blocks as postings (doc_id, term, tf, doc_length), with the other columns of the blocks but their bounds."""
+    zipped = rows.withColumn("_p", F.explode(F.arrays_zip("doc_id", "tf", "doc_length"))).drop("doc_id", "tf", "doc_length", "n", "impacts")
+    return zipped.withColumns({c: F.col(f"_p.{c}") for c in ("doc_id", "tf", "doc_length")}).drop("_p")
+
+
+def term_weight(tf: Column, length: Column, avg_length: Column) -> Column:
+    """What a term's frequency adds to a score, for each unit of idf: more for a higher tf, less for a longer document."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
+
+
+def bound(avg_length: Column) -> Column:
+    """The most that a block's term can add for one of its documents, for each unit of idf."""
+    return F.array_max(F.transform("impacts", lambda x: term_weight(x["tf"], x["doc_length"], avg_length)))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, floor: float | None = EPSILON, toks=tokens) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, ties by doc_id.
 

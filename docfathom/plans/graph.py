@@ -10,34 +10,49 @@ from ..operators import keyword as K
 from ..session import with_checkpoints
 from .registry import query, table
 
-VALUE = "l_partkey || '@' || strftime(l_shipdate, '%Y-%m-%d')"
-EDGES = f"""line AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, {VALUE} AS value FROM lineitem), edges AS MATERIALIZED (SELECT a.node AS a, b.node AS b, count(*) AS shared FROM line a JOIN line b ON a.value = b.value AND a.node < b.node GROUP BY 1, 2),
+DAY = "l_partkey || '@' || strftime(l_shipdate, '%Y-%m-%d')"
+
+
+def edges_sql(value: str) -> str:
+    return f"""line AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, {value} AS value FROM lineitem), edges AS MATERIALIZED (SELECT a.node AS a, b.node AS b, count(*) AS shared FROM line a JOIN line b ON a.value = b.value AND a.node < b.node GROUP BY 1, 2),
 nodes AS (SELECT s_suppkey AS node FROM supplier), d AS MATERIALIZED (SELECT a AS u, b AS v, shared FROM edges UNION ALL SELECT b, a, shared FROM edges), deg AS (SELECT u, count(*) AS d FROM d GROUP BY 1)"""
 
 
-def deliveries(spark, sf):
-    """(node, value): suppliers, and the parts and days that they delivered."""
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node"), F.concat_ws("@", "l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value"))
+EDGES, PARTS = edges_sql(DAY), edges_sql("l_partkey")
+
+
+def deliveries(spark, sf, together: bool = False):
+    """(node, value): suppliers, and the parts that they delivered; together: the parts and days."""
+    value = F.concat_ws("@", "l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd")) if together else F.col("l_partkey")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node"), value.alias("value"))
 
 
 def graph(spark, sf):
-    """(nodes, edges): suppliers, joined where they delivered the same part on the same day, over all lines. The edges are checkpointed: what reads them does not join again."""
+    """(nodes, edges) for graph analytics: suppliers, joined where they delivered the same part on the same day, over all lines. Shared parts
+    alone join nearly every two suppliers, and analytics of a complete graph say nothing; the joins on all shared parts are queries of their
+    own. The edges are checkpointed: what reads them does not join again."""
     with_checkpoints(spark)
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), G.shared_value_edges(deliveries(spark, sf)).checkpoint()
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), G.shared_value_edges(deliveries(spark, sf, together=True)).checkpoint()
 
 
-@query("shared_value_edges", f"WITH {EDGES} SELECT * FROM edges")
+@query("shared_value_edges", f"WITH {PARTS} SELECT * FROM edges")
 def shared_value(spark, sf):
-    """J09, J10"""
+    """All pairs of suppliers that share a part, and how many they share"""
+    return G.shared_value_edges(deliveries(spark, sf))
+
+
+@query("shared_delivery_edges", f"WITH {EDGES} SELECT * FROM edges")
+def shared_delivery(spark, sf):
+    """The edges of graph()"""
     return graph(spark, sf)[1]
 
 
-@query("dependency_overlap", f"""WITH {EDGES}, n AS (SELECT node AS s, count(*) AS n FROM line GROUP BY 1)
+@query("dependency_overlap", f"""WITH {PARTS}, n AS (SELECT node AS s, count(*) AS n FROM line GROUP BY 1)
   SELECT a, b, round(shared / greatest(x.n, y.n)::DOUBLE, 9) AS weight FROM edges JOIN n x ON a = x.s JOIN n y ON b = y.s""")
 def dependency_overlap(spark, sf):
     """J11"""
     held = deliveries(spark, sf).groupBy("node").agg(F.count_distinct("value").alias("n"))
-    edges = graph(spark, sf)[1].join(held.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(held.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    edges = G.shared_value_edges(deliveries(spark, sf)).join(held.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(held.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     return edges.select("a", "b", F.round(F.col("shared") / F.greatest("na", "nb"), 9).alias("weight"))
 
 

@@ -139,6 +139,22 @@ def collection_upsert(spark, sf):
     return I.upsert(rows, new, "doc_id").select("doc_id", F.md5("text").alias("hash"))
 
 
+@query("collection_log", """SELECT doc_id::VARCHAR AS id, md5(CASE WHEN lang = 'es' THEN 'new ' || text ELSE text END) AS hash FROM documents WHERE lang <> 'fr' OR source = 'src2'""")
+def collection_log(spark, sf):
+    """A collection as a log of segments; an upsert and a delete write what they are given, and what is deleted can be put again"""
+    from ..session import new_folder
+    from ..sources.stores import Collections
+
+    rows = docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), F.array().cast("array<float>").alias("embedding"), F.create_map(F.lit("source"), "source").alias("metadata"), "lang")
+    store = Collections(spark, new_folder(spark, "collections"))
+    store.create("chunks")
+    store.add("chunks", rows)
+    store.add("chunks", rows.where("lang = 'es'").withColumn("document", F.concat(F.lit("new "), "document")))
+    store.delete("chunks", rows.where("lang = 'fr'"))
+    store.add("chunks", rows.where("lang = 'fr' and metadata['source'] = 'src2'"))
+    return store.rows("chunks").select("id", F.md5("document").alias("hash"))
+
+
 @query("collection_page", "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND n_chars <= 2000 AND source <> 'src1' ORDER BY doc_id LIMIT 20 OFFSET 40")
 def collection_page(spark, sf):
     """A compiled filter, in order"""

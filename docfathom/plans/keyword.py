@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
 from ..operators import keyword as K
+from ..session import new_folder
+from ..sources.stores import KeywordIndex
 from .registry import query, table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -56,6 +58,33 @@ def bm25_batch(spark, sf):
     return rounded(K.bm25(table(spark, sf, "documents"), queries, 6), 3)
 
 
+CHANGED = "changed AS (SELECT doc_id, CASE WHEN lang = 'es' THEN source || ' thon ' || text ELSE text END AS text FROM documents WHERE lang <> 'fr'), "
+
+
+@query("keyword_index_topk", bm25_sql(LITERALS, 10, f"greatest(0.25, {IDF})").replace("WITH tok", f"WITH {CHANGED} tok").replace("FROM documents)", "FROM changed)"))
+def keyword_index_topk(spark, sf):
+    """A persisted index of all documents, then those of one language changed and those of another deleted, each written as a segment; a search of its blocks"""
+    docs = table(spark, sf, "documents")
+    index = KeywordIndex(spark, new_folder(spark, "keyword-index"))
+    index.build(docs)
+    index.put(docs.where("lang = 'es'").select("doc_id", F.concat_ws(" ", "source", F.lit("thon"), "text").alias("text")))
+    index.delete(docs.where("lang = 'fr'"))
+    return rounded(index.search(K.literal_queries(spark, WORDS), 20), 10)
+
+
+@query("keyword_index_stats", f"""WITH {CHANGED} {TOK}, t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM tok GROUP BY 1)
+  SELECT term, df, occurrences::BIGINT AS occurrences FROM t""".replace("FROM documents)", "FROM changed)"))
+def keyword_index_stats(spark, sf):
+    """Term statistics of the index after changes, deletes and compaction"""
+    docs = table(spark, sf, "documents")
+    index = KeywordIndex(spark, new_folder(spark, "keyword-index"))
+    index.build(docs.where("lang <> 'es'"))
+    index.put(docs.where("lang = 'es'").select("doc_id", F.concat_ws(" ", "source", F.lit("thon"), "text").alias("text")))
+    index.delete(docs.where("lang = 'fr'"))
+    index.compact()
+    return index.term_stats().select("term", "df", F.col("occurrences").cast("long").alias("occurrences"))
+
+
 @query("term_stats", f"WITH {TOK} SELECT term, df, occurrences::BIGINT AS occurrences, round({IDF}, 6) AS idf FROM df CROSS JOIN stats")
 def term_stats(spark, sf):
     """G01, G03, B08"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,9 @@ def with_checkpoints(spark) -> None:
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docfathom-"))
+
+
+def new_folder(spark, name: str) -> str:
+    """A folder that isn't there yet in the shared checkpoint folder."""
+    with_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
 """Stores on a shared folder: collections of chunks, the keyword index, graph and citation tables, caches by settings.
 
-Every store is a folder of versions published by files.publish(), so a reader sees a whole version and a writer that is
-lost leaves the last one.
+Collections and the keyword index are logs of segments (sources.segments): a put or delete writes what it is given alone. The others are
+folders of versions published by files.publish(). Either way a reader sees a whole version and a writer that is lost leaves the last one.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import keyword as K
 from .files import current, publish, published
+from .segments import Segments, Table
 
 COLLECTION = "id string, document string, embedding array<float>, metadata map<string,string>"
 
@@ -24,7 +25,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Collections:
-    """Named collections of rows (id, document, embedding, metadata) below a folder."""
+    """Named collections of rows (id, document, embedding, metadata) below a folder, each a log of segments."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,12 +34,18 @@ class Collections:
         fs, where = _fs(self.spark, self.root)
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
+    def log(self, name: str) -> Segments:
+        return Segments(self.spark, f"{self.root}/{name}", "id", {"rows": Table()})
+
     def create(self, name: str) -> None:
         if name not in self.names():
-            publish({"rows": self.spark.createDataFrame([], COLLECTION)}, f"{self.root}/{name}")
+            self.log(name).build({"rows": self.spark.createDataFrame([], COLLECTION)})
 
     def rows(self, name: str) -> DataFrame:
-        return published(self.spark, f"{self.root}/{name}", "rows")
+        found = self.log(name).read("rows")
+        if found is None:
+            raise FileNotFoundError(f"no collection {name}")
+        return found
 
     def count(self, name: str) -> int:
         return self.rows(name).count()
@@ -48,13 +55,18 @@ class Collections:
         fs.delete(where, True)
 
     def add(self, name: str, rows: DataFrame, batch_rows: int = 100_000) -> None:
-        """Upsert by id, in files of at most batch_rows rows."""
-        rows = rows.select("id", "document", "embedding", "metadata").dropDuplicates(["id"])
-        merged = self.rows(name).join(rows.select("id"), "id", "left_anti").unionByName(rows)
-        publish({"rows": merged}, f"{self.root}/{name}", batch_rows)
+        """Upsert by id, in files of at most batch_rows rows; only the rows given are written. Of rows of one id the greatest stays, by document, embedding and metadata."""
+        order = [F.desc("document"), F.desc("embedding"), F.desc(F.array_sort(F.map_entries("metadata")))]
+        one = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+        rows = rows.select("id", "document", "embedding", "metadata").withColumn("_n", one).where("_n = 1").drop("_n")
+        self.log(name).write({"rows": rows}, rows.select("id"), batch_rows)
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        publish({"rows": self.rows(name).join(ids.select("id"), "id", "left_anti")}, f"{self.root}/{name}")
+        """Only the ids are written."""
+        self.log(name).delete(ids.select("id"))
+
+    def compact(self, name: str) -> None:
+        self.log(name).compact()
 
     def state(self) -> DataFrame:
         """(name, rows) of every collection."""
@@ -76,61 +88,120 @@ def versioned_documents(rows: DataFrame, health: str = "health_score double, val
 
 
 class KeywordIndex:
-    """A persisted keyword index: postings (term, doc_id, tf, doc_length) in PARTS folders by the hash of the term, and lengths of documents.
+    """A persisted keyword index: blocks of postings in PARTS folders by the hash of the term, and lengths of documents, as a log of segments.
 
-    A search reads the folders of its terms alone and tokenises nothing but the query.
+    A search reads the bounds of its terms' blocks, scores the windows of the highest ones, and then those alone whose bound
+    reaches the k-th best score found: documents of other windows can't be among the k best. It tokenises nothing but the query.
     """
 
-    PARTS = 256
+    PARTS = 64
+    #: Documents of a window.
+    WINDOW = 64
+    #: Terms of all queries of a search, which are collected.
+    MOST_TERMS = 100_000
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        lengths = Table(facts={"tokens": F.sum("doc_length")})
+        self.log = Segments(spark, root, "doc_id", {"postings": Table(lambda df: df, K.unblocked, ("part",)), "lengths": lengths})
 
     @staticmethod
     def part(term):
         return F.pmod(F.xxhash64(term), F.lit(KeywordIndex.PARTS)).cast("int")
 
+    def _tables(self, docs: DataFrame, text: str, key: str) -> dict[str, DataFrame]:
+        docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        windows = -(-docs.count() // self.WINDOW)
+        post = K.blocks(K.postings(docs.where("text is not null")), windows).withColumn("part", self.part("term"))
+        lengths = docs.groupBy("doc_id").agg(F.sum(F.size(K.tokens(F.coalesce("text", F.lit(""))))).alias("doc_length"))
+        return {"postings": post.repartition("part").sortWithinPartitions("part", "term", "window"), "lengths": lengths}
+
     def build(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
-        self._write(K.postings(docs.where(F.col(text).isNotNull()), text, key), docs.select(F.col(key).alias("doc_id"), F.size(K.tokens(F.coalesce(text, F.lit("")))).alias("doc_length")))
+        self.log.build(self._tables(docs, text, key))
 
-    def _write(self, post: DataFrame, lengths: DataFrame) -> None:
-        placed = post.withColumn("part", self.part("term")).repartition("part").sortWithinPartitions("part", "term")
-        publish({"postings": placed, "lengths": lengths}, self.root, partition_by={"postings": ["part"]})
+    def put(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
+        """Index documents, in place of those with their ids; only theirs is written."""
+        self.log.write(self._tables(docs, text, key), docs.select(F.col(key).alias("doc_id")))
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        rows = published(self.spark, self.root, "postings")
-        if terms is None:
-            return rows.drop("part")
+    def delete(self, ids: DataFrame) -> None:
+        """Only the ids are written."""
+        self.log.delete(ids.select("doc_id"))
+
+    def compact(self) -> None:
+        """Rewrite all segments as one. Blocks are made anew, so windows fit the documents there are."""
+        post, lengths = self.log.read("postings"), self.log.read("lengths")
+        if post is not None:
+            windows = -(-lengths.count() // self.WINDOW)
+            laid = K.blocks(post.select("doc_id", "term", "tf", "doc_length"), windows).withColumn("part", self.part("term"))
+            self.log.build({"postings": laid.repartition("part").sortWithinPartitions("part", "term", "window"), "lengths": lengths})
+
+    def _of(self, terms: list[str]):
+        """Keeps the blocks of terms: their folders, then their rows."""
         parts = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(self.part("t")).collect()}) if terms else []
-        return rows.where(F.col("part").isin(parts) & F.col("term").isin(terms)).drop("part")
+        return lambda rows: rows.where(F.col("part").isin(parts) & F.col("term").isin(terms))
 
-    def lengths(self) -> DataFrame:
-        return published(self.spark, self.root, "lengths")
-
-    def put(self, docs: DataFrame) -> None:
-        """Index documents, in place of those with their ids."""
-        new = docs.select("doc_id").distinct()
-        post = self.postings().join(new, "doc_id", "left_anti").unionByName(K.postings(docs.where("text is not null")))
-        lengths = self.lengths().join(new, "doc_id", "left_anti").unionByName(docs.select("doc_id", F.size(K.tokens(F.coalesce("text", F.lit("")))).alias("doc_length")))
-        self._write(post, lengths)
-
-    def delete(self, ids: DataFrame) -> None:
-        self._write(self.postings().join(ids.select("doc_id"), "doc_id", "left_anti"), self.lengths().join(ids.select("doc_id"), "doc_id", "left_anti"))
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        rows = self.log.read("postings", self._of(terms) if terms is not None else None)
+        return rows.select("doc_id", "term", "tf", "doc_length")
 
-    def stats(self) -> tuple[int, float]:
-        """Number and mean length of the documents."""
-        row = self.lengths().agg(F.count(F.lit(1)), F.avg("doc_length")).first()
+    def lengths(self) -> DataFrame:
+        return self.log.read("lengths")
+
+    def stats(self, live: list[dict] | None = None) -> tuple[int, float]:
+        """Number and mean length of the documents: as the manifest says where no segment hides rows of another."""
+        live = self.log.segments() if live is None else live
+        if len(live) == 1 and "lengths" in live[0]["tables"]:
+            facts = live[0]["tables"]["lengths"]["facts"]
+            n, tokens = facts["rows"], facts["tokens"] or 0
+            return n, tokens / n if n else 0.0
+        row = self.log.read("lengths", live=live).agg(F.count(F.lit(1)), F.avg("doc_length")).first()
         return row[0], row[1] or 0.0
 
     def term_stats(self, terms: list[str] | None = None) -> DataFrame:
         return K.term_stats(self.postings(terms), self.stats()[0])
 
     def search(self, queries: DataFrame, k: int, floor: float | None = K.EPSILON) -> DataFrame:
-        """(query_id, doc_id, score, rank) of rows (query_id, query), a bounded list."""
-        terms = K.query_terms(queries)
-        wanted = sorted({r.term for r in terms.limit(K.MAX_QUERIES * 100).collect()})
-        n, mean = self.stats()
-        return K.ranked(self.postings(wanted), terms, F.lit(n), F.lit(mean), k, floor)
+        """(query_id, doc_id, score, rank) of rows (query_id, query), a bounded list: the k best documents of each, ties by doc_id."""
+        return self._search(queries, k, floor)[0]
+
+    def work(self, queries: DataFrame, k: int, floor: float | None = K.EPSILON) -> DataFrame:
+        """(query_id, postings, scored): postings of a query's terms, and those of them that a search scores."""
+        return self._search(queries, k, floor)[1]
+
+    def _search(self, queries: DataFrame, k: int, floor: float | None) -> tuple[DataFrame, DataFrame]:
+        asked = K.query_terms(queries).limit(self.MOST_TERMS + 1).collect()
+        if len(asked) > self.MOST_TERMS:
+            raise ValueError("more terms than a search takes; ask in parts")
+        wanted, live = sorted({r.term for r in asked}), self.log.segments()
+        of, hidden = self._of(wanted), self.log.hidden(live)
+        n, mean = self.stats(live)
+        rows = self.log.raw("postings", live, of)
+        if hidden is None:
+            df = rows.groupBy("term").agg(F.sum("n").alias("df"))
+        else:  # documents of a block can be hidden
+            seen = self.log.visible(rows.select("term", "_seg", F.explode("doc_id").alias("doc_id")), hidden)
+            df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        found = {r.term: r.df for r in df.collect()}
+        weights = self.spark.createDataFrame([(r.query_id, r.term, r.times, found[r.term]) for r in asked if r.term in found], "query_id long, term string, times long, df long")
+        avg = F.lit(mean or 1.0)
+        weights = F.broadcast(weights.select("query_id", "term", (K.idf(F.lit(n), F.col("df"), floor) * F.col("times")).alias("weight")))
+        held = rows.select("term", "_seg", "window", "n", "impacts").join(weights, "term")
+        tops = held.groupBy("query_id", "_seg", "window").agg(F.sum(F.col("weight") * K.bound(avg)).alias("most"), F.sum("n").alias("n")).persist()
+
+        def scored(windows: DataFrame) -> DataFrame:
+            there = rows.join(windows.select("query_id", "_seg", "window"), ["_seg", "window"]).drop("impacts", "n").join(weights, ["query_id", "term"])
+            post = self.log.visible(K.unblocked(there), hidden)
+            value = F.col("weight") * K.term_weight(F.col("tf"), F.col("doc_length"), avg)
+            return post.groupBy("query_id", "doc_id").agg(F.sum(value).alias("score"))
+
+        first = K.top(tops, ["query_id"], [F.desc("most"), F.asc("_seg"), F.asc("window")], k)
+        best = K.top(scored(first), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+        least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        # a bound is a sum in another order than a score, so a hair's breadth is left
+        able = tops.join(F.broadcast(least), "query_id", "left").where("least is null or most >= least * (1 - 1e-9)")
+        result = K.top(scored(able), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+        work = tops.groupBy("query_id").agg(F.sum("n").alias("postings")).join(able.groupBy("query_id").agg(F.sum("n").alias("scored")), "query_id", "left")
+        return result, work
 
 
 def write_graph(root: str, nodes: DataFrame, edges: DataFrame, clusters: DataFrame, metadata: dict[str, str]) -> str:

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 import threading
 import time
 
@@ -115,3 +116,88 @@ def test_weights_and_files(spark, tmp_path):
     assert any(f.endswith(".csv") for f in os.listdir(tmp_path / "out"))
     pages = spark.createDataFrame([(1, '<meta http-equiv="refresh" content="0">'), (2, "<p>fine</p>"), (3, "x" * 6000 + "window.location")], "page_id long, html string")
     assert [r.page_id for r in pages.where(S.is_redirect_page(pages.html)).collect()] == [1]
+
+
+def plain(spark, docs):
+    return spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
+
+
+def test_index_after_random_puts_and_deletes(spark, tmp_path, monkeypatch):
+    """A search equals one of an index made anew, before and after compaction; a put writes its rows alone."""
+    r, words = random.Random(4), [f"w{k}" for k in range(25)]
+    text = lambda: None if r.random() < 0.05 else " ".join(r.choices(words, [1 / (k + 1) for k in range(25)], k=r.randint(0, 30)))
+    docs = {k: text() for k in range(300)}
+    monkeypatch.setattr(S.KeywordIndex, "PARTS", 3)
+    monkeypatch.setattr(S.KeywordIndex, "WINDOW", 8)
+    index = S.KeywordIndex(spark, str(tmp_path / "i"))
+    index.build(plain(spark, docs))
+    queries = K.literal_queries(spark, ["w0 w3", "w9 w9 w20", "w24", "none", "w1 w2 w5 w7"])
+    for step in range(3):
+        new = {r.randrange(350): text() for _ in range(10)}
+        docs |= new
+        index.put(plain(spark, new))
+        gone = r.sample(range(350), 8)
+        for k in gone:
+            docs.pop(k, None)
+        index.delete(spark.createDataFrame([(k,) for k in gone], "doc_id long"))
+        if step == 2:
+            live = index.log.segments()
+            assert [s["tables"].get("lengths", {}).get("facts", {}).get("rows", 0) for s in live][-2:] == [len(new), 0]
+            index.compact()
+            assert len(index.log.segments()) == 1
+        assert index.stats()[0] == len(docs) and {t.doc_id for t in index.lengths().collect()} == set(docs)
+        for floor in (K.EPSILON, None):
+            want = [(x.query_id, x["rank"], x.doc_id, round(x.score, 9)) for x in K.bm25(plain(spark, docs), queries, 10, floor).collect()]
+            got = [(x.query_id, x["rank"], x.doc_id, round(x.score, 9)) for x in index.search(queries, 10, floor).collect()]
+            assert sorted(got) == sorted(want)
+
+
+def test_search_skips_blocks(spark, tmp_path, monkeypatch):
+    """Exact results from well under the postings of the terms."""
+    r = random.Random(9)
+    docs = {k: " ".join(["rare"] * (r.random() < 0.02) * r.randint(1, 9) + ["often"] * r.randint(0, 3) + [f"x{r.randrange(99)}" for _ in range(r.randint(5, 60))]) for k in range(4000)}
+    monkeypatch.setattr(S.KeywordIndex, "PARTS", 4)
+    monkeypatch.setattr(S.KeywordIndex, "WINDOW", 16)
+    index = S.KeywordIndex(spark, str(tmp_path / "i"))
+    index.build(plain(spark, docs))
+    queries = K.literal_queries(spark, ["rare often", "often"])
+    want = [(x.query_id, x["rank"], x.doc_id, round(x.score, 9)) for x in K.bm25(plain(spark, docs), queries, 5).collect()]
+    assert sorted((x.query_id, x["rank"], x.doc_id, round(x.score, 9)) for x in index.search(queries, 5).collect()) == sorted(want)
+    work = {x.query_id: (x.postings, x.scored) for x in index.work(queries, 5).collect()}
+    assert work[0][1] < 0.3 * work[0][0] and work[1][1] < 0.7 * work[1][0]
+
+
+def test_segments(spark, tmp_path, monkeypatch):
+    """Compaction by size, freed versions, manifests that aren't whole, writers at one time."""
+    from docfathom.sources import segments as G
+
+    monkeypatch.setattr(G, "MOST", 3)
+    monkeypatch.setattr(G, "PATIENCE", 0.3)
+    rows = lambda *items: spark.createDataFrame(items, "k long, v string")
+    at = str(tmp_path / "s")
+    log = G.Segments(spark, at, "k", {"t": G.Table()})
+    assert log.segments() == [] and log.read("t") is None
+    log.build({"t": rows(*[(k, "old") for k in range(100)])})
+    for k in range(6):
+        log.write({"t": rows((k, f"a{k}"), (k, f"b{k}"))}, rows((k, "")))
+        log.delete(rows((50 + k, "")))
+    want = sorted([(k, f"{c}{k}") for k in range(6) for c in "ab"] + [(k, "old") for k in range(6, 100) if not 50 <= k < 56])
+    assert sorted(map(tuple, log.read("t").collect())) == want
+    live = log.segments()
+    assert len(live) <= 4 and live[0]["whole"]  # the large first one is left as it is, the small ones were joined
+    assert live[0]["tables"]["t"]["facts"]["rows"] == 100
+    open(f"{at}/MANIFEST-{log.manifest()['number'] + 1:012}", "w").write('{"segm')  # a writer that is lost
+    assert sorted(map(tuple, log.read("t").collect())) == want
+    log.delete(rows(*[(k, "") for k in range(6)]))
+    log.compact()
+    log.write({"t": rows((1, "x"))}, rows((1, "")))
+    assert sorted(map(tuple, log.read("t").collect())) == sorted([(1, "x"), *[(k, "old") for k in range(6, 100) if not 50 <= k < 56]])
+    folders = {f for f in os.listdir(at) if f.startswith("s-")}
+    named = {s["id"] for n in log._numbers() if (t := log._text(n)).endswith("\n") for s in json.loads(t)["segments"]}
+    assert folders == named and len(log._numbers()) <= 3
+    threads = [threading.Thread(target=lambda k=k: log.write({"t": rows((k, "t"))}, rows((k, "")))) for k in (60, 61)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {r.k for r in log.read("t").where("v = 't'").collect()} == {60, 61}
