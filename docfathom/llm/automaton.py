@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -47,7 +49,8 @@ def byte_of_character() -> dict[str, int]:
 class Automaton:
     """labels: the bytes of each token; rows: for each token, the bounds of the intervals of places forbidden next.
 
-    trie: nodes of the labels' bytes; a byte leads to (next node, the arc (token, place) that ends there or None).
+    trie: nodes of the labels' bytes; a byte leads to (next node, the arc whose label ends there or None). An arc is (token,
+    place, row of the state it leads to, length).
     """
 
     def __init__(self, labels: dict[int, bytes], place: dict[int, int], rows: dict[int, tuple[int, ...]]):
@@ -61,19 +64,19 @@ class Automaton:
                 if head not in nodes:
                     nodes[head] = {}
                     nodes[head[:-1]][head[-1]] = (nodes[head], None)
-            nodes[label[:-1]][label[-1]] = (nodes[label], (token, at))
-        self.trie = nodes[b""]
+            nodes[label[:-1]][label[-1]] = (nodes[label], (token, at, rows[token], len(label)))
+        self.trie, self.longest = nodes[b""], max(map(len, self.whole), default=0)
 
-    def arcs(self, word: bytes, start: int) -> list[tuple[int, int, int]]:
-        """(token, place, stop) of all labels that the word goes on with, short ones first."""
+    def arcs(self, word: bytes) -> list[tuple[int, int, tuple[int, ...], int]]:
+        """The arcs of all labels that a word begins with, short ones first."""
         found, node = [], self.trie
-        for stop in range(start, len(word)):
-            step = node.get(word[stop])
+        for byte in word:
+            step = node.get(byte)
             if step is None:
                 break
             node, arc = step
             if arc:
-                found.append((*arc, stop + 1))
+                found.append(arc)
         return found
 
     def path(self, word: bytes) -> list[int]:
@@ -84,24 +87,28 @@ class Automaton:
         """
         if word in self.whole or not word:
             return self.whole.get(word, [])
-        rows, dead, n = self.rows, set(), len(word)
-        out, row, at, left = [], (), 0, [self.arcs(word, 0)]
-        stops = [0]
+        n, longest, dead = len(word), self.longest, set()
+        out, rows, stops, left = [], [()], [0], [self.arcs(word[:longest])]
+        at = 0
         while at < n:
-            arcs = left[-1]
+            arcs, row = left[-1], rows[-1]
             while arcs:
-                token, place, stop = arcs.pop()
-                if not bisect_right(row, place) & 1 and stop not in dead:
-                    out.append(token)
-                    stops.append(stop)
-                    left.append(self.arcs(word, stop))
-                    break
+                token, place, to, length = arcs.pop()
+                if bisect_right(row, place) & 1 or at + length in dead:
+                    continue
+                at += length
+                out.append(token)
+                if at < n:
+                    rows.append(to)
+                    stops.append(at)
+                    left.append(self.arcs(word[at : at + longest]))
+                break
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of this word")
                 dead.add(at)
-                out.pop(), stops.pop(), left.pop()
-            at, row = stops[-1], rows[out[-1]] if out else ()
+                out.pop(), stops.pop(), left.pop(), rows.pop()
+                at = stops[-1]
         return out
 
 
@@ -186,28 +193,30 @@ class Encoder:
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
         self.words = regex.compile(WORDS).findall
         self.white = frozenset(filter(regex.compile(r"\p{White_Space}").match, map(chr, range(0x3100))))
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def part(self, text: str) -> list[int]:
-        """The ids of a stretch that no word reaches out of."""
-        ids: list[int] = []
-        memo, path = self.memo, self.automaton.path
-        for word in self.words(text):
+    def part(self, text: str) -> bytes:
+        """The ids, as 32-bit numbers, of a stretch that no word reaches out of."""
+        memo, path, out = self.memo, self.automaton.path, []
+        words = self.words(text)
+        for word in words:
             found = memo.get(word)
             if found is None:
-                found = path(word.encode())
+                found = array("i", path(word.encode())).tobytes()
                 self.keep(word, found)
-            ids += found
-        self.keep(text, ids)
+            out.append(found)
+        ids = b"".join(out)
+        if len(words) > 1:
+            self.keep(text, ids)
         return ids
 
-    def keep(self, text: str, ids: list[int]) -> None:
+    def keep(self, text: str, ids: bytes) -> None:
         if len(text) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[text] = ids
 
-    def plain(self, text: str, out: list[int]) -> None:
+    def plain(self, text: str, out: list[bytes]) -> None:
         """Words go with the space before them, so a text falls apart before each space that follows another character than white space."""
         parts = text.split(" ")
         memo, white, held = self.memo, self.white, parts[0]
@@ -215,22 +224,25 @@ class Encoder:
             if not held or held[-1] in white:
                 held = f"{held} {p}"
                 continue
-            found = memo.get(held)
-            out += self.part(held) if found is None else found
+            out.append(memo.get(held) or self.part(held))
             held = " " + p
-        out += memo.get(held) or self.part(held)
+        out.append(memo.get(held) or self.part(held))
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        out: list[bytes] = []
         if not self.cut_special or not any(t in text for t in self.special):
             self.plain(text, out)
-            return out
+            return b"".join(out)
         for k, stretch in enumerate(self.cut_special(text)):
             if k % 2:
-                out.append(self.special[stretch])
+                out.append(array("i", [self.special[stretch]]).tobytes())
             elif stretch:
                 self.plain(stretch, out)
-        return out
+        return b"".join(out)
+
+    def ids(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 @functools.cache
@@ -257,8 +269,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_at(path)
         for batch in batches:
-            found = [encoder.ids(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+            found = [encoder.packed(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -270,7 +284,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = labels_at(path)
         for batch in batches:
-            found = [text_of(i or [], labels) for i in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            lists = batch.column(batch.schema.get_field_index(ids))
+            ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy(zero_copy_only=False)
+            found = [text_of(flat[a:b].tolist(), labels) if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
