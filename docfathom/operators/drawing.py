@@ -10,20 +10,26 @@ from pyspark.sql import functions as F
 #: Nodes of one drawing, at most: forces act between all of them.
 MOST = 20_000
 SPRING, REPULSION, ATTRACTION, DAMPING, ROUNDS, SEED = 1.0, 1.0, 0.1, 0.5, 50, 42
+# Fixed values, by the number of nodes: spring length, repulsion, attraction, damping and rounds of small, middling and large drawings. Those of large
+# ones are for LARGE nodes; with the root of the size the springs get shorter and stronger.
+SMALL, LARGE = 50, 200
+OF_SMALL = {"spring": 2.5, "repulsion": 1.8, "attraction": 0.05, "damping": 0.7, "rounds": 100}
+OF_MIDDLING = {"spring": 2.0, "repulsion": 1.2, "attraction": 0.08, "damping": 0.6, "rounds": 80}
+OF_LARGE = {"spring": 1.5, "repulsion": 0.5, "attraction": 0.12, "damping": 0.5, "rounds": 80}
+MOST_ROUNDS, NODES_A_ROUND = 200, 8
 #: Rows of the table of distances that are held at once.
 BLOCK = 512
 
 
 def parameters(n: int) -> dict[str, float]:
-    """Fewer rounds and longer springs for larger drawings."""
-    if n < 50:
-        return {"rounds": 100, "spring": 1.0}
-    if n < 200:
-        return {"rounds": 50, "spring": 1.5}
-    return {"rounds": 30 if n < 1000 else 15, "spring": 2.0}
+    """How a drawing of n nodes is laid out."""
+    if n < LARGE:
+        return dict(OF_SMALL if n < SMALL else OF_MIDDLING)
+    scale = (n / LARGE) ** 0.5
+    return OF_LARGE | {"spring": OF_LARGE["spring"] / scale, "attraction": OF_LARGE["attraction"] * scale, "rounds": min(MOST_ROUNDS, OF_LARGE["rounds"] + n // NODES_A_ROUND)}
 
 
-def force_positions(n: int, ends: np.ndarray, rounds: int = ROUNDS, spring: float = SPRING, seed: int = SEED) -> np.ndarray:
+def force_positions(n: int, ends: np.ndarray, rounds: int = ROUNDS, spring: float = SPRING, repulsion: float = REPULSION, attraction: float = ATTRACTION, damping: float = DAMPING, seed: int = SEED) -> np.ndarray:
     """n by 2: every node pushes the others away, less with distance; edges (pairs of places) pull their ends to the spring's length."""
     at = np.random.default_rng(seed).uniform(-1, 1, (n, 2))
     speed = np.zeros((n, 2))
@@ -32,14 +38,14 @@ def force_positions(n: int, ends: np.ndarray, rounds: int = ROUNDS, spring: floa
         for low in range(0, n, BLOCK):
             apart = at[low : low + BLOCK, None, :] - at[None, :, :]
             square = (apart**2).sum(axis=2) + 0.01
-            force[low : low + BLOCK] += (apart * (REPULSION * spring**2 / square)[:, :, None]).sum(axis=1)
+            force[low : low + BLOCK] += (apart * (repulsion * spring**2 / square)[:, :, None]).sum(axis=1)
         if len(ends):
             along = at[ends[:, 1]] - at[ends[:, 0]]
             far = np.sqrt((along**2).sum(axis=1)) + 0.01
-            pull = along * (ATTRACTION * (far - spring) / far)[:, None]
+            pull = along * (attraction * (far - spring) / far)[:, None]
             np.add.at(force, ends[:, 0], pull)
             np.add.at(force, ends[:, 1], -pull)
-        speed = (speed + force) * DAMPING
+        speed = (speed + force) * damping
         at += speed
     return at
 
@@ -55,7 +61,7 @@ def force_layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             raise ValueError("a drawing of too many nodes")
         place = {x: k for k, x in enumerate(ids)}
         ends = np.array([(place[a], place[b]) for a, b in zip(links["a"], links["b"], strict=True) if a in place and b in place and a != b], int).reshape(-1, 2)
-        at = force_positions(len(ids), ends, **{k: int(v) if k == "rounds" else v for k, v in parameters(len(ids)).items()})
+        at = force_positions(len(ids), ends, **parameters(len(ids)))
         return pd.DataFrame({"drawing": of["drawing"].iloc[0] if len(of) else None, "node": ids, "x": at[:, 0], "y": at[:, 1]})
 
     # aliases: a cogroup loses columns that both sides have from one table

@@ -1,8 +1,8 @@
 """Consistency graph: edges from similarity and shared values, filters, and graph analytics.
 
 Iterative operators keep one table of node state, cut by checkpoint() after each step (a driver-side loop over plans, no
-rows); components come from star contraction. Betweenness gives every worker the graph's arrays and shares out the sources;
-greedy modularity runs per connected component in one task. Both refuse more than MAX_COMPONENT edges.
+rows); components come from star contraction. Betweenness gives every worker the graph's arrays and shares out the sources; it
+refuses more than MAX_COMPONENT edges. Communities and distances are in operators.communities.
 """
 
 from __future__ import annotations
@@ -247,43 +247,6 @@ def betweenness(nodes: DataFrame, edges: DataFrame, k: int | None = None) -> Dat
     return nodes.select("node").join(found, "node", "left").fillna({"betweenness": 0.0})
 
 
-def modularity_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, community): greedy merging by modularity gain, per component in one task; ties by the smallest members."""
-    m = max(1, edges.count())
-    comp = components(nodes, edges)
-    rows = edges.select("a", "b").join(comp, F.col("a") == F.col("node")).select("component", "a", "b")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MAX_COMPONENT:
-            raise ValueError("a component too large for greedy modularity")
-        ids = sorted(set(frame.a) | set(frame.b))
-        links: dict = {x: {} for x in ids}
-        degree = dict.fromkeys(ids, 0)
-        for a, b in zip(frame.a, frame.b, strict=True):
-            links[a][b] = links[a].get(b, 0) + 1
-            links[b][a] = links[b].get(a, 0) + 1
-            degree[a] += 1
-            degree[b] += 1
-        of = {x: [x] for x in ids}
-        while True:
-            gains = [(w / m - degree[a] * degree[b] / (2 * m * m), a, b) for a in links for b, w in links[a].items() if a < b]
-            best = max(gains, key=lambda g: (g[0], -g[1] if isinstance(g[1], (int, float)) else 0), default=(0, None, None))
-            if best[0] <= 0:
-                break
-            _, a, b = best
-            for x, w in links.pop(b).items():
-                links[x].pop(b)
-                if x != a:
-                    links[a][x] = links[x][a] = links[a].get(x, 0) + w
-            degree[a] += degree.pop(b)
-            of[a] += of.pop(b)
-        return pd.DataFrame([(x, min(members)) for members in of.values() for x in members], columns=["node", "community"])
-
-    kind = dict(nodes.dtypes)["node"]
-    found = rows.groupBy("component").applyInPandas(lambda f: one(f), f"node {kind}, community {kind}")
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-
-
 def leanings(clusters: DataFrame, edges: DataFrame, weight: Column, least: float) -> DataFrame:
     """(node, cluster, weight): clusters (node, cluster) other than its own that a node's edges to weigh `least` or more on average."""
     both = directed(edges.select("a", "b", weight.alias("w")))

@@ -240,35 +240,3 @@ def table_stats(text: Column) -> Column:
     """Struct of the number of tables marked in a text, and characters in them."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)(\[TABLE \d+\]\n(?:[^\n]*\|[^\n]*\n?)+)"), F.lit(1))
     return F.struct(F.size(blocks).alias("tables"), F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b)).alias("chars"))
-
-
-def clustered(vectors: DataFrame, threshold: float = 0.8, linkage: str = "single", by: str | None = None) -> DataFrame:
-    """(id, cluster) of a vocabulary's vectors (id, v): cut where cosine falls under the threshold. A vocabulary (of each value of a
-    column, if one is named) is one group in one task, and of a bounded size."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if len(frame) > V.BLOCK:
-            raise ValueError("a vocabulary too large for one task")
-        frame = frame.sort_values("id")
-        m = np.stack(frame.v.to_numpy()).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sim = m @ m.T
-        groups = {k: [k] for k in range(len(m))}
-        near = sim.copy()  # between groups, kept by the smallest member
-        np.fill_diagonal(near, -np.inf)
-        while len(groups) > 1:
-            i, j = sorted(divmod(int(near.argmax()), len(m)))
-            if near[i, j] < threshold:
-                break
-            a, b = len(groups[i]), len(groups[j])
-            rows = near[i], near[j]
-            merged = {"single": np.maximum(*rows), "complete": np.minimum(*rows), "average": (a * rows[0] + b * rows[1]) / (a + b)}[linkage]
-            near[i] = near[:, i] = merged
-            near[i, i] = near[j] = near[:, j] = -np.inf
-            groups[i] = sorted(groups[i] + groups.pop(j))
-        ids = frame.id.to_numpy()
-        return pd.DataFrame([(ids[k], ids[g[0]]) for g in groups.values() for k in g], columns=["id", "cluster"])
-
-    return vectors.select("id", "v", (F.col(by) if by else F.lit(0)).alias("one")).groupBy("one").applyInPandas(lambda f: run(f), "id long, cluster long")

@@ -330,39 +330,45 @@ def query_expansion(spark, sf):
     return T.expanded(queries, "network", words)
 
 
-# Inline sources, as the tables hold no code.
+# The tables hold no code, so each part has files of its own: # stands for its key.
 SOURCES = (
-    ("src/app/service.py", "import os\nfrom json import loads\n\nclass Loader:\n    def load(self, path):\n        return loads(path)\n\nasync def main():\n    pass\n"),
-    ("src/main/java/OrderController.java", 'package com.shop.orders;\nimport java.util.List;\nimport com.shop.core.Clock;\npublic class OrderController {\n  @GetMapping("/orders")\n  public List<String> list(int n) { return null; }\n  @PostMapping("/orders/new")\n  public void add(String s) { db.run("insert into orders select * from staging"); }\n}\n'),
-    ("pom.xml", "<project><dependency>\n<groupId>org.apache</groupId><artifactId>core</artifactId></dependency><dependency><groupId>io.x</groupId><artifactId>web</artifactId></dependency></project>"),
-    ("build.gradle", "dependencies {\n  implementation 'org.slf4j:slf4j-api:2.0'\n  testImplementation('junit:junit:4.13')\n}\n"),
-    ("web/app.js", "import x from 'react';\nconst y = require('lodash');\nfunction start() { return 1 }\nclass Box {}\n"),
-    ("tests/test_loader.py", "def test_load():\n    assert True\n"),
-    ("cmd/main.go", 'package main\nimport "fmt"\ntype Server struct {}\nfunc (s *Server) Run() {}\nfunc main() {}\n'),
+    ("p#/src/app/service.py", "import os#\nfrom json# import loads\n\nclass Loader#:\n    def load#(self, path):\n        return loads(path)\n\nasync def main():\n    pass\n"),
+    ("p#/src/main/java/OrderController.java", 'package com.shop.orders;\nimport java.util.List#;\nimport com.shop.core.Clock#;\npublic class OrderController# {\n  @GetMapping("/orders#")\n  public List<String> list(int n) { return null; }\n  @PostMapping("/orders#/new")\n  public void add(String s) { db.run("insert into orders select * from staging"); }\n}\n'),
+    ("p#/pom.xml", "<project><dependency>\n<groupId>org.apache</groupId><artifactId>core#</artifactId></dependency><dependency><groupId>io.x</groupId><artifactId>web#</artifactId></dependency></project>"),
+    ("p#/build.gradle", "dependencies {\n  implementation 'org.slf4j:slf4j-api#:2.0'\n  testImplementation('junit:junit#:4.13')\n}\n"),
+    ("p#/web/app.js", "import x from 'react#';\nconst y = require('lodash#');\nfunction start#() { return 1 }\nclass Box# {}\n"),
+    ("p#/tests/test_loader.py", "def test_load#():\n    assert True\n"),
+    ("p#/cmd/main.go", 'package main\nimport "fmt#"\ntype Server# struct {}\nfunc (s *Server#) Run() {}\nfunc main() {}\n'),
+)
+CONFIGS = (
+    ("p#/src/orders#-mule.xml", '<mule><flow name="orders#"><http:listener path="/orders#"/><flow-ref name="audit"/><http:request method="GET" path="/stock#"/></flow></mule>'),
+    ("p#/routes/mail.xml", '<camelContext><route id="mail#"><from uri="jms:in#"/><to uri="smtp:out"/><to uri="x"/><process ref="clean#"/></route></camelContext>'),
+    ("p#/beans.xml", '<beans><bean id="clock#" class="com.shop.Clock#"/></beans>'),
+    ("p#/app.properties", "service.url=http://stock#/api\njdbc.url=jdbc:pg://db#\norder.queue=orders.new#\ncamel.component.http.timeout=5\n"),
+    ("p#/index.html", "<html><title>Shop front #</title></html>"),
+    ("p#/q/report.sql", "SELECT * FROM sales JOIN shop.items# ON 1 = 1"),
 )
 
 
-def sources(spark):
-    return spark.createDataFrame(SOURCES, "path string, code string")
+def files(spark, sf, templates=SOURCES):
+    """(path, code): files of every part."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("k"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("code")) for p, c in templates])).alias("f"))
+    return rows.select(*[F.replace(f"f.{c}", F.lit("#"), "k").alias(c) for c in ("path", "code")])
 
 
-CONFIGS = (
-    ("src/orders-mule.xml", '<mule><flow name="orders"><http:listener path="/orders"/><flow-ref name="audit"/><http:request method="GET" path="/stock"/></flow></mule>'),
-    ("routes/mail.xml", '<camelContext><route id="mail"><from uri="jms:in"/><to uri="smtp:out"/><to uri="x"/><process ref="clean"/></route></camelContext>'),
-    ("beans.xml", '<beans><bean id="clock" class="com.shop.Clock"/></beans>'),
-    ("app.properties", "service.url=http://stock/api\njdbc.url=jdbc:pg://db\norder.queue=orders.new\ncamel.component.http.timeout=5\n"),
-    ("index.html", "<html><title>Shop front</title></html>"),
-    ("q/report.sql", "SELECT * FROM sales JOIN shop.items ON 1 = 1"),
-)
+def of_parts(values: str, columns: str, plain: str = "") -> str:
+    """SQL of what is found in the files of every part; columns named in `plain` aren't texts."""
+    names, kept = columns.split(), plain.split()
+    return f"SELECT {', '.join(c if c in kept else f"replace({c}, '#', p_partkey::VARCHAR) AS {c}" for c in names)} FROM part, (VALUES {values}) t({', '.join(names)})"
 
 
-@query("config_parse", """SELECT * FROM (VALUES ('src/orders-mule.xml', 'mule', 'orders', '/orders,/stock', 'audit,listener,request', '/stock', 'orders', 'mule-flow'), ('routes/mail.xml', 'camel', 'CamelRoute:mail', 'jms:in,smtp:out', 'clean', '', 'mail', 'camel-xml-route'),
-  ('beans.xml', 'xml', 'clock', '', 'com.shop.Clock', '', 'beans', NULL), ('app.properties', 'properties', '', 'camel-http', '', 'http://stock/api', 'app', 'spring-boot-camel'),
-  ('index.html', 'html', 'Shop front', '', '', '', 'Shop front', NULL), ('q/report.sql', 'sql', 'sales,shop.items', '', '', '', 'sales', 'sql-script')) t(path, kind, exports, endpoints, calls, services, service_name, service_type)""")
+@query("config_parse", of_parts("""('p#/src/orders#-mule.xml', 'mule', 'orders#', '/orders#,/stock#', 'audit,listener,request', '/stock#', '', '', 'orders#', 'mule-flow'), ('p#/routes/mail.xml', 'camel', 'CamelRoute:mail#', 'jms:in#,smtp:out', 'clean#', '', '', '', 'mail', 'camel-xml-route'),
+  ('p#/beans.xml', 'xml', 'clock#', '', 'com.shop.Clock#', '', '', '', 'beans', NULL), ('p#/app.properties', 'properties', '', 'camel-http', '', 'http://stock#/api,jdbc:pg://db#', 'orders.new#', 'jdbc:pg://db#', 'app', 'spring-boot-camel'),
+  ('p#/index.html', 'html', 'Shop front #', '', '', '', '', '', 'Shop front #', NULL), ('p#/q/report.sql', 'sql', 'sales,shop.items#', '', '', '', '', '', 'sales', 'sql-script')""", "path kind exports endpoints calls services queues databases service_name service_type"))
 def config_parse(spark, sf):
-    """K04, K05, K06"""
-    rows = spark.createDataFrame(CONFIGS, "path string, code string").select("path", C.config(F.col("code"), F.col("path")).alias("p"))
-    return rows.select("path", "p.kind", *[F.array_join(f"p.{k}", ",").alias(k) for k in ("exports", "endpoints", "calls", "services")], "p.service_name", "p.service_type")
+    """Configuration files of every part"""
+    rows = files(spark, sf, CONFIGS).select("path", C.config(F.col("code"), F.col("path")).alias("p"))
+    return rows.select("path", "p.kind", *[F.array_join(f"p.{k}", ",").alias(k) for k in ("exports", "endpoints", "calls", "services", "queues", "databases")], "p.service_name", "p.service_type")
 
 
 @query("valid_exports", f"""SELECT p_partkey FROM part WHERE length(trim(v)) > 1 AND len(list_filter(regexp_split_to_array(lower(trim(v)), '[-_/:]'), lambda x: x <> '' AND NOT list_contains([{", ".join(f"'{w}'" for w in C.NO_EXPORTS)}], x))) > 0""".replace(
@@ -373,38 +379,39 @@ def valid_exports(spark, sf):
     return table(spark, sf, "part").where(C.valid_export(value)).select("p_partkey")
 
 
-@query("code_summaries", """SELECT * FROM (VALUES ('src/app/service.py', 'python file with 1 class (Loader), 2 functions (load, main); imports json, os'), ('pom.xml', 'xml file; depends on io.x:web, org.apache:core'), ('tests/test_loader.py', 'python test file with 1 function (test_load)')) t(path, summary)""")
+@query("code_summaries", of_parts("""('p#/src/app/service.py', 'python file with 1 class (Loader#), 2 functions (load#, main); imports json#, os#'), ('p#/pom.xml', 'xml file; depends on io.x:web#, org.apache:core#'), ('p#/tests/test_loader.py', 'python test file with 1 function (test_load#)'),
+  ('p#/src/main/java/OrderController.java', 'java file with 1 class (OrderController#), 2 functions (add, list), 2 endpoints (/orders#, /orders#/new); imports com.shop.core.Clock#, java.util.List#'), ('p#/build.gradle', 'gradle file; depends on junit:junit#, org.slf4j:slf4j-api#'),
+  ('p#/web/app.js', 'javascript file with 1 class (Box#), 1 function (start#); imports lodash#, react#'), ('p#/cmd/main.go', 'go file with 1 class (Server#), 2 functions (Run, main); imports fmt#')""", "path summary"))
 def code_summaries(spark, sf):
     """K09"""
-    rows = sources(spark).where(F.col("path").isin("src/app/service.py", "pom.xml", "tests/test_loader.py"))
-    return rows.select("path", C.summary(C.parsed(F.col("code"), F.col("path"))).alias("summary"))
+    return files(spark, sf).select("path", C.summary(C.parsed(F.col("code"), F.col("path"))).alias("summary"))
 
 
-@query("dependency_map", """SELECT * FROM (VALUES ('io.x:web', 'pom.xml'), ('org.apache:core', 'pom.xml'), ('org.slf4j:slf4j-api', 'build.gradle'), ('junit:junit', 'build.gradle'), ('os', 'src/app/service.py'), ('json', 'src/app/service.py'), ('java.util.List', 'src/main/java/OrderController.java'),
-  ('com.shop.core.Clock', 'src/main/java/OrderController.java'), ('react', 'web/app.js'), ('lodash', 'web/app.js'), ('fmt', 'cmd/main.go')) t(dependency, files)""")
+@query("dependency_map", of_parts("""('io.x:web#', 'p#/pom.xml'), ('org.apache:core#', 'p#/pom.xml'), ('org.slf4j:slf4j-api#', 'p#/build.gradle'), ('junit:junit#', 'p#/build.gradle'), ('os#', 'p#/src/app/service.py'), ('json#', 'p#/src/app/service.py'), ('java.util.List#', 'p#/src/main/java/OrderController.java'),
+  ('com.shop.core.Clock#', 'p#/src/main/java/OrderController.java'), ('react#', 'p#/web/app.js'), ('lodash#', 'p#/web/app.js'), ('fmt#', 'p#/cmd/main.go')""", "dependency files"))
 def dependency_map(spark, sf):
     """Every dependency with the files that name it"""
-    parsed = sources(spark).select("path", C.parsed(F.col("code"), F.col("path")).alias("p"))
+    parsed = files(spark, sf).select("path", C.parsed(F.col("code"), F.col("path")).alias("p"))
     rows = parsed.select("path", F.explode(F.concat("p.imports", "p.dependencies")).alias("dependency"))
     return rows.groupBy("dependency").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files"))
 
 
-@query("code_parse", """SELECT * FROM (VALUES ('src/app/service.py', 'python', 'json,os', 'load,main', 'Loader', '', '', false), ('src/main/java/OrderController.java', 'java', 'com.shop.core.Clock,java.util.List', 'add,list', 'OrderController', '/orders,/orders/new', '', false),
-  ('pom.xml', 'xml', '', '', '', '', 'io.x:web,org.apache:core', false), ('build.gradle', 'gradle', '', '', '', '', 'junit:junit,org.slf4j:slf4j-api', false), ('web/app.js', 'javascript', 'lodash,react', 'start', 'Box', '', '', false),
-  ('tests/test_loader.py', 'python', '', 'test_load', '', '', '', true), ('cmd/main.go', 'go', 'fmt', 'Run,main', 'Server', '', '', false)) t(path, language, imports, functions, classes, endpoints, dependencies, is_test)""")
+@query("code_parse", of_parts("""('p#/src/app/service.py', 'python', 'json#,os#', 'load#,main', 'Loader#', '', '', false), ('p#/src/main/java/OrderController.java', 'java', 'com.shop.core.Clock#,java.util.List#', 'add,list', 'OrderController#', '/orders#,/orders#/new', '', false),
+  ('p#/pom.xml', 'xml', '', '', '', '', 'io.x:web#,org.apache:core#', false), ('p#/build.gradle', 'gradle', '', '', '', '', 'junit:junit#,org.slf4j:slf4j-api#', false), ('p#/web/app.js', 'javascript', 'lodash#,react#', 'start#', 'Box#', '', '', false),
+  ('p#/tests/test_loader.py', 'python', '', 'test_load#', '', '', '', true), ('p#/cmd/main.go', 'go', 'fmt#', 'Run,main', 'Server#', '', '', false)""", "path language imports functions classes endpoints dependencies is_test", "is_test"))
 def code_parse(spark, sf):
-    """K01-K08, F14, X15"""
-    rows = sources(spark).select("path", C.parsed(F.col("code"), F.col("path")).alias("p"))
+    """Source files of every part"""
+    rows = files(spark, sf).select("path", C.parsed(F.col("code"), F.col("path")).alias("p"))
     lists = [F.array_join(f"p.{k}", ",").alias(k) for k in ("imports", "functions", "classes", "endpoints", "dependencies")]
     return rows.select("path", "p.language", *lists, "p.is_test")
 
 
-@query("repository_summary", "SELECT * FROM (VALUES ('src', 'py', 1::BIGINT), ('src', 'java', 1), ('', 'xml', 1), ('', 'gradle', 1), ('web', 'js', 1), ('tests', 'py', 1), ('cmd', 'go', 1)) t(directory, ext, n)")
+@query("repository_summary", "SELECT directory, ext, n * (SELECT count(*) FROM part) AS n FROM (VALUES ('src', 'py', 1::BIGINT), ('src', 'java', 1), ('', 'xml', 1), ('', 'gradle', 1), ('web', 'js', 1), ('tests', 'py', 1), ('cmd', 'go', 1)) t(directory, ext, n)")
 def repository_summary(spark, sf):
-    """By the first directory of the path within the repository"""
-    path = F.col("path")
+    """Files of all parts by the first directory within a part's repository"""
+    path = F.regexp_replace("path", "^p[0-9]+/", "")
     first = F.when(path.contains("/"), F.split(path, "/")[0]).otherwise("")
-    return sources(spark).groupBy(first.alias("directory"), F.regexp_extract(path, r"\.(\w+)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return files(spark, sf).groupBy(first.alias("directory"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("code_doc_ids", "SELECT l_orderkey, l_linenumber, min('proj_repo_src_a' || l_orderkey || '_' || l_linenumber || '_py') AS doc_id FROM lineitem GROUP BY 1, 2")

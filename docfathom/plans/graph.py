@@ -238,11 +238,47 @@ def betweenness(spark, sf):
     return G.betweenness(*graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query("path_metrics", f"""WITH RECURSIVE {EDGES}, walk(s, t, d) AS (SELECT node, node, 0 FROM nodes UNION SELECT s, d.v, walk.d + 1 FROM walk JOIN d ON d.u = walk.t WHERE walk.d < 20),
+  short AS (SELECT s, t, min(d) AS d FROM walk GROUP BY 1, 2), comp AS (SELECT s AS node, min(t) AS c FROM short GROUP BY 1), big AS (SELECT c FROM comp GROUP BY 1 ORDER BY count(*) DESC, c LIMIT 1)
+  SELECT (SELECT count(*) FROM comp WHERE c = (SELECT c FROM big)) AS nodes, max(d) AS diameter, round(avg(d), 9) AS mean_path FROM short JOIN comp ON comp.node = s WHERE c = (SELECT c FROM big) AND d > 0""")
+def path_metrics(spark, sf):
+    """Diameter and mean length of shortest paths of the largest component"""
+    from ..operators import communities as C
+
+    return C.path_metrics(*graph(spark, sf)).withColumn("mean_path", F.round("mean_path", 9))
+
+
 @query("modularity_communities")
 def modularity(spark, sf):
-    """Tested for its partition of hand-made graphs"""
-    nodes, edges = graph(spark, sf)
-    return G.modularity_communities(nodes, edges)
+    """Tested for its modularity against greedy merging"""
+    from ..operators import communities as C
+
+    return C.louvain(*graph(spark, sf))
+
+
+def weighted_communities(spark, sf, weight):
+    from ..operators import communities as C
+
+    edges = similarity_edges(spark, sf).checkpoint()
+    nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"))
+    found = C.louvain(nodes, edges, F.col(weight)).checkpoint()
+    other = G.leanings(found.withColumnRenamed("community", "cluster"), edges, F.col(weight), 0.5)
+    held = other.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("cluster")), ",").alias("others"))
+    return found.join(held, "node", "left")
+
+
+@query("risk_communities")
+def risk_communities(spark, sf):
+    """Communities by severity and the others that a node leans to by 0.5 or more; held by tests of both parts"""
+    with_checkpoints(spark)
+    return weighted_communities(spark, sf, "severity")
+
+
+@query("topic_communities")
+def topic_communities(spark, sf):
+    """Communities by similarity"""
+    with_checkpoints(spark)
+    return weighted_communities(spark, sf, "similarity")
 
 
 @query("cluster_secondary", label_sql(3).replace("SELECT node, label FROM l3", "SELECT d.u AS node, l.label AS cluster, round(avg(shared), 6) AS weight FROM d JOIN l3 l ON l.node = d.v JOIN l3 o ON o.node = d.u WHERE l.label <> o.label GROUP BY 1, 2 HAVING avg(shared) >= 0.5"))
@@ -285,11 +321,12 @@ def entity_map(spark, sf):
     return K.top(rows, ["entity"], [F.asc("chunk")], 3).drop("rank")
 
 
-@query("adaptive_neighbours", "SELECT n, CASE WHEN n < 100 THEN 20 WHEN n < 500 THEN 15 WHEN n < 2000 THEN 10 ELSE 5 END AS k FROM (SELECT unnest([50, 100, 499, 500, 1999, 2000]) AS n)")
+@query("adaptive_neighbours", "SELECT o_custkey AS community, count(*) AS n, CASE WHEN count(*) * 50 < 100 THEN 20 WHEN count(*) * 50 < 500 THEN 15 WHEN count(*) * 50 < 2000 THEN 10 ELSE 5 END AS k FROM orders GROUP BY 1")
 def adaptive_neighbours(spark, sf):
-    """W11"""
-    n = spark.createDataFrame([(x,) for x in (50, 100, 499, 500, 1999, 2000)], "n int")
-    return n.select("n", F.when(F.col("n") < 100, 20).when(F.col("n") < 500, 15).when(F.col("n") < 2000, 10).otherwise(5).alias("k"))
+    """For graphs of 50 nodes an order"""
+    size = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("community")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n") * 50
+    return size.select("community", "n", F.when(n < 100, 20).when(n < 500, 15).when(n < 2000, 10).otherwise(5).alias("k"))
 
 
 @query("neighbour_expansion", f"""WITH {EDGES}, s AS (SELECT u, count(*) AS found, avg(sqrt(least(1, shared / 3.0) * 0.9)) AS quality FROM d GROUP BY 1) SELECT u AS node, found, round(quality, 6) AS quality, CASE WHEN found >= 0.8 * 10 AND quality >= 0.5 THEN least(15, 20) ELSE 10 END AS k FROM s""")

@@ -17,12 +17,12 @@ def docs(spark, sf):
 ASKED = ("python flask endpoint", "security patterns", "thesis methodology in java", "rest api for orders", "setting of the table", "what governs it", "list of design options", "phd microservice in golang")
 
 
-@query("detect_filters", """SELECT * FROM (VALUES ('python flask endpoint', 'python', 'code', false, false, false), ('security patterns', NULL, 'governance', false, false, false), ('thesis methodology in java', NULL, NULL, false, false, false),
+@query("detect_filters", """SELECT q || ' ' || c_custkey AS q, language, source_category, is_api_reference, is_configuration, contains_table FROM customer, (VALUES ('python flask endpoint', 'python', 'code', false, false, false), ('security patterns', NULL, 'governance', false, false, false), ('thesis methodology in java', NULL, NULL, false, false, false),
   ('rest api for orders', NULL, 'code', true, false, false), ('setting of the table', NULL, NULL, false, true, true), ('what governs it', 'go', 'code', false, false, false), ('list of design options', NULL, 'patterns', false, false, true), ('phd microservice in golang', 'go', 'code', false, false, false))
   t(q, language, source_category, is_api_reference, is_configuration, contains_table)""")
 def detect_filters(spark, sf):
-    """F03, F04"""
-    rows = spark.createDataFrame([(q,) for q in ASKED], "q string")
+    """questions of every customer"""
+    rows = table(spark, sf, "customer").select(F.explode(F.array(*map(F.lit, ASKED))).alias("q"), "c_custkey").select(F.concat_ws(" ", "q", "c_custkey").alias("q"))
     return rows.select("q", R.detected_filters(F.col("q")).alias("f")).select("q", "f.*")
 
 
@@ -148,11 +148,13 @@ def child_parents(spark, sf):
     return R.children_with_parents(line.select("id"), line, parent).select("id.l_orderkey", "id.l_linenumber", "id.l_partkey", "parent_text")
 
 
-@query("chapter_labels", "SELECT * FROM (VALUES ('one', 'Chapter 1'), (' IV ', 'Chapter 4'), ('12', 'Chapter 12'), ('A', 'Annex'), ('B', 'Chapter B')) t(number, label)")
+@query("chapter_labels", "SELECT p_partkey, number, CASE WHEN number = 'n' THEN 'Chapter ' || p_size ELSE label END AS label FROM part, (VALUES ('one', 'Chapter 1'), (' IV ', 'Chapter 4'), ('n', ''), ('A', 'Annex'), ('B', 'Chapter B')) t(number, label)")
 def chapter_labels(spark, sf):
-    """X47"""
-    rows = spark.createDataFrame([("one", ""), (" IV ", None), ("12", "x"), ("A", "Annex"), ("B", "")], "number string, title string")
-    return rows.select("number", R.chapter_label(F.col("number"), F.col("title")).alias("label"))
+    """Chapters of every part, one of them numbered by its size"""
+    forms = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(t).cast("string").alias("title")) for n, t in (("one", ""), (" IV ", None), ("n", "x"), ("A", "Annex"), ("B", ""))])
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.explode(forms).alias("f"))
+    number = F.when(F.col("f.number") == "n", F.col("size")).otherwise(F.col("f.number"))
+    return rows.select("p_partkey", "f.number", R.chapter_label(number, F.col("f.title")).alias("label"))
 
 
 @query("human_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM (SELECT doc_id, (n_chars * 1000 + 7)::DOUBLE AS n FROM documents)")
@@ -161,11 +163,12 @@ def human_sizes(spark, sf):
     return docs(spark, sf).select("doc_id", R.human_size(F.col("n_chars") * 1000 + 7).alias("size"))
 
 
-@query("json_blocks", """SELECT * FROM (VALUES (0::BIGINT, '{"a": 1}'), (1, '[1, 2]'), (2, NULL), (3, '{"a": {"b": "}"}}')) t(id, found)""")
+@query("json_blocks", """SELECT doc_id, id, replace(found, '#', doc_id::VARCHAR) AS found FROM documents, (VALUES (0, '{"a": #}'), (1, '[1, #]'), (2, NULL), (3, '{"a": {"b#": "}"}}')) t(id, found)""")
 def json_blocks(spark, sf):
-    """X28"""
-    rows = spark.createDataFrame([(0, 'Sure: {"a": 1,} done'), (1, "x [1, 2"), (2, "none"), (3, '```{"a": {"b": "}"}}```')], "id long, t string")
-    return rows.select("id", R.json_of("t").alias("found"))
+    """Four answers about every document"""
+    answers = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(t).alias("t")) for k, t in enumerate(('Sure: {"a": #,} done', "x [1, #", "none", '```{"a": {"b#": "}"}}```'))])
+    rows = docs(spark, sf).select("doc_id", F.explode(answers).alias("x")).select("doc_id", "x.id", F.replace("x.t", F.lit("#"), F.col("doc_id").cast("string")).alias("t"))
+    return rows.select("doc_id", "id", R.json_of("t").alias("found"))
 
 
 @query("prompts", "SELECT conv_id, 'Context:' || chr(10) || string_agg('[' || i || '] ' || text, chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: why?' || chr(10) || 'Answer:' AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations) GROUP BY 1")
@@ -183,6 +186,44 @@ def table_stats(spark, sf):
 
 @query("term_clusters")
 def term_clusters(spark, sf):
-    """Average linkage within the vocabulary of each label"""
-    rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return R.clustered(rows, 0.6, "average", "label")
+    """Average linkage within the vocabulary of each label, with size, mean-pair confidence, categories and mean weight"""
+    from ..operators import clusters as C
+
+    rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.get("embedding", F.lit(0)).cast("double").alias("w"))
+    label = C.linked(rows, 0.6, "average", "label")
+    return label.join(C.cluster_facts(rows, label, "label", "w").drop("centroid"), "cluster")
+
+
+@query("term_clusters_single", """WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM e a, e b WHERE a.vec_id <> b.vec_id
+  AND round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) >= 0.8),
+  r(id, reach) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.id, p.y FROM r JOIN p ON r.reach = p.x) SELECT id, min(reach) AS cluster FROM r GROUP BY 1""")
+def term_clusters_single(spark, sf):
+    """Single linkage of all terms"""
+    from ..operators import clusters as C
+
+    return C.linked(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.8, "single")
+
+
+@query("knn_cells", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id)
+  SELECT query_id, id, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) <= 10""")
+def knn_cells(spark, sf):
+    """The 10 nearest of every row through an index of cells, exact"""
+    from ..operators import clusters as C
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return C.CellIndex(rows).nearest(rows, 10, exact=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("sampled_graph", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, md5(vec_id::VARCHAR) < '4ccccccc' AS chosen FROM embeddings),
+  p AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y, a.chosen AS cx, b.chosen AS cy, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id),
+  k AS (SELECT CASE WHEN n < 100 THEN 20 WHEN n < 500 THEN 15 WHEN n < 2000 THEN 10 ELSE 5 END AS k FROM (SELECT count(*) AS n FROM embeddings)),
+  g AS (SELECT x AS a, y AS b, s FROM (SELECT * FROM p WHERE cx AND cy QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(s, 12) DESC, y) <= (SELECT k FROM k)) WHERE x < y AND s BETWEEN 0.5 AND 0.9),
+  near AS (SELECT * FROM p WHERE NOT cx QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(s, 12) DESC, y) <= 4),
+  f AS (SELECT * FROM near WHERE cy QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(s, 12) DESC, y) = 1)
+  SELECT a, b, round(s, 6) AS confidence FROM g UNION ALL SELECT x, b, round(g.s * 0.8, 6) FROM f JOIN g ON y = a WHERE x <> b""")
+def sampled_graph(spark, sf):
+    """A graph built on nodes sampled by hash, with as many neighbours as its size allows, and edges of the others from the nearest sampled one"""
+    from ..operators import clusters as C
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return C.sampled_graph(rows, 0.3, C.neighbours_for(rows.count())).withColumn("confidence", F.round("confidence", 6))

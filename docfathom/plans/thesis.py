@@ -76,9 +76,18 @@ def question_alignment(spark, sf):
     return found.select("doc_id", F.round("a.score", 6).alias("score"), F.size("a.unaddressed").cast("long").alias("unaddressed"))
 
 
-@query("research_questions")
+QUESTION = r"""regexp_matches(low, '\\b(how|what|why|when|where|which|who)\\b')::INT + regexp_matches(low, '^(how|what|why|when|where|which|who)\\b')::INT + (low LIKE '%?')::INT + regexp_matches(lower(label), '\\brq ?[0-9]|question')::INT"""
+ODD = " OR ".join(f"contains(low, '{w}')" for w in (*A.NOT_QUESTIONS, *A.NOT_SENTENCES))
+
+
+@query("research_questions", rf"""WITH d AS (SELECT doc_id, text || ' RQ1: How do trees grow in dry soils over time? In short, what makes forests resilient to fire?' AS t FROM documents),
+  p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.?!])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS raw, unnest(range(length(t) + 9)) AS i FROM d),
+  l AS (SELECT doc_id, i, raw, regexp_extract(raw, '^(.*:[ \t]+)?[ \t*•-]*(\(?[Qq]?[0-9]+[.):][ \t]*)?') AS label FROM p WHERE raw IS NOT NULL),
+  s AS (SELECT doc_id, i, label, trim(raw[length(label) + 1:]) AS s, lower(trim(raw[length(label) + 1:])) AS low FROM l),
+  q AS (SELECT doc_id, s AS question, min(i) AS i FROM s WHERE {QUESTION} >= 2 AND NOT ({ODD}) AND length(s) BETWEEN 20 AND 400 AND len(regexp_extract_all(low, '[a-z0-9]{{4,}}')) >= 3 GROUP BY 1, 2)
+  SELECT doc_id, question FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10""".replace("\\\\", "\\"))
 def research_questions(spark, sf):
-    """Tested on texts with known questions"""
+    """A17"""
     asked = F.concat("text", F.lit(" RQ1: How do trees grow in dry soils over time? In short, what makes forests resilient to fire?"))
     return A.research_questions(table(spark, sf, "documents").select("doc_id", asked.alias("text"))).select("doc_id", F.explode("questions").alias("question"))
 
@@ -154,13 +163,13 @@ def academic_majority(spark, sf):
     return N.mostly_academic(rows, "q")
 
 
-ASKED_CODE = ("python flask endpoint", "thesis methodology in java", "what is governance", "rest api of a microservice")
+ASKED_CODE = (("python flask endpoint", True), ("thesis methodology in java", False), ("what is governance", True), ("rest api of a microservice", True))
 
 
-@query("code_queries", "SELECT * FROM (VALUES ('python flask endpoint', true), ('thesis methodology in java', false), ('what is governance', true), ('rest api of a microservice', true)) t(q, is_code)")
+@query("code_queries", f"SELECT q || ' ' || c_custkey AS q, is_code FROM customer, (VALUES {', '.join(map(str, ASKED_CODE))}) t(q, is_code)")
 def code_queries(spark, sf):
-    """X53"""
-    rows = spark.createDataFrame([(q,) for q in ASKED_CODE], "q string")
+    """Questions of every customer"""
+    rows = table(spark, sf, "customer").select(F.explode(F.array(*[F.lit(q) for q, _ in ASKED_CODE])).alias("q"), "c_custkey").select(F.concat_ws(" ", "q", "c_custkey").alias("q"))
     return rows.select("q", F.coalesce(R.detected_filters(F.col("q"))["source_category"] == "code", F.lit(False)).alias("is_code"))
 
 

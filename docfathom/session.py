@@ -34,3 +34,11 @@ def new_folder(spark, name: str) -> str:
     """A folder that isn't there yet in the shared checkpoint folder."""
     with_checkpoints(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df):
+    """df as a table in the shared checkpoint folder. Unlike checkpoint() it computes df once, and keeps nothing of the plan that made it: the
+    constraints that a checkpoint carries along double with each round of an iterative operator."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

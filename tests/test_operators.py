@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docfathom.operators import academic as A
 from docfathom.operators import chunking as H
 from docfathom.operators import graph as G
+from docfathom.operators.communities import louvain
 from docfathom.operators import ingest as I
 from docfathom.operators import keyword as K
 from docfathom.operators import telemetry as T
@@ -74,7 +75,7 @@ def test_graph_analytics(spark):
     assert {r.node: r.hop for r in G.neighbourhood(path, nodes.where("node = 0"), 2).collect()} == {0: 0, 1: 1, 2: 2}
     nodes, two = graph(spark, [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)], 6)
     assert {r.node: round(r.clustering, 4) for r in G.clustering(nodes, two).collect()} == {0: 1.0, 1: 1.0, 2: 0.3333, 3: 0.3333, 4: 1.0, 5: 1.0}
-    assert {r.node: r.community for r in G.modularity_communities(nodes, two).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+    assert {r.node: r.community for r in louvain(nodes, two).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
     triangle = graph(spark, [(0, 1), (0, 2), (1, 2)], 3)[1].withColumn("weight", F.lit(0.5))
     assert {(r.jaccard, r.combined) for r in G.strength(triangle).collect()} == {(0.0, 0.5)}
     assert {round(r.jaccard, 4) for r in G.strength(triangle, "true").collect()} == {0.3333}
