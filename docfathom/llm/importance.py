@@ -67,7 +67,7 @@ def suffix_array(seq: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
     while length < deep:
         more = min(length, deep - length)
         behind = np.zeros(n, np.int64)
-        behind[: n - more] = rank[more:]
+        behind[: max(0, n - more)] = rank[more:]
         behind[rank == 0] = 0
         width = int(rank.max(initial=0)) + 1
         pair = rank * width + behind

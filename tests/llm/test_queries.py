@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 on small tables with odd rows, against plain versions of what they promise."""
+"""The registered queries on small tables with odd rows, against plain versions of what they promise."""
 
 import hashlib
 import math
@@ -31,8 +31,9 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, score string, start int, id string").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(k, k % 2, 0) for k in range(100, 160)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(7, prose(120, 50)), (8, None), (9, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, value double").write.parquet(f"{at}/clicks.parquet")
     empty = at / "empty"
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "clicks"):
         spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     return str(at), rows
 
