@@ -6,14 +6,17 @@ import json
 import os
 import time
 
+from docfathom.operators import keyword as K
 from docfathom.plans import QUERIES
-from docfathom.session import session
+from docfathom.plans.keyword import WORDS
+from docfathom.session import new_folder, session
+from docfathom.sources.stores import KeywordIndex
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 HEADLINE = ["bm25_topk", "bm25_benchmark_batch", "term_stats", "word_frequency_top", "counts_by_source", "tf_fallback_topk", "knn_cosine_topk", "rrf_fusion", "linear_fusion", "rerank_light", "persona_supervisor",
             "events_rollup", "events_time_bucket", "window_metrics_p99", "chunk_quality", "merge_small_chunks", "redact", "readability", "terminology_scores", "keyword_topk_per_doc", "html_text", "recursive_chunks",
-            "shared_value_edges", "graph_components", "clustering_coeff", "code_parse"]
+            "shared_value_edges", "dependency_overlap", "graph_components", "clustering_coeff", "path_metrics", "knn_cells", "code_parse"]
 
 
 def main() -> None:
@@ -24,6 +27,14 @@ def main() -> None:
         at = time.time()
         QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - at, 3)
+    index = KeywordIndex(spark, new_folder(spark, "bench-index"))
+    at = time.time()
+    index.build(spark.read.parquet(f"{SF}/documents.parquet"))
+    took["keyword_index_build"] = round(time.time() - at, 3)
+    for name in ("keyword_index_first_search", "keyword_index_search"):  # the same four queries as bm25_topk
+        at = time.time()
+        index.search(K.literal_queries(spark, WORDS), 10).collect()
+        took[name] = round(time.time() - at, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF.rsplit("sf", 1)[-1]}))
 
 

@@ -67,7 +67,7 @@ def chunks(docs: DataFrame, doc_type: str = "html") -> DataFrame:
             rows = [(d, k, f"{d}-chunk-{k}", c) for d, t, s, o in frame.itertuples(index=False) for k, c in enumerate(split(t or "", s, o))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_id", "text"])
 
-    return docs.select("doc_id", "text", size.cast("int").alias("size"), overlap.cast("int").alias("overlap")).mapInPandas(run, CHUNKS)
+    return docs.select("doc_id", "text", size.cast("int").alias("size"), overlap.cast("int").alias("overlap")).mapInPandas(run, CHUNKS.replace("doc_id long", f"doc_id {dict(docs.dtypes)['doc_id']}"))
 
 
 def parents_and_children(docs: DataFrame) -> DataFrame:

@@ -421,6 +421,19 @@ def code_doc_ids(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.translate(path, "/ .-", "____")).alias("doc_id"))
 
 
+@query("provider_dump", "SELECT lang AS provider, '10.1/' || doc_id AS doi, source AS title, 2000 + doc_id % 24 AS year, n_chars AS citations, CASE WHEN doc_id % 3 = 0 THEN lang END AS venue FROM documents")
+def provider_dump(spark, sf):
+    """Answers of providers, kept as JSON pages of a hundred items in a folder each, read as a table"""
+    from ..session import new_folder
+    from ..sources import dumps
+
+    item = F.struct(F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.col("source").alias("title"), (2000 + F.col("doc_id") % 24).alias("year"), F.col("n_chars").alias("citations"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("venue"))
+    held = docs(spark, sf).groupBy(F.col("lang").alias("provider"), F.floor(F.col("doc_id") / 100).alias("page")).agg(F.collect_list(item).alias("items"))
+    root = new_folder(spark, "dump")
+    held.drop("page").write.partitionBy("provider").json(root)
+    return dumps.pages(spark, root)
+
+
 @query("source_category", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'fixed' WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS category FROM documents""")
 def source_category(spark, sf):
     """C11"""

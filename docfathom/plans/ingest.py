@@ -155,6 +155,24 @@ def collection_log(spark, sf):
     return store.rows("chunks").select("id", F.md5("document").alias("hash"))
 
 
+@query("stream_ingest", """SELECT doc_id::VARCHAR AS doc_id, 1::BIGINT AS version, md5(text) AS hash FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id::VARCHAR, 2, md5('new ' || text) FROM documents WHERE lang = 'es' AND text IS NOT NULL""")
+def stream_ingest(spark, sf):
+    """Documents as a stream of files; some come again as they were, some changed, and the last batch is run twice"""
+    from ..session import new_folder
+    from ..streaming.ingest import Library
+
+    at = new_folder(spark, "library")
+    rows = docs(spark, sf).select("doc_id", "text", "lang")
+    library = Library(spark, f"{at}/store")
+    again = rows.where("lang in ('es', 'fr')").withColumn("text", F.when(F.col("lang") == "es", F.concat(F.lit("new "), "text")).otherwise(F.col("text")))
+    for part in (rows, again):
+        part.drop("lang").write.mode("append").parquet(f"{at}/in")
+        library.follow(spark.readStream.schema("doc_id long, text string").parquet(f"{at}/in"), f"{at}/marks").awaitTermination()
+    library.ingest(again.withColumn("text", F.lit("lost batch")), library.log.marked("ingest"))
+    return library.documents().select("doc_id", "version", F.md5("text").alias("hash"))
+
+
 @query("collection_page", "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND n_chars <= 2000 AND source <> 'src1' ORDER BY doc_id LIMIT 20 OFFSET 40")
 def collection_page(spark, sf):
     """A compiled filter, in order"""

@@ -231,3 +231,19 @@ def date_confidence(spark, sf):
 def transient_errors(spark, sf):
     """Classification of error texts"""
     return table(spark, sf, "documents").select("doc_id", T.is_transient(F.col("text")).alias("transient"))
+
+
+@query("cache_stream", """WITH a AS (SELECT event_type AS cache, ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) < INTERVAL 6 HOURS AS again FROM events)
+  SELECT cache, count(*) AS accesses, round(avg(coalesce(again, false)::INT), 6) AS hit_rate, 0::BIGINT AS evictions, CASE WHEN avg(coalesce(again, false)::INT) >= 0.8 THEN 'keep' ELSE 'live longer' END AS advice FROM a GROUP BY 1""")
+def cache_stream(spark, sf):
+    """A cache of the users of each event type, of six hours and room for all, over the stream of events; tests hold caches that are full, late rows and timers"""
+    from ..session import new_folder
+    from ..streaming import caches as C
+    from ..streaming import windows as W
+
+    at = new_folder(spark, "caches")
+    table(spark, sf, "events").write.parquet(f"{at}/events")  # a stream reads folders
+    accesses = W.read_events(spark, f"{at}/events", 1000).select(F.col("event_type").alias("cache"), F.col("user_id").cast("string").alias("key"), "ts")
+    hits = C.cached(accesses, 1 << 20, 6 * 3600, shards=4, late="60 days")
+    hits.writeStream.format("parquet").option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start(f"{at}/hits").awaitTermination()
+    return C.recommendation(spark.read.schema(C.ACCESSES).parquet(f"{at}/hits")).withColumn("hit_rate", F.round("hit_rate", 6))

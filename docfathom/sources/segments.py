@@ -75,16 +75,19 @@ class Segments:
                 if wait and time.time() < until:
                     break
             else:
-                return {"number": 0, "segments": []}
+                return {"number": 0, "segments": [], "marks": {}}
             if not wait:
-                return {"number": 0, "segments": []}
+                return {"number": 0, "segments": [], "marks": {}}
             time.sleep(0.05)
 
-    def _commit(self, change: Callable[[list[dict]], list[dict]]) -> dict:
-        """Publish the live segments with a change made to them."""
+    def _commit(self, change: Callable[[list[dict]], list[dict]], mark: tuple[str, int] | None = None) -> dict | None:
+        """Publish the live segments with a change made to them; None, and nothing is published, if a mark of the same name is as high already."""
         fs, path = self._fs()
         while True:
             now = self.manifest(wait=True)
+            marks = now["marks"] | (dict([mark]) if mark else {})
+            if mark and now["marks"].get(mark[0], -1) >= mark[1]:
+                return None
             segments = change(now["segments"])
             number = max([now["number"], *self._numbers()]) + 1
             try:
@@ -93,7 +96,7 @@ class Segments:
                 if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                     continue
                 raise
-            out.write(bytearray((json.dumps({"segments": segments}) + "\n").encode()))
+            out.write(bytearray((json.dumps({"segments": segments, "marks": marks}) + "\n").encode()))
             out.close()
             self._free(segments)
             return {"number": number, "segments": segments}
@@ -130,11 +133,21 @@ class Segments:
         new = self._written(rows, None, rows_per_file)
         self._commit(lambda _: [new])
 
-    def write(self, rows: dict[str, DataFrame], keys: DataFrame, rows_per_file: int = 0) -> None:
-        """Put rows; all older rows of the keys, which hold those of the rows, go."""
+    def marked(self, name: str) -> int:
+        """The highest mark of a name that a write has left, -1 without one."""
+        return self.manifest()["marks"].get(name, -1)
+
+    def write(self, rows: dict[str, DataFrame], keys: DataFrame, rows_per_file: int = 0, mark: tuple[str, int] | None = None) -> None:
+        """Put rows; all older rows of the keys, which hold those of the rows, go. mark: a name and a number that rises from write to write; one
+        that was left before, as by a batch that is run again, writes nothing."""
+        if mark and self.marked(mark[0]) >= mark[1]:
+            return
         new = self._written(rows, keys, rows_per_file)
-        now = self._commit(lambda live: [*live, new])
-        if len(now["segments"]) > MOST:
+        now = self._commit(lambda live: [*live, new], mark)
+        if now is None:
+            fs, path = self._fs()
+            fs.delete(path(f"{self.root}/{new['id']}"), True)
+        elif len(now["segments"]) > MOST:
             self.compact(whole=False)
 
     def delete(self, keys: DataFrame) -> None:
