@@ -92,7 +92,7 @@ def retrieve(docs: DataFrame, query: str, semantic: DataFrame | None, k: int = 5
         rows = rows.unionByName(more.select("id", "text", "score", F.lit("graph").alias("method"), F.lit(None).cast("int").alias("rank")))
     if persona is not None:
         references, name, year = persona
-        kept = V.persona_ranked(references, name, 1 << 30, year).select("id", "persona_score")
+        kept = V.persona_scored(references, name, year).select("id", "persona_score")
         rows = rows.join(kept, "id").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("persona_score", 9)), "id"))).drop("persona_score")  # at most a few times k rows
     return rows if neighbours is None else with_neighbours(rows, neighbours)
 

@@ -185,12 +185,18 @@ def expansions_of(domain: str | None = None) -> list[tuple[str, str, str]]:
     return out + [(a, w, "abbreviation") for a, text in ABBREVIATIONS.items() for w in text.replace("-", " ").replace("_", " ").split() if len(w) > 2]
 
 
+#: Names of a vocabulary that goes to each worker.
+MOST_NAMES = 100_000
+
+
 def expanded(queries: DataFrame, domain: str | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, term, weight, kind): a query's terms and what they expand to, each once, of several kinds the first of term, variant, synonym, abbreviation, domain.
 
     vocabulary (term, acronym, weight) is that of the domain: its terms that hold a query's term, or whose acronym it is, come in with
-    their acronyms, and its weights count for all; others weigh 1. A vocabulary of a domain is a bounded list.
+    their acronyms, and its weights count for all; others weigh 1. A vocabulary of a domain is a list of at most MOST_NAMES.
     """
+    if vocabulary is not None and vocabulary.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError("a vocabulary too large for each worker to hold")
     spark = queries.sparkSession
     kinds = ("term", "variant", "synonym", "abbreviation", "domain")
     table = F.broadcast(spark.createDataFrame(expansions_of(domain), "term string, other string, kind string"))

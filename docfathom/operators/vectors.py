@@ -227,9 +227,9 @@ PERSONAS = (
 )
 
 
-def persona_ranked(rows: DataFrame, persona: str, k: int, as_of_year: int) -> DataFrame:
+def persona_scored(rows: DataFrame, persona: str, as_of_year: int) -> DataFrame:
     """Rows (id, source_category, reference_type, link_status, quality_score, citation_count, domain_relevance_score,
-    distance, year) that the persona's rules let through, with persona_score: the k best. Academic references skip the rules."""
+    distance, year) that the persona's rules let through, with persona_score. Academic references skip the rules."""
     name, quality, citations, types, stale, verifiable, penalty, recency_bias = next(p for p in PERSONAS if p[0] == persona)
     academic = F.lower(F.coalesce("source_category", F.lit(""))) == "academic_reference"
     kind, link = F.lower(F.coalesce("reference_type", F.lit(""))), F.lower(F.coalesce("link_status", F.lit("available")))
@@ -238,4 +238,9 @@ def persona_ranked(rows: DataFrame, persona: str, k: int, as_of_year: int) -> Da
     recency = F.when(F.col("year").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0), as_of_year - F.col("year")) / 10))
     score = (0.5 * F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("distance")), F.lit(0.0)) + 0.2 * q + 0.15 * F.coalesce("domain_relevance_score", F.lit(0.0))
              + 0.1 * F.least(F.lit(1.0), c / 100) + (0.05 + recency_bias) * recency - F.when(link != "available", penalty).otherwise(0.0))
-    return rows.where(academic | allowed).withColumn("persona_score", score).orderBy(F.desc("persona_score"), "id").limit(k)
+    return rows.where(academic | allowed).withColumn("persona_score", score)
+
+
+def persona_ranked(rows: DataFrame, persona: str, k: int, as_of_year: int) -> DataFrame:
+    """The k best rows of persona_scored()."""
+    return persona_scored(rows, persona, as_of_year).orderBy(F.desc("persona_score"), "id").limit(k)

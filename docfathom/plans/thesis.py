@@ -92,6 +92,25 @@ def research_questions(spark, sf):
     return A.research_questions(table(spark, sf, "documents").select("doc_id", asked.alias("text"))).select("doc_id", F.explode("questions").alias("question"))
 
 
+WORDS_SQL = "list_filter(regexp_split_to_array(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: len(w) > 2)"
+
+
+@query("chapter_alignment", f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, unnest([1, 2, 3, 4, 5]) AS k, w FROM w),
+  t AS (SELECT doc_id, k, 'Title' || k || coalesce(' ' || w[k], '') || coalesce(' ' || w[k + 5], '') AS title, NOT (doc_id % 3 = 0 AND k = 2) AS there FROM c)
+  SELECT doc_id, k::VARCHAR AS number, title, CASE WHEN there THEN 5 + 2 * (k - 1) - CASE WHEN doc_id % 3 = 0 AND k > 2 THEN 2 ELSE 0 END + 0 END AS heading_line FROM t""")
+def chapter_alignment(spark, sf):
+    """A thesis of five chapters from the words of every document, with wrong page numbers; every third lacks one chapter and all say the first heading again"""
+    from ..operators import chapters as C
+
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda w: F.length(w) > 2)
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", words.alias("w"))
+    name = lambda k: F.concat_ws(" ", F.lit(f"Title{k}"), F.get("w", F.lit(k - 1)), F.get("w", F.lit(k + 4)))
+    listed = [F.concat(F.lit(f"Chapter {k}: "), name(k), F.lit(f" ..... {90 - 7 * k}")) for k in range(1, 6)]
+    body = [F.when(~((F.col("doc_id") % 3 == 0) & F.lit(k == 2)), F.concat(F.lit(f"Chapter {k}: "), name(k), F.lit("\nwords of it"))) for k in range(1, 6)]
+    theses = rows.select("doc_id", F.concat_ws("\n", *listed, *body, F.concat(F.lit("Chapter 1: "), name(1))).alias("text"))
+    return C.located(C.contents(theses), C.headings(theses)).select("doc_id", "number", "title", "heading_line")
+
+
 @query("concept_progression")
 def concept_progression(spark, sf):
     """Tested on a small thesis"""
