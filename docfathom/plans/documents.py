@@ -421,7 +421,7 @@ def code_doc_ids(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.translate(path, "/ .-", "____")).alias("doc_id"))
 
 
-@query("provider_dump", "SELECT lang AS provider, '10.1/' || doc_id AS doi, source AS title, 2000 + doc_id % 24 AS year, n_chars AS citations, CASE WHEN doc_id % 3 = 0 THEN lang END AS venue FROM documents")
+@query("provider_dump", "SELECT lang AS provider, '10.1/' || doc_id AS doi, source AS title, 2000 + doc_id % 24 AS year, n_chars AS citations, CASE WHEN doc_id % 3 = 0 THEN lang END AS venue FROM documents", writes=True)
 def provider_dump(spark, sf):
     """Answers of providers, kept as JSON pages of a hundred items in a folder each, read as a table"""
     from ..session import new_folder

@@ -139,7 +139,7 @@ def collection_upsert(spark, sf):
     return I.upsert(rows, new, "doc_id").select("doc_id", F.md5("text").alias("hash"))
 
 
-@query("collection_log", """SELECT doc_id::VARCHAR AS id, md5(CASE WHEN lang = 'es' THEN 'new ' || text ELSE text END) AS hash FROM documents WHERE lang <> 'fr' OR source = 'src2'""")
+@query("collection_log", """SELECT doc_id::VARCHAR AS id, md5(CASE WHEN lang = 'es' THEN 'new ' || text ELSE text END) AS hash FROM documents WHERE lang <> 'fr' OR source = 'src2'""", writes=True)
 def collection_log(spark, sf):
     """A collection as a log of segments; an upsert and a delete write what they are given, and what is deleted can be put again"""
     from ..session import new_folder
@@ -156,7 +156,7 @@ def collection_log(spark, sf):
 
 
 @query("stream_ingest", """SELECT doc_id::VARCHAR AS doc_id, 1::BIGINT AS version, md5(text) AS hash FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id::VARCHAR, 2, md5('new ' || text) FROM documents WHERE lang = 'es' AND text IS NOT NULL""")
+  UNION ALL SELECT doc_id::VARCHAR, 2, md5('new ' || text) FROM documents WHERE lang = 'es' AND text IS NOT NULL""", writes=True)
 def stream_ingest(spark, sf):
     """Documents as a stream of files; some come again as they were, some changed, and the last batch is run twice"""
     from ..session import new_folder

@@ -61,7 +61,7 @@ def bm25_batch(spark, sf):
 CHANGED = "changed AS (SELECT doc_id, CASE WHEN lang = 'es' THEN source || ' thon ' || text ELSE text END AS text FROM documents WHERE lang <> 'fr'), "
 
 
-@query("keyword_index_topk", bm25_sql(LITERALS, 10, f"greatest(0.25, {IDF})").replace("WITH tok", f"WITH {CHANGED} tok").replace("FROM documents)", "FROM changed)"))
+@query("keyword_index_topk", bm25_sql(LITERALS, 10, f"greatest(0.25, {IDF})").replace("WITH tok", f"WITH {CHANGED} tok").replace("FROM documents)", "FROM changed)"), writes=True)
 def keyword_index_topk(spark, sf):
     """A persisted index of all documents, then those of one language changed and those of another deleted, each written as a segment; a search of its blocks"""
     docs = table(spark, sf, "documents")
@@ -73,7 +73,7 @@ def keyword_index_topk(spark, sf):
 
 
 @query("keyword_index_stats", f"""WITH {CHANGED} {TOK}, t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM tok GROUP BY 1)
-  SELECT term, df, occurrences::BIGINT AS occurrences FROM t""".replace("FROM documents)", "FROM changed)"))
+  SELECT term, df, occurrences::BIGINT AS occurrences FROM t""".replace("FROM documents)", "FROM changed)"), writes=True)
 def keyword_index_stats(spark, sf):
     """Term statistics of the index after changes, deletes and compaction"""
     docs = table(spark, sf, "documents")

@@ -234,7 +234,7 @@ def transient_errors(spark, sf):
 
 
 @query("cache_stream", """WITH a AS (SELECT event_type AS cache, ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) < INTERVAL 6 HOURS AS again FROM events)
-  SELECT cache, count(*) AS accesses, round(avg(coalesce(again, false)::INT), 6) AS hit_rate, 0::BIGINT AS evictions, CASE WHEN avg(coalesce(again, false)::INT) >= 0.8 THEN 'keep' ELSE 'live longer' END AS advice FROM a GROUP BY 1""")
+  SELECT cache, count(*) AS accesses, round(avg(coalesce(again, false)::INT), 6) AS hit_rate, 0::BIGINT AS evictions, CASE WHEN avg(coalesce(again, false)::INT) >= 0.8 THEN 'keep' ELSE 'live longer' END AS advice FROM a GROUP BY 1""", writes=True)
 def cache_stream(spark, sf):
     """A cache of the users of each event type, of six hours and room for all, over the stream of events; tests hold caches that are full, late rows and timers"""
     from ..session import new_folder

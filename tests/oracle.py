@@ -43,11 +43,12 @@ def compare(spark, sf_dir: str, query, sql: str, con=None) -> str:
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
+    from docfathom.plans.registry import WRITERS
     from docfathom.session import session
 
     spark, sf = session("oracle", cores=int(os.environ.get("CORES", "4"))), f"/root/testdata/{sys.argv[1]}"
     con = duck(sf)
-    for name, sql in entry.oracle_sql().items():
+    for name, sql in (entry.oracle_sql() | WRITERS).items():
         if len(sys.argv) < 3 or name in sys.argv[2:] or any(a.endswith("*") and name.startswith(a[:-1]) for a in sys.argv[2:]):
             at = time.time()
             try:
