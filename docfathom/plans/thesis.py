@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import preprocessed, stemmed
 from ..operators import academic as A
 from ..operators import answers as N
+from ..operators import citations as C
 from ..operators import retrieval as R
 from ..sources import stores as S
 from .documents import REFS, refs
@@ -298,3 +299,68 @@ def redirect_pages(spark, sf):
     return table(spark, sf, "pages").where(S.is_redirect_page(F.col("html"))).select("page_id")
 
 
+
+
+# what a document's list looks like, and what is found in it, by its key (d)
+LISTED = ("\nContents\nReferences ........ 9\n1 On trees\nReferences\nEarly, E. (1990). A note that stands alone here. Wiley.\n" + "plain prose goes on and on in lines\n" * 45
+          + "References\nSmith, J., & Doe, A. ({y}). On trees of kind {d} and\ntheir many leaves. Journal of Wood, {v}(2), 11-19.\nC. (2017). Without a surname at great length.\n"
+          "World Tree Council. (2011). Report {d} on trees. https://trees.example.org/r{d}\n[7] Race, Ethnicity and Education, 19(4), 784-807.\nBrown, K. (2005). A toolkitAustralianHealthNetwork\nof {d}. Journal of Words, "
+          "2(1), 3-9. doi:10.1234/ab.{d} Green, L. M. (2006). Second of a line. Review of Lines, 4(4), 5-8.\nReferences\nVan Last, Z., Other, P. Q., & Third, R. (2010). The end of {d}. In Books of ends. Wiley.\n"
+          "Appendix A\nclosing words in small letters follow here\n")
+# (text, number, DOI, year, authors, title) of the entries found
+LISTED_ENTRIES = (
+    ("Smith, J., & Doe, A. ({y}). On trees of kind {d} and their many leaves. Journal of Wood, {v}(2), 11-19.", None, "{y}", "Smith, J.; Doe, A.", "On trees of kind {d} and their many leaves"),
+    ("World Tree Council. (2011). Report {d} on trees. https://trees.example.org/r{d}", None, "2011", "World Tree Council", "Report {d} on trees"),
+    ("Brown, K. (2005). A toolkit Australian Health Network of {d}. Journal of Words, 2(1), 3-9. doi:10.1234/ab.{d}", "10.1234/ab.{d}", "2005", "Brown, K.", "A toolkit Australian Health Network of {d}"),
+    ("Green, L. M. (2006). Second of a line. Review of Lines, 4(4), 5-8.", None, "2006", "Green, L. M.", "Second of a line"),
+    ("Van Last, Z., Other, P. Q., & Third, R. (2010). The end of {d}. In Books of ends. Wiley.", None, "2010", "Van Last, Z.; Other, P. Q.; Third, R.", "The end of {d}"),
+)
+
+
+def listed_sql(text: str | None) -> str:
+    if text is None:
+        return "NULL"
+    return "replace(replace(replace('" + text.replace("'", "''") + "', '{d}', doc_id::VARCHAR), '{y}', (1990 + doc_id % 20)::VARCHAR), '{v}', (1 + doc_id % 9)::VARCHAR)"
+
+
+ENTRIES_SQL = " UNION ALL ".join(f"SELECT doc_id, {k}::INT AS place, {listed_sql(raw)} AS raw, {listed_sql(doi)} AS doi, {listed_sql(year)}::INT AS year, '{people}' AS authors, {listed_sql(name)} AS title FROM documents"
+                                 for k, (raw, doi, year, people, name) in enumerate(LISTED_ENTRIES))
+
+
+def listed_entries(spark, sf):
+    text = F.lit(LISTED)
+    for mark, value in (("{d}", F.col("doc_id")), ("{y}", 1990 + F.col("doc_id") % 20), ("{v}", 1 + F.col("doc_id") % 9)):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    return C.reference_entries(table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), text).alias("text")))
+
+
+@query("reference_lists", ENTRIES_SQL)
+def reference_lists(spark, sf):
+    """After each text come a contents line, a list of one entry, a long gap, and a list with wrapped and joined entries, joined words, a page header and two entries that are none"""
+    return listed_entries(spark, sf).select("doc_id", "place", "raw", "doi", "year", F.array_join("authors", "; ").alias("authors"), "title")
+
+
+@query("cited_references", f"""WITH e AS ({ENTRIES_SQL}), n AS (SELECT *, CASE WHEN doi IS NOT NULL THEN 'doi:' || lower(doi) ELSE 'ref:' || sha256(lower(title)) END AS ref_id FROM e)
+  SELECT ref_id, min(raw) AS raw, count(*) AS citations, min(doc_id) AS first_doc FROM n GROUP BY 1""")
+def cited_references(spark, sf):
+    """Works of all lists, each once, with the documents that cite them"""
+    from ..session import with_checkpoints
+
+    with_checkpoints(spark)
+    works, pairs = C.cited(listed_entries(spark, sf).checkpoint())
+    return works.select("ref_id", "raw").join(pairs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("citations"), F.min("doc_id").alias("first_doc")), "ref_id")
+
+
+BOOKS = (("{n}, A. B. 2004. The book of {p}. Routledge, London", "The book of {p}", "{n}, A. B."), ("Ann {n}, Bob Stone (2011): The book of {p}. Sage", "The book of {p}", "Ann {n}; Bob Stone"),
+         ("Ann {n} 1999. The book of {p}", "The book of {p}", "Ann {n}"), ("A study of {p}", "A study of {p}", ""))
+
+
+@query("reviewed_books", "WITH b(t, title, authors) AS (VALUES " + ", ".join(map(str, BOOKS)) + """), p AS (SELECT p_partkey, p_partkey::VARCHAR AS p, CASE WHEN p_partkey % 2 = 0 THEN 'Kerr' ELSE 'Silva' END AS n FROM part)
+  SELECT p_partkey, replace(replace(t, '{n}', n), '{p}', p) AS cited, replace(replace(title, '{n}', n), '{p}', p) AS title, replace(replace(authors, '{n}', n), '{p}', p) AS authors FROM b, p""")
+def reviewed_books(spark, sf):
+    """Titles about every part, three of which cite a book"""
+    name = F.when(F.col("p_partkey") % 2 == 0, "Kerr").otherwise("Silva")
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{n}"), name), F.lit("{p}"), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf, "part").select("p_partkey", F.explode(F.array(*[fill(t) for t, _, _ in BOOKS])).alias("cited"))
+    book = C.reviewed_book(F.col("cited"))
+    return rows.select("p_partkey", "cited", book["title"].alias("title"), F.array_join(book["authors"], "; ").alias("authors"))
