@@ -1,10 +1,14 @@
 """Language, quality, rules and the language model: held-out accuracy, brute force, odd rows."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docfathom.llm import anomaly, langid, lm, quality
@@ -128,3 +132,61 @@ def test_language_model(spark):
     assert {r.n_known for r in lm.score(docs, empty, width).collect()} == {0}
     assert lm.score(docs.limit(0), model, width).count() == 0
     assert lm.perplexity(lm.score(docs.where(F.col("doc_id") < 3), model, width)).count() == 3
+
+
+def test_threshold_and_telling_against_all_cuts():
+    random = np.random.default_rng(11)
+    for _ in range(30):
+        n = int(random.integers(2, 40))
+        paths, good = np.round(random.uniform(0.4, 1.2, n), 1), random.uniform(size=n) < 0.7
+        cut = anomaly.threshold(paths, good)
+        if good.all() or not good.any():
+            assert cut == -1
+            continue
+
+        def cost(c, paths=paths, good=good):
+            return (paths[~good] >= c).mean() + anomaly.GOOD * (paths[good] < c).mean()
+
+        assert cost(cut) == min(cost(c) for c in (-1.0, *(np.unique(paths) + 0.01)))
+        rows = np.round(random.normal(0, 1, (n, 3)), 1)
+
+        def doubt(g):
+            return -sum(p * np.log(p) for p in (g.mean(), 1 - g.mean()) if p > 0)
+
+        gained = [max([0.0] + [doubt(good) - sum(m.mean() * doubt(good[m]) for m in (x <= c, x > c)) for c in np.unique(x)[:-1]]) for x in rows.T]
+        found = anomaly.telling(rows, good)
+        assert np.allclose(found, np.where(np.array(gained) >= anomaly.TELLING * max(gained), np.array(gained) / max(gained), 0) if max(gained) > 0 else 1, atol=1e-8)
+
+
+def test_paths_of_a_forest_by_hand():
+    rows = np.random.default_rng(3).normal(0, 1, (300, 4))
+    forest = anomaly.Forest(rows, np.array([1.0, 0.5, 0.0, 2.0]))
+    got = forest.paths(rows[:20])
+    for row, path in zip(rows[:20], got, strict=True):
+        total = 0.0
+        for split, value, left, right, length, _ in forest.trees:
+            at = 0
+            while split[at] >= 0:
+                assert split[at] != 2
+                at = left[at] if row[split[at]] <= value[at] else right[at]
+            total += length[at]
+        assert abs(path - total / len(forest.trees) / forest.scale) < 1e-9
+    assert forest.paths(np.full((1, 4), 9.0))[0] < got.min()  # far out: short
+    assert len(set(forest.paths(np.repeat(rows[:1], 3, axis=0)))) == 1  # rows alike
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_forest_on_rows_held_out():
+    """The forest of 300, 1,000 and all labelled rows of a half finds the bad rows of the other half that pass the base rule."""
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.merge(labels[["doc_id", "quality"]].dropna(), on="doc_id").sort_values("doc_id")
+    found = [(*anomaly.statistics(t), q == 1) for t, q in zip(both.text, both.quality, strict=True)]
+    found = [(odd, good) for base, odd, good in found if not anomaly.base_failed(base[0], base[4])]
+    values, good = np.array([odd for odd, _ in found]), np.array([g for _, g in found])
+    order = np.random.default_rng(5).permutation(len(values))
+    rest = order[len(order) // 2 :]
+    for n in (300, 1000, len(order) // 2):
+        some = order[:n]
+        model = anomaly.grown(values[some], good[some])
+        odd = model.forest.paths(values[rest]) < model.cut
+        assert odd[~good[rest]].mean() >= 0.95 and odd[good[rest]].mean() <= 0.01, n
