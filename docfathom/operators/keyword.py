@@ -104,8 +104,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, floor: float | None = EPSI
     The texts are read and tokenised once; the postings of the queries' terms are checkpointed and give all counts. A
     persisted index (sources.stores.KeywordIndex) saves that pass too.
     """
+    return bm25_terms(docs, query_terms(queries, toks), k, floor, toks)
+
+
+def bm25_terms(docs: DataFrame, terms: DataFrame, k: int, floor: float | None = EPSILON, toks=tokens) -> DataFrame:
+    """bm25() of queries given as weighted terms (query_id, term, times)."""
     with_checkpoints(docs.sparkSession)
-    terms = query_terms(queries, toks)
     post = matched_postings(docs, terms.select("term").distinct(), toks).checkpoint()
     n, mean = post.where("term = ''").agg(F.count(F.lit(1)), F.avg("doc_length")).first()
     return ranked(post.where("term <> ''"), terms, F.lit(n), F.lit(mean or 1.0), k, floor)

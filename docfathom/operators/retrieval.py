@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import keyword as K
 from . import vectors as V
+from ..functions.text import tokens
 from ..session import with_checkpoints
 from .terms import expanded
 
@@ -61,21 +62,20 @@ def detected_filters(query: Column) -> Column:
 
 
 def retrieve(docs: DataFrame, query: str, semantic: DataFrame | None, k: int = 5, weights: tuple[float, float] = (0.6, 0.4), scorer=None, where: Column | None = None, expand: bool = False,
-             edges: DataFrame | None = None, neighbours: DataFrame | None = None, persona: tuple[DataFrame, str, int] | None = None) -> DataFrame:
+             vocabulary: DataFrame | None = None, domain: str | None = None, edges: DataFrame | None = None, neighbours: DataFrame | None = None, persona: tuple[DataFrame, str, int] | None = None) -> DataFrame:
     """(id, text, score, method, rank): keyword search of docs (doc_id, text, ...) joined with an injected semantic list
     (query_id 0, id, score), fused, reranked by the light rules or an injected scorer(query, text).
 
     where: only documents of this filter are searched, on both sides. expand: the query's terms are searched with what they
-    expand to. edges (a, b, severity): results bring in the neighbours of their worst edges at half their score. persona (references,
+    expand to in the domain and its vocabulary (term, acronym, weight), each by its weight. edges (a, b, severity): results bring in the neighbours of their worst edges at half their score. persona (references,
     persona, year): what its rules let through, ordered by its scores. neighbours (id, prev_id, next_id, text): each result comes with
     the chunks before and after it, `part` says which is which.
     """
     spark = docs.sparkSession
     docs = docs if where is None else docs.where(where)
     asked = K.literal_queries(spark, [query])
-    if expand:
-        asked = expanded(asked).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("query"))
-    words = K.bm25(docs, asked, 2 * k).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    terms = weighted_terms(asked, domain, vocabulary) if expand else K.query_terms(asked)
+    words = K.bm25_terms(docs, terms, 2 * k).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
     if semantic is not None and where is not None:
         semantic = semantic.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     top = words.select("query_id", "id", "score", F.lit("keyword").alias("method")) if semantic is None else V.fused(semantic, words, 2 * k, "rrf", weights).drop("rank")
@@ -97,6 +97,14 @@ def retrieve(docs: DataFrame, query: str, semantic: DataFrame | None, k: int = 5
     return rows if neighbours is None else with_neighbours(rows, neighbours)
 
 
+def weighted_terms(queries: DataFrame, domain: str | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(query_id, term, times) of the tokens of queries (query_id, query) and of what they expand to: how often a token is asked, by the greatest
+    weight of an expansion that holds it."""
+    own = K.query_terms(queries).select("query_id", "term", F.col("times").cast("double").alias("times"), F.lit(1.0).alias("weight"))
+    more = expanded(queries, domain, vocabulary).select("query_id", F.explode(tokens(F.col("term"))).alias("term"), F.lit(1.0).alias("times"), F.col("weight").cast("double").alias("weight"))
+    return own.unionByName(more).groupBy("query_id", "term").agg((F.max("times") * F.max("weight")).alias("times"))
+
+
 def with_graph(rows: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(id, score): up to k neighbours of each result (id, score) by severity that are no results themselves, at half the best score that led to them."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "severity").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "severity"))

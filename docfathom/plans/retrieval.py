@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as H
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from .registry import query, table
-from .vectors import SEM, kw_sql, semantic
+from .vectors import SEM, kw_sql, persona_sql, references, semantic
 
 
 def docs(spark, sf):
@@ -77,6 +78,39 @@ def retrieve_graph(spark, sf):
     return found.select("id", F.round(F.round("score", 6), 5).alias("score"), "method")
 
 
+P = V.PERSONAS[-1]
+# (term, acronym, weight) of a domain's vocabulary, and the terms that "la de enten" becomes with it
+VOCABULARY = (("enten", "der", 2.0), ("mentenon", "que", 1.5), ("tion", "ing", 3.0))
+EXPANDED = (("la", 1.0), ("de", 1.0), ("enten", 2.0), ("der", 1.0), ("mentenon", 1.5), ("que", 1.0))
+RETRIEVED = retrieve_sql()
+ASKED_TERMS = RETRIEVED[RETRIEVED.index("qt AS (") : RETRIEVED.index("kw AS (")]
+
+
+@query("retrieve_expanded", RETRIEVED.replace(ASKED_TERMS, f"qt AS (SELECT 0::BIGINT AS query_id, * FROM (VALUES {', '.join(map(str, EXPANDED))}) t(term, times)),\n"))
+def retrieve_expanded(spark, sf):
+    """Keywords with what they expand to in a vocabulary, by its weights"""
+    words = spark.createDataFrame(VOCABULARY, "term string, acronym string, weight double")
+    return shown(R.retrieve(docs(spark, sf), "la de enten", first_query(spark, sf), expand=True, vocabulary=words))
+
+
+@query("retrieve_scored", RETRIEVED[: RETRIEVED.index("  x AS (")] + """  x AS (SELECT id, method, (length(text) * 7919) % 1000 / 1000.0::DOUBLE AS score FROM f JOIN docs ON doc_id = id)
+  SELECT id, round(score, 6) AS score, method, row_number() OVER (ORDER BY score DESC, id)::BIGINT AS rank FROM x QUALIFY rank <= 5""")
+def retrieve_scored(spark, sf):
+    """The fused list ordered by an injected scorer of query and text; a function of the text's length stands for the model"""
+    return shown(R.retrieve(docs(spark, sf), "la de enten", first_query(spark, sf), scorer=lambda query, text: (F.length(text) * 7919) % 1000 / 1000))
+
+
+PERSONA_SQL = persona_sql(*P)[len("WITH ") :].split("\n  SELECT id, round(score, 6) AS persona_score")[0]
+
+
+@query("retrieve_persona", f"""WITH r AS ({RETRIEVED}), {PERSONA_SQL}
+  SELECT r.id, round(r.score, 6) AS score, method, row_number() OVER (ORDER BY round(s.score, 9) DESC, r.id)::BIGINT AS rank FROM r JOIN s ON s.id = r.id + 1""")
+def retrieve_persona(spark, sf):
+    """Results that a persona's rules let through, ordered by its scores; an order stands for a document's reference"""
+    refs = references(spark, sf).withColumn("id", F.col("id") - 1)
+    return shown(R.retrieve(docs(spark, sf), "la de enten", first_query(spark, sf), persona=(refs, P[0], 2000)))
+
+
 @query("bm25_chunk_lookup", f"WITH {SEM} SELECT id, round(score * 9, 6) AS score, round(greatest(0, least(1, 1 - score * 9 / 10)), 6) AS distance, lang, query_id FROM sem JOIN documents ON doc_id = id")
 def bm25_chunk_lookup(spark, sf):
     """J17"""
