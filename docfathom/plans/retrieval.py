@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as H
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..operators import weights as L
 from .registry import query, table
 from .vectors import SEM, kw_sql, persona_sql, references, semantic
 
@@ -86,11 +87,15 @@ RETRIEVED = retrieve_sql()
 ASKED_TERMS = RETRIEVED[RETRIEVED.index("qt AS (") : RETRIEVED.index("kw AS (")]
 
 
-@query("retrieve_expanded", RETRIEVED.replace(ASKED_TERMS, f"qt AS (SELECT 0::BIGINT AS query_id, * FROM (VALUES {', '.join(map(str, EXPANDED))}) t(term, times)),\n"))
+EXPANDED_SQL = RETRIEVED.replace(ASKED_TERMS, f"qt AS (SELECT 0::BIGINT AS query_id, * FROM (VALUES {', '.join(map(str, EXPANDED))}) t(term, times)),\n")
+FUSED = EXPANDED_SQL[EXPANDED_SQL.index(" a AS (") : EXPANDED_SQL.index("  w AS (")]
+
+
+@query("retrieve_expanded", EXPANDED_SQL.replace(FUSED, " f AS (SELECT id, score AS s, 'keyword' AS method FROM kw WHERE query_id = 0 AND r <= 10),\n"))
 def retrieve_expanded(spark, sf):
     """Keywords with what they expand to in a vocabulary, by its weights"""
     words = spark.createDataFrame(VOCABULARY, "term string, acronym string, weight double")
-    return shown(R.retrieve(docs(spark, sf), "la de enten", first_query(spark, sf), expand=True, vocabulary=words))
+    return shown(R.retrieve(docs(spark, sf), "la de enten", None, expand=True, vocabulary=words))
 
 
 @query("retrieve_scored", RETRIEVED[: RETRIEVED.index("  x AS (")] + """  x AS (SELECT id, method, (length(text) * 7919) % 1000 / 1000.0::DOUBLE AS score FROM f JOIN docs ON doc_id = id)
@@ -261,3 +266,18 @@ def sampled_graph(spark, sf):
 
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return C.sampled_graph(rows, 0.3, C.neighbours_for(rows.count())).withColumn("confidence", F.round("confidence", 6))
+
+
+def rated(spark, sf):
+    """Lines as rated queries: prices rate them, and quantities, discounts and parts are their features."""
+    kind = F.when(F.col("l_returnflag") == "A", "technical").when(F.col("l_returnflag") == "N", "natural").otherwise("mixed")
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_linestatus", F.col("l_shipdate").cast("timestamp").alias("created_at"), (F.col("l_linenumber") / 10).alias("vector_weight"),
+                                               (1 - F.col("l_linenumber") / 10).alias("keyword_weight"), kind.alias("query_type"), (F.col("l_partkey") % 200).alias("query_length"), (F.col("l_discount") * 10).cast("double").alias("embedding_similarity"),
+                                               (F.col("l_quantity") / 50).cast("double").alias("bm25_score"), (F.col("l_extendedprice") / 100000).cast("double").alias("relevancy"))
+
+
+@query("adaptive_weights")
+def adaptive_weights(spark, sf):
+    """Weights of vector and keyword search for each status of lines, by least squares on six features over all lines, older ones counting less; tested against a solver"""
+    found = L.learned_weights(rated(spark, sf), "l_linestatus", "1997-01-01 00:00:00", "1997-02-01 00:00:00")
+    return found.select("l_linestatus", "samples", "vector_weight", F.round("keyword_weight", 6).alias("keyword_weight"), F.round("confidence", 6).alias("confidence"), F.round("improvement", 6).alias("improvement"), "recommended")
