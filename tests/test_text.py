@@ -36,6 +36,12 @@ def test_readability(spark):
     assert one(spark, X.truncate(t, 10), "short", "aaaa bbbb cccc", "aaaaaaaaaaaaaaa") == ["short", "aaaa bbbb", "aaaaaaaaaa"]
 
 
+def test_sentences_keep_their_digits(spark):
+    """The place of a sentence is nothing to trim."""
+    text = ". ".join(f"{k} is {k}" for k in range(12))
+    assert one(spark, X.sentences(F.col("t")), text + "\n  spaced  ") == [[f"{k} is {k}." for k in range(11)] + ["11 is 11", "spaced"]]
+
+
 def test_entities(spark):
     t = F.col("t")
     assert one(spark, F.array_join(X.entities(t), ","), "GET /api/users calls load_data(x) in MyClass with MAX_SIZE and app.config.key") == ["/api/users,MAX_SIZE,MyClass,app.config.key,load_data"]
