@@ -55,6 +55,23 @@ def test_nearest_and_fusion(spark):
     assert [(r.id, r.score) for r in alone] == [(1, 0.5), (2, 0.0)]
 
 
+def test_nearest_of_blocks(monkeypatch):
+    """Parts of a block's table give what sorting all of it gives, ties by id; no table of the whole block is held."""
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    m = r.integers(-1, 2, (90, 4)).astype(float)  # many ties
+    m[3] = 0
+    frame = pd.DataFrame({"id": r.permutation(90), "v": list(m)})
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    monkeypatch.setattr(V, "CELLS", 500)
+    s, ids = np.round(unit @ unit.T, 12), frame.id.to_numpy()
+    s[ids[:, None] == ids[None, :]] = -np.inf
+    want = [(q, *x) for q, row in zip(ids, s) for x in [(ids[k],) for k in np.lexsort((ids, -row))[:7]]]
+    got = V.nearest_of(frame, frame, 7, True)
+    assert list(zip(got.query_id, got.id)) == want and len(V.nearest_of(frame.iloc[:1], frame.iloc[:3], 7, True)) == 2
+
+
 def test_personas(spark):
     schema = "id long, source_category string, reference_type string, link_status string, quality_score double, citation_count int, domain_relevance_score double, distance double, year int"
     rows = spark.createDataFrame([(1, None, "academic", "available", 0.8, 20, 0.5, 0.2, 2020), (2, "academic_reference", None, None, None, None, None, 0.1, None), (3, None, "academic", "stale_404", 0.8, 20, 0.5, 0.2, 2020), (4, None, "blog", "available", 0.9, 90, 0.9, 0.0, 2024)], schema)
