@@ -1,8 +1,8 @@
 """Clusters of vectors: an index of cells for nearest neighbours, sampled graphs, and linkage of vocabularies.
 
 The index is fitted on a bounded sample and covers every row. A search looks into the cells nearest to a query; the exact
-search then looks into all others that the distances to their middles and their radii don't rule out. A cell, however many rows it has, is
-dealt into blocks, and a task holds two blocks.
+search then looks into all that the distances to their middles and their radii don't rule out, by lots of cells: a query goes to a lot once,
+however many of its cells are looked into. A cell or lot, however many rows it has, is dealt into blocks, and a task holds two blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .keyword import top
-from .vectors import BLOCK, _unit, blocked, close_pairs
+from .vectors import BLOCK, CELLS, JOIN_BLOCK, _unit, blocked, close_pairs, nearest_of
 
 #: Rows that the middles of cells are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
@@ -69,55 +69,72 @@ class CellIndex:
         #: A row a cell: how many rows it has, and the largest angle of one to its middle.
         self.cells = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("radius")).collect()
 
-    def _probes(self, queries: DataFrame, probes: int | None) -> DataFrame:
-        """(id, v, cell, place): the cells that have rows, nearest first, `probes` of them; or all that a bound (column `reach`, an angle) leaves."""
+    def _lots(self) -> np.ndarray:
+        """The lot of each cell: cells near each other, of about JOIN_BLOCK rows together."""
+        size = np.zeros(len(self.middles), np.int64)
+        for c in self.cells:
+            size[c.cell] = c.n
+        lot, n = np.full(len(size), -1), 0
+        for first in range(len(size)):
+            if lot[first] < 0:
+                near = np.argsort(-(self.middles @ self.middles[first]), kind="stable")
+                near = near[lot[near] < 0]
+                near = np.concatenate([[first], near[near != first]])
+                lot[near[: max(1, int(np.searchsorted(np.cumsum(size[near]), JOIN_BLOCK, "right")))]] = n
+                n += 1
+        return lot
+
+    def _probes(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(id, v, cell): for each query the `probes` nearest cells that have rows."""
+        middles, empty = self.middles, np.full(len(self.middles), True)
+        empty[[c.cell for c in self.cells]] = False
+
+        def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in _parts(frames, len(middles)):
+                s = np.where(empty, -np.inf, _unit(f.v) @ middles.T)
+                cell = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+                row, at = np.nonzero(np.isfinite(np.take_along_axis(s, cell, 1)))
+                yield pd.DataFrame({"id": f.id.to_numpy()[row], "v": f.v.to_numpy()[row], "cell": cell[row, at].astype(np.int32)})
+
+        return queries.mapInPandas(find, "id long, v array<double>, cell int")
+
+    def _reached(self, queries: DataFrame, lot: np.ndarray) -> DataFrame:
+        """(id, v, cell): for each query (id, v, reach) the lots with a cell that its reach, an angle, doesn't rule out."""
         middles, radius = self.middles, np.full(len(self.middles), -np.inf)
         for c in self.cells:
             radius[c.cell] = c.radius
+        order = np.argsort(lot, kind="stable")
+        starts = np.searchsorted(lot[order], np.arange(lot.max() + 1))
 
         def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not len(f):
-                    continue
+            for f in _parts(frames, len(middles)):
                 turn = np.arccos(np.clip(_unit(f.v) @ middles.T, -1, 1))
-                turn = np.where(np.isfinite(radius), turn, np.inf)
-                order = np.argsort(turn, axis=1, kind="stable")
-                place = np.empty_like(order)
-                np.put_along_axis(place, order, np.arange(turn.shape[1])[None, :], axis=1)
-                if probes is not None:
-                    row, cell = np.nonzero((place < probes) & np.isfinite(turn))
-                else:
-                    row, cell = np.nonzero(np.isfinite(turn) & (place >= f.skip.to_numpy()[:, None]) & (turn - radius[None, :] <= f.reach.to_numpy()[:, None] + 1e-6))
-                yield pd.DataFrame({"id": f.id.to_numpy()[row], "v": f.v.to_numpy()[row], "cell": cell.astype(np.int32)})
+                near = turn - radius[None, :] <= f.reach.to_numpy()[:, None] + 1e-6
+                row, at = np.nonzero(np.logical_or.reduceat(near[:, order], starts, axis=1))
+                yield pd.DataFrame({"id": f.id.to_numpy()[row], "v": f.v.to_numpy()[row], "cell": at.astype(np.int32)})
 
         return queries.mapInPandas(find, "id long, v array<double>, cell int")
 
-    def _meet(self, asked: DataFrame, k: int, same: bool) -> DataFrame:
-        """(query_id, id, similarity): the k nearest in the cells asked for (id, v, cell), for each block of a cell."""
-        sizes = F.broadcast(self.spark.createDataFrame([(c.cell, -(-c.n // BLOCK)) for c in self.cells], "cell int, blocks long"))  # a row a cell
-        many = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("asking"))
+    def _meet(self, asked: DataFrame, k: int, same: bool, lot: np.ndarray | None = None) -> DataFrame:
+        """(query_id, id, similarity): the k nearest in the cells, or lots of cells, asked for (id, v, cell), for each block of one."""
+        rows, block, size = self.rows, BLOCK, {c.cell: c.n for c in self.cells}
+        if lot is not None:
+            place = F.broadcast(self.spark.createDataFrame([(c.cell, int(lot[c.cell])) for c in self.cells], "cell int, lot int"))  # a row a cell
+            rows, block, size = rows.join(place, "cell").select("id", "v", F.col("lot").alias("cell")), JOIN_BLOCK, {}
+            for c in self.cells:
+                size[int(lot[c.cell])] = size.get(int(lot[c.cell]), 0) + c.n
+        sizes = F.broadcast(self.spark.createDataFrame([(c, -(-n // block)) for c, n in size.items()], "cell int, blocks long"))  # a row a cell
+        many = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("asking"))
         deal = lambda df, own, other: df.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
-        left = deal(asked.join(sizes, "cell").join(many, "cell"), "asking", "blocks").select("cell", "asking", "blocks", "id", "v")
-        right = deal(self.rows.join(sizes, "cell").join(F.broadcast(many), "cell"), "blocks", "asking").select("cell", "asking", "blocks", "id", "v")  # many: a row a cell
-
-        def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(r):
-                return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "similarity": np.empty(0)})
-            s, ids = _unit(q.v) @ _unit(r.v).T, np.broadcast_to(r.id.to_numpy()[None, :], (len(q), len(r)))
-            if same:
-                s = np.where(ids == q.id.to_numpy()[:, None], -np.inf, s)
-            at = np.lexsort((ids, -np.round(s, 12)), axis=1)[:, :k]
-            s, ids = np.take_along_axis(s, at, 1), np.take_along_axis(ids, at, 1)
-            row, col = np.nonzero(np.isfinite(s))
-            return pd.DataFrame({"query_id": q.id.to_numpy()[row], "id": ids[row, col], "similarity": s[row, col]})
-
+        left = deal(asked.join(sizes, "cell").join(F.broadcast(many), "cell"), "asking", "blocks").select("cell", "asking", "blocks", "id", "v")  # many: a row a cell
+        right = deal(rows.join(sizes, "cell").join(F.broadcast(many), "cell"), "blocks", "asking").select("cell", "asking", "blocks", "id", "v")
         by = ["cell", "asking", "blocks"]
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda q, r: meet(q, r), "query_id long, id long, similarity double")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda q, r: nearest_of(q, r, k, same), "query_id long, id long, similarity double")
 
     def nearest(self, queries: DataFrame, k: int, probes: int = 8, exact: bool = False, same: bool = True) -> DataFrame:
         """(query_id, id, similarity): the k nearest rows to each query (id, v), ties by id; same: ids name the same things, and a row isn't its own neighbour.
 
-        A query without a vector has none. exact: cells that can hold a row as near as the k-th found are looked into as well.
+        A query without a vector has none. exact: all cells that can hold a row as near as the k-th found are looked into, in lots.
         """
         queries = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v is not null")
         best = lambda df: top(df, ["query_id"], [F.desc(F.round("similarity", 12)), F.asc("id")], k).drop("rank")
@@ -129,8 +146,17 @@ class CellIndex:
         found = cut(found)
         kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("s"))
         reach = F.when(F.col("n") == k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "s")))).otherwise(F.lit(10.0))
-        more = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce(reach, F.lit(10.0)).alias("reach"), F.lit(probes).alias("skip"))
-        return best(found.unionByName(self._meet(self._probes(more, None), k, same)))
+        more = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce(reach, F.lit(10.0)).alias("reach"))
+        lot = self._lots()
+        return best(self._meet(self._reached(more, lot), k, same, lot))
+
+
+def _parts(frames: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Frames in parts whose table of rows and cells is bounded."""
+    step = max(1, CELLS // 4 // max(1, cells))
+    for f in frames:
+        for low in range(0, len(f), step):
+            yield f.iloc[low : low + step]
 
 
 def neighbours_for(n: int, most: int | None = None) -> int:

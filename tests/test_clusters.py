@@ -30,6 +30,14 @@ def many(spark):
     return rows, want, C.CellIndex(rows, cells=32, sample=500)
 
 
+def test_exact_search_sends_a_query_to_a_lot_once(many):
+    """However many cells are within reach, no query has a row for each of them."""
+    rows, want, index = many
+    lot = index._lots()
+    asked = index._reached(rows.where("id % 20 = 0").selectExpr("id", "v", "10.0D as reach"), lot)
+    assert len(lot) > 1 and lot.max() == 0 and asked.count() == len(want)
+
+
 def test_recall_and_exact_search(many, monkeypatch):
     rows, want, index = many
     got = {}
