@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from docfathom.operators import communities as C
+from docfathom.operators.graph import betweenness
 
 
 def frames(spark, n, edges):
@@ -106,3 +107,22 @@ def test_path_metrics(spark):
     nodes, rows = frames(spark, 1, [])
     got = C.path_metrics(nodes, rows).first()
     assert got.diameter is None and got.mean_path is None and got.nodes == 1
+
+
+def test_distances_write_no_table_a_step(spark, monkeypatch):
+    """Two paths and a lone node, without a table for each step of each block of sources."""
+    monkeypatch.setattr(C, "WORDS", 1)
+    made = []
+    monkeypatch.setattr(C, "cut", lambda df: made.append(df) or df)
+    nodes = spark.range(200).selectExpr("id as node")
+    edges = nodes.where("node < 198 and node <> 98").selectExpr("node as a", "node + 1 as b")
+    got = {r.distance: r.pairs for r in C.distances(nodes, edges).collect()}
+    assert got == {d: 2 * (max(0, 99 - d) + max(0, 100 - d)) for d in range(1, 100)} and len(made) <= 3
+
+
+def test_betweenness_of_several_components(spark):
+    """A star, a path and a cycle; what one source leaves doesn't reach the next."""
+    edges = [(0, k) for k in range(1, 6)] + [(10, 11), (11, 12), (12, 13)] + [(20, 21), (21, 22), (22, 23), (23, 20)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(6), *range(10, 14), *range(20, 24), 30]], "node long")
+    got = {r.node: round(r.betweenness * 14 * 13, 9) for r in betweenness(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {k: v for k, v in got.items() if v} == {0: 20, 11: 4, 12: 4, 20: 1, 21: 1, 22: 1, 23: 1} and len(got) == 15
