@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .keyword import top
-from .vectors import BLOCK, CELLS, JOIN_BLOCK, _unit, blocked, close_pairs, nearest_of
+from .vectors import BLOCK, CELLS, JOIN_BLOCK, _unit, close_pairs, nearest_of
 
 #: Rows that the middles of cells are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
 MOST_CELLS = 4096
+#: Clusters of a group, at most, whose merges a task ends by itself.
+IN_TASK = 4096
 
 
 def _middles(m: np.ndarray, cells: int) -> np.ndarray:
@@ -195,46 +197,103 @@ def linked(vectors: DataFrame, threshold: float = 0.8, linkage: str = "average",
     average: the mean cosine of their pairs; complete: the least; single: the largest; ward: what a merge adds to the squared distances
     to the middles, as 1 - half its root. Each round merges all clusters that are each other's nearest, which gives what
     merging one nearest pair at a time gives, ties aside. A cluster is named by its smallest id. No cluster or vocabulary goes through
-    one task: nearest clusters are found by blocks of their middles, or among the pairs over the threshold.
+    one task: nearest clusters are found by blocks of their middles, each block giving a cluster's nearest alone, or among the pairs over the
+    threshold; what is left of a group is merged in a task once it has at most IN_TASK clusters that can merge.
     """
     unit = cut(vectors.select(F.col("id").cast("long").alias("id"), _unit_column(F.col("v")).alias("v"), (F.col(by) if by else F.lit(0)).cast("string").alias("g")))
     label = unit.select("id", F.col("id").alias("cluster"))
-    if linkage in ("single", "complete"):
-        pairs = _pairs(unit, threshold)
-        if linkage == "single":
-            from .graph import components
-
-            return components(unit.select(F.col("id").alias("node")), pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    elif linkage in ("average", "ward"):
-        pairs = None
-        state = unit.select("id", "v", "g", F.lit(1.0).alias("n"))
-    else:
+    best = lambda near: near.groupBy("id").agg(F.min_by("other", F.struct(-F.round("s", 12), "other")).alias("other"))
+    mutual = lambda first: cut(first.join(first.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other").select(F.col("other").alias("was"), F.col("id").alias("now")))
+    moved = lambda label, into: cut(label.join(into, F.col("cluster") == F.col("was"), "left").select("id", F.coalesce("now", "cluster").alias("cluster")))
+    if linkage in ("average", "ward"):
+        return _linked_middles(unit, threshold, linkage, best, mutual, moved)
+    if linkage not in ("single", "complete"):
         raise ValueError("linkage is single, complete, average or ward")
+    pairs = _pairs(unit, threshold)
+    if linkage == "single":
+        from .graph import components
+
+        return components(unit.select(F.col("id").alias("node")), pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    while True:
+        near = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "s").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "s"))
+        into = mutual(cut(best(near)))
+        if into.isEmpty():
+            return label
+        label = moved(label, into)
+        # two clusters stay a pair if each half is one with each half, at the least of these
+        size = into.select(F.col("now").alias("id"), F.lit(2).alias("halves"))
+        for side in ("a", "b"):
+            pairs = pairs.join(into, F.col(side) == F.col("was"), "left").withColumn(side, F.coalesce("now", side)).drop("was", "now")
+        pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
+        halves = lambda side: size.select(F.col("id").alias(side), F.col("halves").alias(f"h{side}"))
+        full = F.coalesce("ha", F.lit(1)) * F.coalesce("hb", F.lit(1))
+        pairs = cut(pairs.join(halves("a"), "a", "left").join(halves("b"), "b", "left").where(F.col("n") == full).select("a", "b", "s"))
+
+
+def _linked_middles(unit: DataFrame, threshold: float, linkage: str, best, mutual, moved) -> DataFrame:
+    """linked() by middles. A merged cluster is to no other one more alike than the more alike of its halves, so a cluster's nearest stays until it is merged, and a
+    cluster that has none over the threshold gets none: only clusters that were merged, or whose nearest was, are asked again."""
+    # equal vectors come first, in one step: in rounds a pair a round would merge of a group of them
+    copies = (F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0) if threshold <= 1 else F.lit(False)
+    own = unit.withColumn("key", F.when(copies, F.lit(-1).cast("long")).otherwise(F.col("id")))
+    state = cut(own.groupBy("g", "v", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n")).select("id", "v", "g", "n"))
+    label = cut(own.join(own.groupBy("g", "v", "key").agg(F.min("id").alias("cluster")), ["g", "v", "key"]).select("id", "cluster"))
+    asked, first, whole = state, None, True
     while True:
-        if pairs is not None:
-            near = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "s").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "s"))
-        else:
-            near = _nearest_clusters(state, threshold, linkage)
-        first = cut(near.groupBy("id").agg(F.min_by("other", F.struct(-F.round("s", 12), "other")).alias("other")))
-        mutual = cut(first.join(first.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other").select("id", "other"))
-        if mutual.isEmpty():
+        count = cut(state.groupBy("g").agg(F.count(F.lit(1)).alias("rows")))
+        if not count.where(F.col("rows") <= IN_TASK).isEmpty():  # what is left of these groups is merged in a task each
+            small = state.join(count.where(F.col("rows") <= IN_TASK).select("g"), "g", "left_semi").select("id", "v", "g", "n")
+            label = moved(label, cut(small.groupBy("g").applyInPandas(lambda f: merged_of(f, threshold, linkage), "was long, now long")))
+            large = count.where(F.col("rows") > IN_TASK).select("g")
+            state, asked = cut(state.join(large, "g", "left_semi").select("id", "v", "g", "n")), cut(asked.join(large, "g", "left_semi").select("id", "v", "g", "n"))
+            first = first if first is None else cut(first.join(state.select("id"), "id", "left_semi"))
+        if state.isEmpty():
             return label
-        into = mutual.select(F.col("other").alias("was"), F.col("id").alias("now"))
-        label = cut(label.join(into, F.col("cluster") == F.col("was"), "left").select("id", F.coalesce("now", "cluster").alias("cluster")))
-        if pairs is not None:  # two clusters stay a pair if each half is one with each half, at the least of these
-            size = into.select(F.col("now").alias("id"), F.lit(2).alias("halves"))
-            for side in ("a", "b"):
-                pairs = pairs.join(into, F.col(side) == F.col("was"), "left").withColumn(side, F.coalesce("now", side)).drop("was", "now")
-            pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
-            halves = lambda side: size.select(F.col("id").alias(side), F.col("halves").alias(f"h{side}"))
-            full = F.coalesce("ha", F.lit(1)) * F.coalesce("hb", F.lit(1))
-            pairs = cut(pairs.join(halves("a"), "a", "left").join(halves("b"), "b", "left").where(F.col("n") == full).select("a", "b", "s"))
-        else:
-            moved = state.join(into, F.col("id") == F.col("was"), "left").withColumn("id", F.coalesce("now", "id"))
-            weighted = F.transform("v", lambda x: x * F.col("n"))
-            both = moved.groupBy("id").agg(F.first("g").alias("g"), F.sum("n").alias("size"), F.collect_list(weighted).alias("parts"))  # one or two
-            summed = F.aggregate(F.slice("parts", 2, 1), F.get("parts", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
-            state = cut(both.select("id", F.transform(summed, lambda x: x / F.col("size")).alias("v"), "g", F.col("size").alias("n")))
+        found = best(_nearest_clusters(asked, state, threshold, linkage))
+        first = cut(found if first is None else found.unionByName(first))
+        into = mutual(first)
+        if into.isEmpty():
+            if whole:
+                return label
+            asked, first, whole = state, None, True  # nearly equal likenesses can leave a ring: all are asked once more
+            continue
+        label = moved(label, into)
+        merged = cut(state.join(first.select("id"), "id", "left_semi").join(into, F.col("id") == F.col("was"), "left").withColumn("id", F.coalesce("now", "id")).drop("was", "now"))
+        weighted = F.transform("v", lambda x: x * F.col("n"))
+        both = merged.groupBy("id").agg(F.first("g").alias("g"), F.sum("n").alias("size"), F.collect_list(weighted).alias("parts"))  # one or two
+        summed = F.aggregate(F.slice("parts", 2, 1), F.get("parts", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+        state = cut(both.select("id", F.transform(summed, lambda x: x / F.col("size")).alias("v"), "g", F.col("size").alias("n")))
+        gone = into.select(F.explode(F.array("was", "now")).alias("x"))
+        first = cut(first.join(gone, F.col("id") == F.col("x"), "left_anti").join(gone, F.col("other") == F.col("x"), "left_anti").select("id", "other"))
+        asked, whole = cut(state.join(first, "id", "left_anti").select("id", "v", "g", "n")), False
+
+
+def merged_of(f: pd.DataFrame, least: float, linkage: str) -> pd.DataFrame:
+    """(was, now): the clusters (id, v, n) of one group that end in another, merged a pair at a time."""
+    f = f.sort_values("id")
+    score, ids, n, m = _dots if linkage == "average" else _ward, f.id.to_numpy(), f.n.to_numpy(float), np.stack(f.v.to_numpy()).astype(float)
+    wide = lambda at: m[at] if linkage == "average" else np.column_stack([m[at], n[at]])
+    every, into, alive = np.arange(len(ids)), np.arange(len(ids)), np.ones(len(ids), bool)
+    s = np.concatenate([np.round(score(wide(every[k : k + 512]), wide(every)), 12) for k in range(0, len(ids), 512)])
+    s[every, every] = -np.inf
+    near = s.argmax(axis=1)  # the first of equal ones, by id
+    far = s[every, near]
+    while far.max() >= least:
+        i = int(far.argmax())
+        a, b = sorted((i, int(near[i])))
+        m[a], n[a], into[b], alive[b] = (m[a] * n[a] + m[b] * n[b]) / (n[a] + n[b]), n[a] + n[b], a, False
+        row = np.where(alive, np.round(score(wide(every[a : a + 1]), wide(every))[0], 12), -np.inf)
+        row[a] = -np.inf
+        s[b], s[:, b], s[a], s[:, a] = -np.inf, -np.inf, row, row
+        again = alive & ((near == a) | (near == b))
+        again[a] = True
+        near[again] = s[again].argmax(axis=1)
+        closer = alive & ~again & ((row > far) | (row == far) & (a < near))
+        near[closer] = a
+        far = np.where(alive, s[every, near], -np.inf)
+    for k in every:  # a cluster goes into an earlier one
+        into[k] = into[into[k]]
+    return pd.DataFrame({"was": ids[~alive], "now": ids[into[~alive]]})
 
 
 def _unit_column(v: Column) -> Column:
@@ -251,22 +310,41 @@ def _pairs(unit: DataFrame, least: float) -> DataFrame:
     return cut(both.join(of("a", "ga"), "a").join(of("b", "gb"), "b").where("ga = gb").select("a", "b", "s"))
 
 
-def _nearest_clusters(state: DataFrame, least: float, linkage: str) -> DataFrame:
-    """(id, other, s): pairs of clusters of one group as alike as `least`, by blocks of their middles (id, v, g, n)."""
-    if linkage == "average":
-        found = blocked(state, state, _dots, lambda s: np.round(s, 12) >= least)
-    else:  # n and the squared length come along as two more dimensions
-        wide = state.select("id", F.concat("v", F.array("n")).alias("v"))
-
-        def ward(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-            a, b, na, nb = q[:, :-1], r[:, :-1], q[:, -1][:, None], r[:, -1][None, :]
-            apart = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
-            return 1 - np.sqrt(2 * na * nb / (na + nb) * apart) / 2
-
-        found = blocked(wide, wide, ward, lambda s: np.round(s, 12) >= least)
-    of = lambda side, name: state.select(F.col("id").alias(side), F.col("g").alias(name))
-    rows = found.select(F.col("query_id").alias("id"), F.col("id").alias("other"), F.col("similarity").alias("s"))
-    return rows.join(of("id", "ga"), "id").join(of("other", "gb"), "other").where("ga = gb").select("id", "other", "s")
+def _ward(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    a, b, na, nb = q[:, :-1], r[:, :-1], q[:, -1][:, None], r[:, -1][None, :]
+    apart = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+    return 1 - np.sqrt(2 * na * nb / (na + nb) * apart) / 2
+
+
+def best_of(q: pd.DataFrame, r: pd.DataFrame, score, least: float) -> pd.DataFrame:
+    """(id, other, s): for each row of the block q (id, v) the row of the block r of the best score, of equal ones (by 12 digits) the smallest id, if it is `least` or more."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(q) and len(r):
+        r = r.sort_values("id")
+        mine, theirs, qid, rid = np.stack(q.v.to_numpy()).astype(float), np.stack(r.v.to_numpy()).astype(float), q.id.to_numpy(), r.id.to_numpy()
+        step = max(1, CELLS // len(r))
+        for low in range(0, len(q), step):
+            s = score(mine[low : low + step], theirs)
+            s[rid[None, :] == qid[low : low + step, None]] = -np.inf
+            row, col = np.nonzero((s >= s.max(axis=1)[:, None] - 2e-12) & (s >= least - 1e-11))
+            value = np.round(s[row, col], 12)
+            order = np.lexsort((rid[col], -value, row))
+            order = order[value[order] >= least]
+            row, at = np.unique(row[order], return_index=True)
+            found.append((qid[low + row], rid[col[order[at]]], value[order[at]]))
+    return pd.DataFrame(dict(zip(("id", "other", "s"), map(np.concatenate, zip(*found)))))
+
+
+def _nearest_clusters(asked: DataFrame, state: DataFrame, least: float, linkage: str) -> DataFrame:
+    """(id, other, s): for each asked cluster (id, v, g, n) the most alike of each block of its group's, if it is as alike as `least`."""
+    score = _dots if linkage == "average" else _ward
+    v = F.col("v") if linkage == "average" else F.concat("v", F.array("n"))  # n comes along as one more dimension
+    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    sizes = cut(blocks(asked, "qs").join(blocks(state, "rs"), "g"))
+    deal = lambda df, own, other, of, across: df.select(F.col("id").alias("id"), v.alias("v"), F.col("g").alias("g")).join(sizes, "g").select("id", "v", "g", F.pmod(F.xxhash64("id"), F.col(of)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(across) - 1)).alias(other))
+    by = ["g", "qb", "rb"]
+    left, right = deal(asked, "qb", "rb", "qs", "rs").select("id", "v", *by), deal(state, "rb", "qb", "rs", "qs").select("id", "v", *by)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda q, r: best_of(q, r, score, least), "id long, other long, s double")
 
 
 def cluster_facts(vectors: DataFrame, label: DataFrame, category: str | None = None, weight: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nearest neighbours by cells, sampled graphs and linkage against plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from docfathom.operators import clusters as C
@@ -108,3 +109,27 @@ def test_linkage_within_groups_and_facts(spark):
         assert np.isclose(f.confidence, pairs.mean() if len(own) > 1 else 1.0)
     with pytest.raises(ValueError, match="linkage"):
         C.linked(rows, 0.5, "median")
+
+
+def test_linkage_of_copies_takes_few_rounds(spark, monkeypatch):
+    m = np.repeat(grouped(8, 2, 1, 8, 0.3), 20, axis=0)
+    cuts, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {r.id: r.cluster for r in C.linked(vectors(spark, m), 0.9, "average").collect()}
+    assert got == plain_linkage(m, 0.9, "average") and len(cuts) < 40
+
+
+def test_a_block_gives_the_nearest_alone():
+    m = unit(grouped(9, 2, 30, 8, 0.1))
+    rows = pd.DataFrame({"id": np.arange(len(m)), "v": list(m)})
+    found = C.best_of(rows, rows, C._dots, 0.5)
+    s = m @ m.T - 2 * np.eye(len(m))
+    assert found.id.tolist() == list(range(len(m))) and found.other.tolist() == s.argmax(axis=1).tolist()
+
+
+@pytest.mark.parametrize("linkage,threshold", [("average", 0.6), ("ward", 0.45)])
+def test_linkage_in_rounds_ends_as_in_a_task(spark, monkeypatch, linkage, threshold):
+    m = grouped(5, 6, 7, 8, 0.5)
+    monkeypatch.setattr(C, "IN_TASK", 4)
+    got = {r.id: r.cluster for r in C.linked(vectors(spark, m), threshold, linkage).collect()}
+    assert got == plain_linkage(m, threshold, linkage)
