@@ -55,9 +55,9 @@ def is_test(path: Column) -> Column:
     return path.rlike(r"(?i:(^|/)(tests?|__tests__|spec)(/|$)|(^|/)test_[^/]*$|(_test|\.test|\.spec)\.\w+$)|(Test|Tests|Spec)\.\w+$")
 
 
-def parsed(code: Column, path: Column) -> Column:
-    """One struct of everything that is found in a file."""
-    lang = language(path)
+def parsed(code: Column, path: Column, lang: Column | None = None) -> Column:
+    """One struct of everything that is found in a file; lang: its language, where a column holds it."""
+    lang = language(path) if lang is None else lang
     pick = lambda p, g=1: F.array_sort(F.array_distinct(F.filter(found(code, p, g), lambda h: h != "")))
     endpoints = F.array_sort(F.array_distinct(F.filter(F.concat(found(code, ENDPOINT, 1), found(code, ENDPOINT, 2)), lambda h: h.isNotNull() & (h != ""))))
     maven = F.transform(F.arrays_zip(found(code, MAVEN, 1).alias("g"), found(code, MAVEN, 2).alias("a")), lambda d: F.concat_ws(":", d["g"], d["a"]))
@@ -112,9 +112,15 @@ def config(code: Column, path: Column) -> Column:
     mule = path.endswith("-mule.xml") | code.contains("<mule")
     camel = ~mule & (code.contains("<route") | code.contains("<camelContext"))
     kind = F.when(ext == "xml", F.when(mule, "mule").when(camel, "camel").otherwise("xml")).when(ext.isin("properties", "yml", "yaml"), "properties").when(ext == "html", "html").when(ext == "sql", "sql").otherwise("other")
+    # as the element of an array they are found once, and not for each of the fields
+    once = F.array(F.struct(kind.alias("kind"), name.alias("name"), F.when(kind == "properties", settings(code)).alias("settings")))
+    return F.get(F.transform(once, lambda x: _declared(code, x["kind"], x["name"], x["settings"])), F.lit(0))
+
+
+def _declared(code: Column, kind: Column, name: Column, lines: Column) -> Column:
     none = F.array().cast("array<string>")
     by = lambda **of: F.array_sort(reduce(lambda out, k: F.when(kind == k, of[k]).otherwise(out), of, none))
-    keyed = lambda pattern, value: F.array_distinct(F.filter(F.transform(F.filter(settings(code), lambda s: s["key"].rlike(pattern)), value), lambda v: v != ""))
+    keyed = lambda pattern, value: F.array_distinct(F.filter(F.transform(F.filter(lines, lambda s: s["key"].rlike(pattern)), value), lambda v: v != ""))
     title = F.transform(F.regexp_extract_all(code, F.lit(r"(?i)<title[^<>]*>([^<]+)<"), F.lit(1)), lambda t: F.trim(t))
     tables = F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?i)\b(?:from|join)\s+([\w.]+)"), F.lit(1)))
     exports = by(mule=attributes(code, "name", "flow"), camel=F.transform(attributes(code, "id", "route"), lambda r: F.concat(F.lit("CamelRoute:"), r)), xml=attributes(code, "id", "bean"), html=title, sql=tables)

@@ -173,3 +173,11 @@ def test_summaries_parse_a_file_once(spark, tmp_path):
     spark.createDataFrame([(1,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     plan = QUERIES["code_summaries"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("testImplementation)") == 1
+
+
+def test_files_of_a_small_table_of_parts_are_shared_out(spark, tmp_path):
+    from docfathom.plans.documents import CONFIGS, files
+
+    spark.range(40).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert files(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert files(spark, str(tmp_path), CONFIGS).where("code like '%#%' or path like '%#%'").isEmpty()
