@@ -178,3 +178,21 @@ def test_references(spark):
 
 def test_catalogue():
     assert len(QUERIES) >= 100 and set(ORACLES) <= set(QUERIES)
+
+
+def test_expansions_give_a_block_of_candidates_no_more_than_k(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    m = np.concatenate([r.normal(size=(60, 6)), np.zeros((1, 6))])
+    m[7], m[8], m[9] = m[3], -m[3], 2 * m[3]
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "id long, v array<double>")
+    ratio = lambda a, b: 1 - np.linalg.norm(a - b) / np.linalg.norm(a + b) if np.any(a + b) else np.nan
+    want = {}
+    for q in range(0, 61, 3):
+        s = [(-round(ratio(m[q], m[i]), 12), i) for i in range(61) if i != q and np.isfinite(ratio(m[q], m[i]))]
+        want |= {(q, i): -x for x, i in sorted(s)[:4] if -x >= 0.1}
+    made, top = [], V.top
+    monkeypatch.setattr(V, "BLOCK", 32)
+    monkeypatch.setattr(V, "top", lambda df, *a: made.append(df.count()) or top(df, *a))
+    got = {(x.term, x.other): x.similarity for x in V.expansions(rows.where("id % 3 = 0"), rows, 4, 0.1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert made[0] <= 21 * 4 * 2
