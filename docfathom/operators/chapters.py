@@ -8,9 +8,10 @@ over the lines of one document, which a task holds; a document of more than MOST
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 MOST, ALIKE = 5_000, 0.5
 #: Likeness of a title to one that differs, if both have the same number.
 SAME_NUMBER = 0.55
+#: Documents whose lines a task holds as objects at once.
+DOCUMENTS = 256
 CONTENTS = r"^(?:(?i:chapter|section|part)[ \t]+)?([0-9]{1,3}|[IVXLC]{1,7})?[.:)]?[ \t]*(\S.*?)[ \t]*(?:\.{2,}|…|[ \t]{2,}|\t)[ .\t]*([0-9]{1,4})$"
 HEADING = r"^(?:(?i:chapter|section|part)[ \t]+([0-9]{1,3}|[IVXLC]{1,7})[.:)]?[ \t]*(.*)|([0-9]{1,3})[.)]?[ \t]+(\p{Lu}.*))$"
 LONGEST_HEADING = 120
@@ -75,17 +78,29 @@ def aligned(s: np.ndarray) -> list[int]:
 def located(listed: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line, number, title, page, heading_line): the heading of each contents line, or null."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if max(len(a), len(b)) > MOST:
-            raise ValueError("a document with too many lines that look like chapters")
-        a, b = a.sort_values("line", ignore_index=True), b.sort_values("line", ignore_index=True)
-        at = aligned(likeness(list(zip(a.number, a.title, strict=True)), list(zip(b.number, b.title, strict=True)))) if len(a) and len(b) else [-1] * len(a)
-        return a.assign(heading_line=pd.array([int(b.line[j]) if j >= 0 else None for j in at], "Int32"))[[key, "line", "number", "title", "page", "heading_line"]]
-
-    kind = dict(listed.dtypes)[key]
-    left = listed.select(*[F.col(c).alias(c) for c in (key, "line", "number", "title", "page")]).groupBy(key)
-    right = found.select(*[F.col(c).alias(c) for c in (key, "line", "number", "title")]).groupBy(key)
-    return left.cogroup(right).applyInPandas(lambda a, b: run(a, b), f"{key} {kind}, line int, number string, title string, page int, heading_line int")
+    # a row a document: many documents come in a batch
+    lines = lambda df, name, *fields: df.groupBy(F.col(key).alias(f"_{name}")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    both = lines(listed, "listed", "line", "number", "title", "page").join(lines(found, "found", "line", "number", "title"), F.col("_listed").eqNullSafe(F.col("_found")), "left")
+    rows = both.select(F.col("_listed").alias(key), "listed", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(low, DOCUMENTS)
+                at, held = [], part.column(1).to_pylist()
+                for a, b in zip(held, part.column(2).to_pylist(), strict=True):
+                    b = b or []
+                    if max(len(a), len(b)) > MOST:
+                        raise ValueError("a document with too many lines that look like chapters")
+                    named = ([(x["number"], x["title"]) for x in side] for side in (a, b))
+                    at += [b[j]["line"] if j >= 0 else None for j in aligned(likeness(*named))] if b else [None] * len(a)
+                own = np.repeat(np.arange(part.num_rows), [len(a) for a in held])
+                flat = [x for a in held for x in a]
+                fields = [("line", pa.int32()), ("number", pa.string()), ("title", pa.string()), ("page", pa.int32())]
+                columns = [part.column(0).take(pa.array(own)), *(pa.array([x[c] for x in flat], t) for c, t in fields), pa.array(at, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, *(c for c, _ in fields), "heading_line"])
+
+    return rows.mapInArrow(run, f"{key} {dict(listed.dtypes)[key]}, line int, number string, title string, page int, heading_line int")
 
 
 def chapters(docs: DataFrame, key: str = "doc_id") -> DataFrame:

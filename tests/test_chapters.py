@@ -54,3 +54,11 @@ def test_alignment_is_the_best(seed):
     pairs = [(i, j) for i, j in enumerate(got) if j >= 0]
     assert [j for _, j in pairs] == sorted({j for _, j in pairs}) and all(s[i, j] > 0 for i, j in pairs)
     assert np.isclose(sum(s[i, j] for i, j in pairs), most)
+
+
+def test_documents_are_located_many_to_a_batch(spark, capsys):
+    docs = spark.createDataFrame([(k, "Chapter 1: One ..... 9\nChapter 1: One\n") for k in (1, 2, None)] + [(3, "Chapter 2: Two ..... 4")], "doc_id long, text string")
+    out = C.located(C.contents(docs), C.headings(docs))
+    assert sorted((x.doc_id or 0, x.line, x.page, x.heading_line) for x in out.collect()) == [(0, 0, 9, 1), (1, 0, 9, 1), (2, 0, 9, 1), (3, 0, 4, None)]
+    out.explain()
+    assert "FlatMap" not in capsys.readouterr().out  # no call of Python for each document
