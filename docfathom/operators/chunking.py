@@ -154,12 +154,18 @@ def read_page(html: str | None) -> Page:
     return page
 
 
-def html_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, text, n_tables, links) of rows (key, html)."""
+#: Pages that a task holds as read at once.
+PAGES = 64
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+
+def read_pages(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    for every in frames:
+        for low in range(0, len(every), PAGES):
+            frame = every.iloc[low : low + PAGES]
             found = [read_page(h) for h in frame.html]
             yield pd.DataFrame({key: frame[key], "text": [p.text() for p in found], "n_tables": [p.tables for p in found], "links": [p.links for p in found]})
 
-    return pages.select(key, "html").mapInPandas(run, f"{key} long, text string, n_tables int, links array<string>")
+
+def html_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, text, n_tables, links) of rows (key, html)."""
+    return pages.select(key, "html").mapInPandas(lambda frames: read_pages(frames, key), f"{key} long, text string, n_tables int, links array<string>")

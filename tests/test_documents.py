@@ -190,3 +190,13 @@ def test_boxes_of_crowded_places_meet_once(spark, monkeypatch):
     want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4])
     got = W.collisions(spark.createDataFrame(rows, "node long, x double, y double, w double, h double"), 1.0)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_few_pages_are_held_as_read():
+    import pandas as pd
+
+    from docfathom.operators import chunking as H
+
+    pages = pd.DataFrame({"page_id": range(150), "html": ["<p>one</p>"] * 150})
+    parts = list(H.read_pages(iter([pages]), "page_id"))
+    assert sum(map(len, parts)) == 150 and max(map(len, parts)) <= H.PAGES
