@@ -196,3 +196,11 @@ def test_expansions_give_a_block_of_candidates_no_more_than_k(spark, monkeypatch
     got = {(x.term, x.other): x.similarity for x in V.expansions(rows.where("id % 3 = 0"), rows, 4, 0.1).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert made[0] <= 21 * 4 * 2
+
+
+def test_counts_of_shared_values_are_in_parts_by_the_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAIRS", 10)
+    rows = spark.createDataFrame([(k, v) for v in range(4) for k in range(10)], "node long, value long")
+    edges = G.shared_value_edges(rows)
+    assert {tuple(x) for x in edges.collect()} == {(a, b, 4) for b in range(10) for a in range(b)}
+    assert edges.rdd.getNumPartitions() == 19
