@@ -73,9 +73,20 @@ def keep_newest(rows: DataFrame, by: list[str], order: list[Column], n: int) ->
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_at") <= n).drop("_at")
 
 
+#: Costs of up to twelve decimals add up exactly.
+EXACT = "decimal(28,12)"
+
+
 def budget(rows: DataFrame, by: list[str], order: list[str], cost: str, total: float, per_call: float, warn: float) -> DataFrame:
-    """Running cost of each call and whether it may go: within per_call and total; warned from that share of the total."""
-    spent = F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    """Running cost of each call and whether it may go: within per_call and total; warned from that share of the total.
+
+    Costs add up as the decimals they are written as, so that a sum of exactly a limit is on its right side; a group's sums from a
+    cost on that no decimal of EXACT holds are those of doubles.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    exact = F.col(cost).try_cast(EXACT)
+    held = F.col(cost).isNull() | F.coalesce(exact.cast("double") == F.col(cost).cast("double"), F.lit(False))
+    spent = F.when(F.min(held).over(w), F.sum(exact).over(w).cast("double")).otherwise(F.sum(cost).over(w))
     rows = rows.withColumn("spent", spent)
     return rows.withColumn("allowed", (F.col(cost) <= per_call) & (F.col("spent") <= total)).withColumn("warned", F.col("spent") >= warn * total)
 

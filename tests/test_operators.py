@@ -204,3 +204,11 @@ def test_counts_of_shared_values_are_in_parts_by_the_number_of_pairs(spark, monk
     edges = G.shared_value_edges(rows)
     assert {tuple(x) for x in edges.collect()} == {(a, b, 4) for b in range(10) for a in range(b)}
     assert edges.rdd.getNumPartitions() == 19
+
+
+def test_budget_adds_up_exactly(spark):
+    """Ten times 0.1 is 1, and not a hair less; sums of costs that are no decimals stay those of doubles."""
+    rows = spark.createDataFrame([(u, k, v) for u, v in ((1, 0.1), (2, 1e-20), (3, float("inf")), (4, None)) for k in range(10)], "u int, k int, cost double")
+    found = {(r.u, r.k): r for r in T.budget(rows, ["u"], ["k"], "cost", 1.0, 1.0, 1.0).collect()}
+    assert [found[1, k].warned for k in range(10)] == [False] * 9 + [True] and found[1, 9].allowed
+    assert abs(found[2, 9].spent - 1e-19) < 1e-25 and found[3, 0].spent == float("inf") and found[4, 9].spent is None
