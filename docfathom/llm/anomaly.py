@@ -1,12 +1,17 @@
 """Quality rules: statistics of each text, and an isolation forest over them.
 
-The forest grows on the statistics as they are, of a bounded sample of labelled documents (the smallest hashes of doc_id): random splits at random
-values, so that odd rows end on short paths. A split's statistic is drawn in proportion to what a single cut of it tells of the labels; one that
-tells nothing, such as a text's length, would isolate good rows that are merely rare. A tree sees few bad rows, so that these don't hide one another. The path length below which a document is rejected comes
-from the same rows: the cut at which the share of bad rows kept and the share of good rows lost, GOOD times as dear, are least together.
+The forest grows on the statistics as they are, of all labelled documents that pass the base rule: each tree on rows drawn among all of them by
+hashes of doc_id, as an isolation forest does, with random splits at random values, so that odd rows end on short paths. A split's statistic is
+drawn in proportion to what a single cut of it tells of the labels; one that tells nothing, such as a text's length, would isolate good rows that
+are merely rare. A tree sees few bad rows, so that these don't hide one another. What a cut tells, and the path length below which a document is
+rejected, come from counts over all labelled rows: the cut at which the share of bad rows kept and the share of good rows lost, GOOD times as
+dear, are least together.
+
+Statistics are aggregated by value in Spark and summed up in ranges of values; only the trees' rows, at most TREES * (SUBSAMPLE + 6), and sums
+come to the driver.
 
 Defined results: null text has no word and fails the base rule; texts of any length are read whole; rows that repeat
-get equal answers and count once in the forest (of texts under one doc_id the first in order); without labels of both
+get equal answers and count once in the forest (of texts under one doc_id the one of the least statistics); without labels of both
 kinds the forest rejects nothing; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
@@ -14,23 +19,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from .common import sample_by_hash
+from .common import cut, discard
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Labelled documents that the forest grows on and is calibrated by, at most.
-LABELLED = 12_000
 TREES, SUBSAMPLE = 100, 256
 #: How many times the share of bad rows kept the share of good rows lost counts.
 GOOD = 20
@@ -105,22 +108,42 @@ def telling(rows: np.ndarray, good: np.ndarray) -> np.ndarray:
         held = np.cumsum(~good[order])[:-1]
         rest = (below * doubt(held / below) + (n - below) * doubt((bad - held) / (n - below))) / n
         gained[k] = np.max(doubt(bad / n) - rest, where=values[order][1:] > values[order][:-1], initial=0.0)
+    return relative(gained)
+
+
+def relative(gained: np.ndarray) -> np.ndarray:
     return np.where(gained >= TELLING * gained.max(), gained / gained.max(), 0.0) if gained.max() > 0 else np.ones(len(gained))
 
 
+def rare_rows(usual: int, rare: int) -> int:
+    """Bad rows of a tree with so many good ones."""
+    return min(rare, math.ceil(RARE * usual))
+
+
 class Forest:
     """Trees as flat arrays; a leaf adds the mean path of an unbuilt tree over its rows. A split's statistic is drawn by the weights."""
 
     def __init__(self, rows: np.ndarray, weights: np.ndarray | None = None, good: np.ndarray | None = None, seed: int = 7):
         random = np.random.default_rng(seed)
-        self.weights = np.ones(rows.shape[1]) if weights is None else weights
-        self.trees = []
         usual, rare = np.flatnonzero(np.ones(len(rows), bool) if good is None else good), np.flatnonzero(np.zeros(len(rows), bool) if good is None else ~good)
-        for _ in range(TREES if len(rows) else 0):
+
+        def picked() -> np.ndarray:
             some = random.choice(usual, min(SUBSAMPLE, len(usual)), replace=False)
-            picked = rows[np.append(some, random.choice(rare, min(len(rare), -int(-RARE * len(some) // 1)), replace=False))]
-            self.trees.append(self.grow(picked, random, int(np.ceil(np.log2(max(2, len(picked)))))))
-        self.scale = self.mean_path(min(SUBSAMPLE, max(2, len(rows))))
+            return rows[np.append(some, random.choice(rare, rare_rows(len(some), len(rare)), replace=False))]
+
+        self.plant((picked() for _ in range(TREES if len(rows) else 0)), np.ones(rows.shape[1]) if weights is None else weights, len(rows), random)
+
+    @classmethod
+    def of(cls, parts: Iterable[np.ndarray], weights: np.ndarray, n: int, seed: int = 7) -> Forest:
+        """A tree for each part, rows drawn among n."""
+        out = cls.__new__(cls)
+        out.plant(parts, weights, n, np.random.default_rng(seed))
+        return out
+
+    def plant(self, parts: Iterable[np.ndarray], weights: np.ndarray, n: int, random) -> None:
+        self.weights = weights
+        self.trees = [self.grow(part, random, int(np.ceil(np.log2(max(2, len(part)))))) for part in parts]
+        self.scale = self.mean_path(min(SUBSAMPLE, max(2, n)))
 
     @staticmethod
     def mean_path(n: int) -> float:
@@ -189,13 +212,90 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """The forest and its threshold, from at most LABELLED documents, as far as they pass the base rule."""
-    known = sample_by_hash(labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)"), "doc_id", LABELLED)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known.groupBy("doc_id").agg(F.min("y").alias("y"))), "doc_id")
-    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # rows may repeat
+    """The forest and its threshold, from all labelled documents, as far as they pass the base rule."""
+    return fitted(measured(docs, []), labels, label)
+
+
+def fitted(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """fit() of what measured() gives."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     passed = f"base[0] >= {MIN_WORDS} and 100 * base[4] <= {MAX_REPEAT_PERCENT} * base[0]"
-    rows = measured(texts, ["y"]).where(passed).select("doc_id", "y", "odd").toPandas().sort_values("doc_id")
-    return grown(np.array(rows.odd.tolist(), float), rows.y.to_numpy() == 1)
+    once = stats.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("base", "odd")).alias("s")).select("doc_id", "y", "s.*")  # rows may repeat
+    rows = cut(once.where(passed).select("doc_id", "y", "odd"), "labelled", large=True)
+    n, good = (x or 0 for x in rows.agg(F.count(F.lit(1)), F.sum("y")).first())
+    if good in (0, n):
+        discard(rows)
+        return Model(Forest(np.empty((0, 1))), -1.0)
+    forest = Forest.of(drawn(rows, good, n - good), told(rows, n, n - good), n)
+    limit = best_cut(rows, forest, good, n - good)
+    discard(rows)
+    return Model(forest, limit)
+
+
+def up_to(counts: DataFrame) -> DataFrame:
+    """counts (k, value, n, bad), a row for each value of k, with the sums `below` and `held` of n and bad over the values up to its own.
+
+    Values are parted by ranges: sums of whole ranges, then of the values in each, so that no k goes through one task.
+    """
+    placed = cut(counts.repartitionByRange("k", "value").withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("k", "range").agg(F.sum("n").alias("n0"), F.sum("bad").alias("bad0"))
+    sums = sums.select("k", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n0", "bad0")])
+    own = Window.partitionBy("k", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(sums), ["k", "range"]).select("k", "value", (F.col("n0") + F.sum("n").over(own)).alias("below"), (F.col("bad0") + F.sum("bad").over(own)).alias("held"))
+
+
+def told(rows: DataFrame, n: int, bad: int) -> np.ndarray:
+    """telling() of rows (y, odd) in Spark."""
+
+    def doubt(p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return -(p * F.ln(p) + (1 - p) * F.ln(1 - p))
+
+    values = rows.select(F.posexplode("odd").alias("k", "value"), (1 - F.col("y")).alias("bad"))
+    sums = up_to(values.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))).where(F.col("below") < n)
+    rest = (F.col("below") * doubt(F.col("held") / F.col("below")) + (n - F.col("below")) * doubt((bad - F.col("held")) / (n - F.col("below")))) / n
+    gained = np.zeros(rows.select(F.size("odd")).first()[0])
+    for k, most in sums.groupBy("k").agg(F.max(doubt(F.lit(bad / n)) - rest)).collect():
+        gained[k] = max(0.0, most)
+    return relative(gained)
+
+
+def drawn(rows: DataFrame, good: int, bad: int) -> list[np.ndarray]:
+    """The rows of each tree: of all good rows and of all bad ones those of the smallest hashes of doc_id and the tree's number."""
+    sizes = {1: (min(SUBSAMPLE, good), good), 0: (rare_rows(min(SUBSAMPLE, good), bad), bad)}
+    # little more than a tree's rows are under the bound, whatever the table's size
+    bound = {y: min((1 << 63) - 1, int((2 * min(1.0, (size + 10 * size**0.5) / n) - 1) * (1 << 63))) for y, (size, n) in sizes.items()}
+    by_label = lambda of: F.when(F.col("y") == 1, of[1]).otherwise(of[0])
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("doc_id", t).alias("h")))
+    near = rows.select("doc_id", "y", "odd", F.explode(F.filter(hashes, lambda x: x["h"] <= by_label(bound))).alias("x")).select("x.*", "doc_id", "y", "odd")
+    place = F.row_number().over(Window.partitionBy("tree", "y").orderBy("h", "doc_id"))
+    found = near.withColumn("place", place).where(F.col("place") <= by_label({y: size for y, (size, _) in sizes.items()})).select("tree", "odd").toPandas()
+    return [np.array(part.tolist(), float) for _, part in found.groupby("tree")["odd"]]
+
+
+def best_cut(rows: DataFrame, forest: Forest, good: int, bad: int, dear: float = GOOD) -> float:
+    """threshold() of the paths of rows (y, odd), with rows of both kinds, in Spark."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.paths(table_of(batch.column(1))))], names=["bad", "value"])
+
+    paths = rows.select((1 - F.col("y")).alias("bad"), "odd").mapInArrow(run, "bad int, value double")
+    sums = cut(up_to(paths.groupBy(F.lit(0).alias("k"), "value").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))), "paths")
+    cost = 1 - F.col("held") / bad + dear * (F.col("below") - F.col("held")) / good
+    least, value = sums.agg(F.min(F.struct(cost.alias("cost"), "value")).alias("x")).select("x.*").first()
+    after = sums.where(F.col("value") > value).agg(F.min("value")).first()[0]
+    discard(sums)
+    return (value + (value if after is None else after)) / 2 if least < 1 else -1.0
+
+
+def table_of(column: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of an array."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def grown(values: np.ndarray, good: np.ndarray) -> Model:
@@ -208,17 +308,23 @@ def grown(values: np.ndarray, good: np.ndarray) -> Model:
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, path)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return judged(measured(docs, []), model)
+
+
+def judged(stats: DataFrame, model: Model) -> DataFrame:
+    """judge() of what measured() gives."""
+    shared = stats.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, cut = shared.value
+        forest, limit = shared.value
         for batch in batches:
-            found = [statistics(t) for t in batch.column(1).to_pylist()]
-            base = np.array([b for b, _ in found], np.int64).reshape(len(found), 5)
-            paths = forest.paths(np.array([o for _, o in found], float)) if found and forest.trees else np.ones(len(found))
+            if not batch.num_rows:
+                continue
+            base = table_of(batch.column(1))
+            paths = forest.paths(table_of(batch.column(2))) if forest.trees else np.ones(len(base))
             failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & (paths >= cut)), pa.array(paths)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(base[:, k])) for k in range(5)), pa.array(failed), pa.array(~failed & (paths >= limit)), pa.array(paths)], names=names)
 
     fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, path double"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, fields)
+    return stats.select("doc_id", "base", "odd").mapInArrow(run, fields)

@@ -190,3 +190,20 @@ def test_forest_on_rows_held_out():
         model = anomaly.grown(values[some], good[some])
         odd = model.forest.paths(values[rest]) < model.cut
         assert odd[~good[rest]].mean() >= 0.95 and odd[good[rest]].mean() <= 0.01, n
+
+
+def test_rules_learn_from_all_labels(spark):
+    """What cuts tell, the trees' rows and the threshold come from more rows than any bounded sample held, and are those of all rows in memory."""
+    n = 15_000
+    random = np.random.default_rng(17)
+    good = random.uniform(size=n) < 0.9
+    odd = np.round(random.normal(0, 1, (n, 3)) + np.outer(~good, [2.5, 0, 0.5]), 2)
+    stats = spark.createDataFrame(pd.DataFrame({"doc_id": range(n), "base": [[50, 200, 0, 0, 0]] * n, "odd": odd.tolist()})).repartition(7)
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": range(n), "quality": good.astype(int)}))
+    rows = stats.join(labels.withColumnRenamed("quality", "y"), "doc_id")
+    assert np.allclose(anomaly.told(rows, n, int((~good).sum())), anomaly.telling(odd, good), atol=1e-9)
+    parts = anomaly.drawn(rows, int(good.sum()), int((~good).sum()))
+    assert [len(p) for p in parts] == [anomaly.SUBSAMPLE + 6] * anomaly.TREES
+    forest, limit = anomaly.fitted(stats, labels)
+    assert limit == anomaly.threshold(forest.paths(odd), good)
+    assert anomaly.judged(stats, anomaly.Model(forest, limit)).where("not kept").count() == (forest.paths(odd) < limit).sum()
