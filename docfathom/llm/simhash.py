@@ -8,8 +8,8 @@ its pairs: the number of links grows with the fingerprints and not with the squa
 segment tables would gather every fingerprint that shares a segment, which near copies by the thousand all do.
 
 similar_documents() serves a similarity of word shingles, such as 0.8 over five words, which two bits of a SimHash
-cannot: such texts differ in about ten of 64 bits. Its candidates are MinHash bands, alike at every table size, and
-whole sets then decide by exact Jaccard similarity.
+cannot: such texts differ in about ten of 64 bits. It links all texts whose fingerprints are within two bits, and besides
+those that MinHash bands, alike at every table size, make candidates and whose whole sets decide by exact Jaccard similarity.
 
 Defined results: null text counts as empty; texts without a word have fingerprint zero and are linked like any other;
 rows that repeat get equal answers; an empty table gives no rows; other columns never meet internal names.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BANDS, LANES, components, cut, discard, linked_components, shared, sorted_distinct
+from .common import BANDS, LANES, components, cut, discard, linked_components, merged, shared, sorted_distinct
 
 SEED = 42
 SHINGLE = 3
@@ -150,17 +150,32 @@ def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(texts: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of ids of texts (id, text) that connect all whose fingerprints are within two bits: texts of one fingerprint by its smallest id."""
+    fps = cut(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), shingle), "fingerprints", large=True)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    same = fps.join(first, "fp").where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    of = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"id_{side}"))
+    near = near_fingerprints(fps).join(of("a"), "a").join(of("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    links = cut(same.unionAll(near), "links", large=True)
+    discard(fps)
+    return links
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, comp) of the texts that are linked to another: id is xxhash64 of the text, comp the smallest linked id.
 
-    Candidates come from linked_components(); texts of any length compare by exact Jaccard similarity.
+    Texts are linked by SimHash, whose links are complete, and by exact Jaccard similarity of those that linked_components() makes candidates.
     """
     text = F.coalesce("text", F.lit(""))
     texts = cut(docs.select(F.xxhash64(text).alias("id"), text.alias("text")).dropDuplicates(["id"]), "texts", bucket_by="id")
+    links = fingerprint_links(texts, shingle)
     sigs = cut(signatures(texts, shingle), "signatures", bucket_by="id")
     found = linked_components(sigs, lambda pairs: jaccard(pairs, texts, shingle, least))
     discard(sigs)
     discard(texts)
+    found = found if links.isEmpty() else merged(found, links)
+    discard(links)
     return found.withColumnRenamed("node", "id")
 
 

@@ -93,3 +93,12 @@ def test_keep_one_finds_contiguous_edits(docs_of):
     kept = {r.doc_id for r in simhash.keep_one(docs_of(base + copies)).collect()}
     assert set(range(200)) <= kept
     assert not similar & kept and not ({200 + k for k in range(200)} - similar) - kept
+
+
+def test_keep_one_links_by_fingerprints(docs_of):
+    """Texts of one fingerprint, or of two that are two bits apart, are near copies whatever their sets of shingles have in common."""
+    long = prose(5, 9) + " "
+    texts = [long * 60 + prose(6, 12), long * 60 + prose(7, 12), prose(8, 200), prose(9, 200)]
+    fps = [simhash.majority(simhash.shingle_hashes(simhash.words_of(t), 5)) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and jaccard(texts[0], texts[1]) < 0.5
+    assert sorted(r.doc_id for r in simhash.keep_one(docs_of(texts)).collect()) == [0, 2, 3]
