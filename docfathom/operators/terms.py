@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, ngrams, query_tokens
+from ..session import cut
 from .keyword import EPSILON, K1
 
 STOPS = frozenset(STOP_WORDS)
@@ -39,14 +40,22 @@ def plausible(word: str) -> bool:
     return letters < 4 or 0.25 <= sum(c in "aeiou" for c in word) / letters <= 0.65
 
 
-def counted_terms(text: str) -> Counter:
-    """Runs of one to LONGEST words and how often each is there: stop words are left out before runs are made, and runs with an implausible word after."""
-    toks = [t for t in TOKENS.findall(text.lower()) if len(t) >= 2 and t not in STOPS and "a" <= t[0] <= "z"]
-    fine = {t: plausible(t) and not re.search(ADDRESS, t) for t in set(toks)}
-    out: Counter = Counter(t for t in toks if fine[t] and len(t) >= 3)
-    for n in range(2, LONGEST + 1):
-        good = [fine[t] for t in toks]
-        out.update(" ".join(toks[k : k + n]) for k in range(len(toks) - n + 1) if all(good[k : k + n]))
+def counted_terms(text: str, least: int = 1) -> Counter:
+    """Runs of one to LONGEST words and how often each is there: stop words are left out before runs are made, and runs with an implausible word after,
+    or with a word that is there less than `least` times."""
+    toks = [t for t in TOKENS.findall(text.lower()) if len(t) >= 2 and "a" <= t[0] <= "z" and t not in STOPS]
+    held = Counter(toks)
+    fine = {t for t, f in held.items() if f >= least and plausible(t) and not re.search(ADDRESS, t)}
+    out = Counter({t: held[t] for t in fine if len(t) >= 3})
+    run: list[str] = []
+    for t in [*toks, ""]:
+        if t in fine:
+            run.append(t)
+            continue
+        if len(run) > 1:
+            for n in range(2, LONGEST + 1):
+                out.update(map(" ".join, zip(*[run[k:] for k in range(n)], strict=False)))
+        run = []
     return out
 
 
@@ -58,7 +67,7 @@ def scored_terms(text: str, least: int = MIN_FREQUENCY, most: int = MOST_TERMS)
     hold, more for phrases. The keyword rank is that of a search for the term among the text's own terms, each there up to
     three times.
     """
-    found = counted_terms(text)
+    found = counted_terms(text, least)  # a term that counts has no rarer word
     common = {t for t, f in found.items() if " " not in t and f >= max(3, least)}
     kept = {t: f for t, f in found.items() if f >= least or " " in t and all(w in common for w in t.split(" "))}
     if not kept:
@@ -113,10 +122,13 @@ def without_parts(terms: DataFrame, by: list[str]) -> DataFrame:
 
 def related(terms: DataFrame, by: list[str], k: int = 5) -> DataFrame:
     """(by..., term, related): up to k other terms that share a word, in order of name."""
-    words = terms.select(*by, "term", F.explode(F.array_distinct(F.split("term", " "))).alias("word"))
-    pairs = words.join(words.select(*by, "word", F.col("term").alias("other")), [*by, "word"]).where("term <> other").select(*by, "term", "other").distinct()
-    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "term").orderBy("other"))).where(F.col("_n") <= k)
-    return first.groupBy(*by, "term").agg(F.array_sort(F.collect_list("other")).alias("related"))
+    words = terms.select(*by, "term", F.explode(F.split("term", " ")).alias("word")).distinct()
+    # of the terms of a word one more than k are enough: one of them may be the term itself
+    same = Window.partitionBy(*by, "word").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = words.select(*by, "term", F.array(*[F.nth_value("term", n).over(same) for n in range(1, k + 2)]).alias("others"))
+    others = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("others")))))
+    found = near.groupBy(*by, "term").agg(others.alias("others"))
+    return found.select(*by, "term", F.slice(F.filter("others", lambda x: x != F.col("term")), 1, k).alias("related")).where(F.size("related") > 0)
 
 
 #: A score halves with each later text: those before the last so many weigh nothing in a double.
@@ -125,6 +137,7 @@ LAST = 64
 
 def store(found_terms: DataFrame) -> DataFrame:
     """(term, frequency, docs, score) over texts: frequencies add up, scores meet pairwise in order of doc_id, docs counts texts."""
+    found_terms = cut(found_terms.select("term", "doc_id", "frequency", "relevance"))  # made once, and gone through twice
     order = Window.partitionBy("term").orderBy(F.desc("doc_id"))
     late = found_terms.select("term", "doc_id", "relevance", F.row_number().over(order).alias("j")).where(F.col("j") <= LAST)
     rows = found_terms.groupBy("term").agg(F.sum("frequency").alias("frequency"), F.count(F.lit(1)).alias("docs"))
