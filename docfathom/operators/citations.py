@@ -98,39 +98,46 @@ def heading(line: Column) -> Column:
     return F.lower(F.trim(line)).rlike(rf"^(?:#+ *|\d+(?:\.\d+)*\.? +|chapter \d+[.: ]+)?(?:{'|'.join(HEADINGS)})\s*:?$")
 
 
-def line_scores(lines: Column) -> Column:
-    """Of each line the scores of the states OUTSIDE, FIRST and FURTHER, and what it costs to leave an entry before it, as one array a line."""
+def line_marks(lines: Column) -> Column:
+    """Of each line which of the tests that line_scores() takes hold, a bit each: every pattern is tried once a line."""
 
-    def score(line: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(lines, i - 1)).otherwise("")
-        one = lambda test, n: F.when(test, float(n)).otherwise(0.0)
+    def marks(line: Column) -> Column:
         number, author, year, name = line.rlike(NUMBER), line.rlike(f"^\\s*(?:{AUTHOR})"), line.rlike(DATED), line.rlike(IDENTIFIER)
-        body, small, going = line.rlike(f"^\\s*(?:{BODY})"), line.rlike(r"^\s*[\p{Ll}\d&(]"), before.rlike(r"(?:[,&;:-]|\band|\bIn)\s*$")
-        dated, blank, tail, unfinished = line.rlike(YEAR), F.trim(line) == "", line.rlike(TAIL), ~before.rlike(r"[.!?)\]\d/]\s*$") & (F.trim(before) != "")
-        ended = F.lower(F.trim(line)).rlike(rf"^(?:{'|'.join(ENDINGS)})(?:s|y|ies)?\b(?!,)") & (F.length(line) <= 60) & ~name & ~year
-        undated = before.rlike(f"{NUMBER}|^\\s*(?:{AUTHOR})") & ~before.rlike(YEAR) & ~before.rlike(IDENTIFIER)  # the entry before can't end here
-        outside = one(~dated & ~name & ~number & ~author & ~tail, 1) + one(ended | heading(line), 6) + one(blank, 2) - one(year, 2) - one(name, 3)
-        first = one(number, 4) + one(author, 3) + one(body, 3) + one(year, 2) + one(dated, 1) - one(small & ~number, 4) - one(going, 5) - one(undated & ~number, 3) - one(blank, 20) - one(heading(line), 20) - 2
-        further = one((small | unfinished) & ~number, 1) + one(name & ~author & ~number, 2) + one(tail, 1) + one(going, 3) - one(number, 4) - one(author & ~going, 3) - one(body & ~going, 2) - one(heading(line), 20)
-        return F.array(outside, first, further, one(unfinished & ~ended & ~heading(line), 3))
+        body, small, going = line.rlike(f"^\\s*(?:{BODY})"), line.rlike(r"^\s*[\p{Ll}\d&(]"), line.rlike(r"(?:[,&;:-]|\band|\bIn)\s*$")
+        dated, blank, tail, unfinished = line.rlike(YEAR), F.trim(line) == "", line.rlike(TAIL), ~line.rlike(r"[.!?)\]\d/]\s*$")
+        ending = F.lower(F.trim(line)).rlike(rf"^(?:{'|'.join(ENDINGS)})(?:s|y|ies)?\b(?!,)") & (F.length(line) <= 60)
+        tests = (number, author, year, name, body, small, going, dated, blank, tail, unfinished, ending, heading(line))
+        return reduce(lambda x, y: x + y, [F.when(test, 1 << n).otherwise(0) for n, test in enumerate(tests)])
 
-    return F.transform(lines, score)
+    return F.transform(lines, marks)
+
+
+def line_scores(marks: np.ndarray) -> np.ndarray:
+    """Of line_marks() the scores of each line for the states OUTSIDE, FIRST and FURTHER, and what it costs to leave an entry before it."""
+    number, author, year, name, body, small, ends_going, dated, blank, tail, ends_open, ending, head = (marks >> np.arange(13)[:, None] & 1).astype(bool)
+    after = lambda x: np.append(False, x[:-1])  # noqa: E731  of the line before
+    going, unfinished = after(ends_going), after(ends_open & ~blank)
+    undated = after((number | author) & ~dated & ~name)  # the entry before can't end here
+    ended = ending & ~name & ~year
+    outside = 1.0 * (~dated & ~name & ~number & ~author & ~tail) + 6 * (ended | head) + 2 * blank - 2 * year - 3 * name
+    first = 4.0 * number + 3 * author + 3 * body + 2 * year + dated - 4 * (small & ~number) - 5 * going - 3 * (undated & ~number) - 20 * blank - 20 * head - 2
+    further = 1.0 * ((small | unfinished) & ~number) + 2 * (name & ~author & ~number) + tail + 3 * going - 4 * number - 3 * (author & ~going) - 3 * (body & ~going) - 20 * head
+    return np.stack([outside, first, further, 3.0 * (unfinished & ~ended & ~head)], axis=1)
 
 
 def best_path(scores: np.ndarray) -> np.ndarray:
     """The states of the lines (n by 4: scores, and what leaving an entry costs) whose sum is highest; it begins outside, and of paths alike the one of smaller states."""
-    n = len(scores)
-    back = np.zeros((n, 3), np.int8)
-    at = np.array([0.0, -np.inf, -np.inf])
-    for k in range(n):
-        ways = at[:, None] + STEPS
-        ways[FIRST:, OUTSIDE] -= scores[k, 3]
-        back[k] = ways.argmax(axis=0)
-        at = ways.max(axis=0) + scores[k, :3]
-    path = np.zeros(n, np.int8)
-    state = int(at.argmax())
-    for k in range(n - 1, -1, -1):
-        path[k], state = state, int(back[k, state])
+    (oo, of, _), (fo, ff, fg), (go, gf, gg) = STEPS.tolist()
+    back, a, b, c = [], 0.0, -np.inf, -np.inf  # the best sums of paths that end outside, on a first and on a further line
+    for outside, first, further, leave in scores.tolist():
+        x, y, z = (a + oo, b + fo - leave, c + go - leave), (a + of, b + ff, c + gf), (-np.inf, b + fg, c + gg)
+        m, n, p = max(x), max(y), max(z)
+        back.append((x.index(m), y.index(n), z.index(p)))
+        a, b, c = m + outside, n + first, p + further
+    path = np.zeros(len(back), np.int8)
+    state = (a, b, c).index(max(a, b, c))
+    for k in range(len(back) - 1, -1, -1):
+        path[k], state = state, back[k][state]
     return path
 
 
@@ -139,7 +146,7 @@ def _spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def spans(scores) -> list[dict]:
         if scores is None or not len(scores):
             return []
-        path = best_path(np.array([np.asarray(s, float) for s in scores]))
+        path = best_path(line_scores(np.asarray(scores, np.int64)))
         starts = np.flatnonzero(path == FIRST)
         ends = np.flatnonzero((path != FURTHER) & (np.arange(len(path)) > 0))
         after = np.append(ends, len(path))[np.searchsorted(ends, starts, side="right")]
@@ -180,7 +187,7 @@ def reference_entries(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     at = F.regexp_instr("_t", F.lit(any_heading))
     lines = F.split(parted(F.replace(F.substring(F.col("_t"), at, F.length("_t")), F.lit("\r"), F.lit(""))), "\n")
     rows = headed.select(key, lines.alias("_lines"))
-    rows = rows.withColumn("_spans", _spans(line_scores(F.col("_lines"))))
+    rows = rows.withColumn("_spans", _spans(line_marks(F.col("_lines"))))
     entry = lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), spaced(F.array_join(F.slice("_lines", s["first"] + 1, s["last"] - s["first"] + 1), " ")).alias("raw"))
     fine = lambda e: reference_like(e["raw"]) & ~malformed_author(e["raw"]) & ~orphan_journal(e["raw"])
     heads = F.filter(F.transform("_lines", lambda line, i: F.when(heading(line), i)), lambda i: i.isNotNull())

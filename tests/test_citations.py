@@ -107,3 +107,10 @@ def test_best_path():
         best = max(itertools.product(range(3), repeat=n), key=value)
         assert tuple(C.best_path(scores)) == best
     assert len(C.best_path(np.zeros((0, 4)))) == 0
+
+
+def test_patterns_are_tried_once_a_line(spark):
+    assert C.line_marks(F.col("lines"))._jc.toString().lower().count("rlike") <= 13
+    lines = spark.createDataFrame([(["References", "Smith, J. (1999). On", "trees. Wiley, 3(1).", ""],)], "lines array<string>")
+    scores = C.line_scores(np.array(lines.select(C.line_marks(F.col("lines"))).first()[0]))
+    assert scores.shape == (4, 4) and list(C.best_path(scores)) == [0, 1, 2, 0]
