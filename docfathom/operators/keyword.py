@@ -7,6 +7,11 @@ broadcast only as such; a table of queries joins by term.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +22,33 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_QUERIES = 1000
 #: Terms that are looked for token by token; more of them join as rows.
 MAX_TERMS = 2000
+#: Postings of a row of an index, windows of documents for each share of a part, and windows of a term that go to one task.
+BLOCK, SHARE, SPAN = 1024, 4096, 16384
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", toks=tokens) -> DataFrame:
     """(doc_id, term, tf, doc_length): tf counts the term, doc_length all tokens of the document."""
-    rows = docs.select(F.col(key).alias("doc_id"), toks(F.col(text)).alias("t")).select("doc_id", F.size("t").alias("doc_length"), F.explode("t").alias("term"))
-    return rows.groupBy("doc_id", "term", "doc_length").agg(F.count(F.lit(1)).alias("tf"))
+    rows = docs.select(F.col(key).alias("doc_id"), toks(F.col(text)).alias("t")).select("doc_id", F.size("t").alias("doc_length"), F.explode_outer("t").alias("term"))
+    # explode() would have texts without a token left out before, by tokenising all texts once more
+    return rows.where("term is not null").groupBy("doc_id", "term", "doc_length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def text_postings(docs: DataFrame, text: str = "text", key: str = "doc_id", toks=tokens) -> DataFrame:
+    """postings() counted where the texts are, with no shuffle: those of rows that repeat are not added up."""
+    rows = docs.select(F.col(key).alias("doc_id"), toks(F.col(text)).alias("t"))
+    return rows.mapInArrow(_counted, f"doc_id {dict(rows.dtypes)['doc_id']}, term string, tf bigint, doc_length int")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int32)
+        coded = batch.column(1).flatten().dictionary_encode()
+        if len(coded):
+            words = len(coded.dictionary)
+            found, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * words + coded.indices.to_numpy(), return_counts=True)
+            for at in range(0, len(found), 1 << 16):
+                doc, word = np.divmod(found[at : at + (1 << 16)], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), coded.dictionary.take(pa.array(word)), pa.array(tf[at : at + (1 << 16)]), pa.array(sizes[doc])], names=["doc_id", "term", "tf", "doc_length"])
 
 
 def corpus_stats(docs: DataFrame, text: str = "text", toks=tokens) -> DataFrame:
@@ -37,7 +63,17 @@ def idf(n_docs: Column, df: Column, floor: float | None = EPSILON) -> Column:
 
 def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, occurrences, idf), idf as stored: without a floor."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")).withColumn("idf", idf(F.lit(n_docs), F.col("df"), None))
+    return with_idf(post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")), n_docs)
+
+
+def block_stats(rows: DataFrame, n_docs: int) -> DataFrame:
+    """term_stats() of blocks, which are not taken apart."""
+    held = F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)
+    return with_idf(rows.groupBy("term").agg(F.sum(F.col("n").cast("long")).alias("df"), F.sum(held).alias("occurrences")), n_docs)
+
+
+def with_idf(counts: DataFrame, n_docs: int) -> DataFrame:
+    return counts.withColumn("idf", idf(F.lit(n_docs), F.col("df"), None))
 
 
 def query_terms(queries: DataFrame, toks=tokens) -> DataFrame:
@@ -72,20 +108,78 @@ def ranked(post: DataFrame, terms: DataFrame, n_docs: Column, avg_length: Column
     return top(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def blocks(post: DataFrame, windows: int) -> DataFrame:
-    """Postings laid out in blocks: a row for each term and window of documents, with the documents in order and `impacts`, the least
-    length for each tf, which bound the score of any of them for any mean length. A window is the documents of one hash."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, windows))).cast("int").alias("window")
-    held = post.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "doc_length"))).alias("p"))
-    of = lambda tf: F.struct(tf.alias("tf"), F.array_min(F.transform(F.filter("p", lambda x: x["tf"] == tf), lambda x: x["doc_length"])).alias("doc_length"))
-    impacts = F.transform(F.array_distinct("p.tf"), of)
-    return held.select("term", "window", F.size("p").alias("n"), impacts.alias("impacts"), *[F.col(f"p.{c}").alias(c) for c in ("doc_id", "tf", "doc_length")])
+def window_of(key: str, windows: int) -> Column:
+    """A window is the documents of one hash."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, windows))).cast("int")
 
 
-def unblocked(rows: DataFrame) -> DataFrame:
-    """Blocks as postings (doc_id, term, tf, doc_length), with the other columns of the blocks but their bounds."""
-    zipped = rows.withColumn("_p", F.explode(F.arrays_zip("doc_id", "tf", "doc_length"))).drop("doc_id", "tf", "doc_length", "n", "impacts")
-    return zipped.withColumns({c: F.col(f"_p.{c}") for c in ("doc_id", "tf", "doc_length")}).drop("_p")
+def blocks(post: DataFrame, windows: int, part: Column, parts: int) -> DataFrame:
+    """Postings laid out in rows of up to BLOCK postings of a term, in the order of their windows and documents: (part, term, n, window, doc_id, tf, doc_length),
+    the last four arrays. Most terms are rare, so that they take one row and not one a window.
+
+    Postings are shuffled once. A task gets those of some terms of one of the `parts` parts (`part`, a column of numbers from 0), and of a term no more than
+    SPAN windows, so none is too frequent for it.
+    """
+    windows = max(1, windows)
+    shares = -(-windows // SHARE)
+    rows = post.select("term", window_of("doc_id", windows).alias("window"), "doc_id", F.col("doc_length").cast("int").alias("doc_length"), F.col("tf").cast("long").alias("tf"))
+    share = F.pmod(F.xxhash64("term", F.lit(1)) + F.floor(F.col("window") / SPAN), F.lit(shares)).cast("int")
+    tasks = min(parts * shares, windows)  # few documents need few
+    held = rows.repartitionById(tasks, F.pmod(part.cast("int") * shares + share, F.lit(tasks)).cast("int")).sortWithinPartitions("term", "window", "doc_id", "doc_length")
+    schema = f"term string, n int, window array<int>, doc_id array<{dict(post.dtypes)['doc_id']}>, doc_length array<int>, tf array<bigint>"
+    return held.mapInArrow(_grouped, schema).withColumn("part", part.cast("int")).sortWithinPartitions("part", "term")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in blocks; those of the last block, which the next batch may go on with, are held back."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        if rows.num_rows:
+            rows = _merged(rows)
+            first = _firsts(rows)
+            if first[-1]:
+                yield _block_rows(rows.slice(0, first[-1]), first[:-1])
+            rest = rows.slice(first[-1]).combine_chunks().to_batches()[0]
+    if rest is not None:
+        yield _block_rows(pa.Table.from_batches([rest]), np.zeros(1, np.int64))
+
+
+def _new(column: pa.ChunkedArray) -> np.ndarray:
+    """Which rows differ from those before."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    differs = pc.if_else(pc.and_(pc.is_null(a), pc.is_null(b)), False, pc.fill_null(pc.not_equal(a, b), True))
+    return np.append(True, differs.to_numpy()).astype(bool)
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Rows of equal term, document and length, as of documents that repeat, are one."""
+    first = np.flatnonzero(_new(rows.column("doc_id")) | _new(rows.column("doc_length")) | _new(rows.column("term")))
+    if len(first) == rows.num_rows:
+        return rows
+    tf = np.add.reduceat(rows.column("tf").to_numpy(), first)
+    return rows.take(pa.array(first)).set_column(rows.schema.get_field_index("tf"), "tf", pa.array(tf)).combine_chunks()
+
+
+def _firsts(rows: pa.Table) -> np.ndarray:
+    """Where blocks begin: at a new term, and after BLOCK rows of one."""
+    runs, n = np.flatnonzero(_new(rows.column("term"))), rows.num_rows
+    inside = np.arange(n) - np.repeat(runs, np.diff(np.append(runs, n)))
+    return np.flatnonzero(inside % BLOCK == 0)
+
+
+def _block_rows(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    rows, ends = rows.combine_chunks(), np.append(first, rows.num_rows)
+    terms, at = rows.column("term").take(pa.array(first)).combine_chunks(), pa.array(ends, pa.int32())
+    columns = {"term": terms, "n": pa.array(np.diff(ends), pa.int32())} | {c: pa.ListArray.from_arrays(at, rows.column(c).chunk(0)) for c in ("window", "doc_id", "doc_length", "tf")}
+    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns.values()], names=list(columns))
+
+
+def unblocked(rows: DataFrame, columns: tuple[str, ...] = ("window", "doc_id", "tf", "doc_length")) -> DataFrame:
+    """Blocks as postings, with some or all of `columns`, and the other columns of the blocks."""
+    arrays = ("window", "doc_id", "tf", "doc_length")
+    zipped = rows.withColumn("_p", F.explode_outer(F.arrays_zip(*columns))).drop(*arrays, "n")
+    return zipped.withColumns({c: F.col(f"_p.{c}") for c in columns}).drop("_p")
 
 
 def term_weight(tf: Column, length: Column, avg_length: Column) -> Column:
@@ -93,11 +187,6 @@ def term_weight(tf: Column, length: Column, avg_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
-def bound(avg_length: Column) -> Column:
-    """The most that a block's term can add for one of its documents, for each unit of idf."""
-    return F.array_max(F.transform("impacts", lambda x: term_weight(x["tf"], x["doc_length"], avg_length)))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int, floor: float | None = EPSILON, toks=tokens) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, ties by doc_id.
 

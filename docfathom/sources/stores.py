@@ -90,13 +90,14 @@ def versioned_documents(rows: DataFrame, health: str = "health_score double, val
 class KeywordIndex:
     """A persisted keyword index: blocks of postings in PARTS folders by the hash of the term, and lengths of documents, as a log of segments.
 
-    A search reads the bounds of its terms' blocks, scores the windows of the highest ones, and then those alone whose bound
+    A search bounds each window of documents by the most that each of its terms adds there, without looking at documents, scores the windows of the
+    highest bounds, and then those alone whose bound
     reaches the k-th best score found: documents of other windows can't be among the k best. It tokenises nothing but the query.
     """
 
     PARTS = 64
-    #: Documents of a window.
-    WINDOW = 64
+    #: Documents of a window, and windows of documents that a task counts the tokens of.
+    WINDOW, TASK = 64, 64
     #: Terms of all queries of a search, which are collected.
     MOST_TERMS = 100_000
 
@@ -112,9 +113,14 @@ class KeywordIndex:
     def _tables(self, docs: DataFrame, text: str, key: str) -> dict[str, DataFrame]:
         docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         windows = -(-docs.count() // self.WINDOW)
-        post = K.blocks(K.postings(docs.where("text is not null")), windows).withColumn("part", self.part("term"))
+        # texts are shuffled by document, in tasks of a bounded number of them, and their tokens are counted where they are
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-windows // self.TASK))
+        texts = docs.where("text is not null").repartition(tasks, "doc_id")
         lengths = docs.groupBy("doc_id").agg(F.sum(F.size(K.tokens(F.coalesce("text", F.lit(""))))).alias("doc_length"))
-        return {"postings": post.repartition("part").sortWithinPartitions("part", "term", "window"), "lengths": lengths}
+        return {"postings": self._blocks(K.text_postings(texts), windows), "lengths": lengths}
+
+    def _blocks(self, post: DataFrame, windows: int) -> DataFrame:
+        return K.blocks(post, windows, self.part("term"), self.PARTS)
 
     def build(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
         self.log.build(self._tables(docs, text, key))
@@ -132,8 +138,7 @@ class KeywordIndex:
         post, lengths = self.log.read("postings"), self.log.read("lengths")
         if post is not None:
             windows = -(-lengths.count() // self.WINDOW)
-            laid = K.blocks(post.select("doc_id", "term", "tf", "doc_length"), windows).withColumn("part", self.part("term"))
-            self.log.build({"postings": laid.repartition("part").sortWithinPartitions("part", "term", "window"), "lengths": lengths})
+            self.log.build({"postings": self._blocks(post.select("doc_id", "term", "tf", "doc_length"), windows), "lengths": lengths})
 
     def _of(self, terms: list[str]):
         """Keeps the blocks of terms: their folders, then their rows."""
@@ -158,7 +163,10 @@ class KeywordIndex:
         return row[0], row[1] or 0.0
 
     def term_stats(self, terms: list[str] | None = None) -> DataFrame:
-        return K.term_stats(self.postings(terms), self.stats()[0])
+        live = self.log.segments()
+        if self.log.hidden(live) is None:  # all documents of all blocks are there
+            return K.block_stats(self.log.raw("postings", live, self._of(terms) if terms is not None else None), self.stats(live)[0])
+        return K.term_stats(self.postings(terms), self.stats(live)[0])
 
     def search(self, queries: DataFrame, k: int, floor: float | None = K.EPSILON) -> DataFrame:
         """(query_id, doc_id, score, rank) of rows (query_id, query), a bounded list: the k best documents of each, ties by doc_id."""
@@ -185,13 +193,14 @@ class KeywordIndex:
         weights = self.spark.createDataFrame([(r.query_id, r.term, r.times, found[r.term]) for r in asked if r.term in found], "query_id long, term string, times long, df long")
         avg = F.lit(mean or 1.0)
         weights = F.broadcast(weights.select("query_id", "term", (K.idf(F.lit(n), F.col("df"), floor) * F.col("times")).alias("weight")))
-        held = rows.select("term", "_seg", "window", "n", "impacts").join(weights, "term")
-        tops = held.groupBy("query_id", "_seg", "window").agg(F.sum(F.col("weight") * K.bound(avg)).alias("most"), F.sum("n").alias("n")).persist()
+        value = F.col("weight") * K.term_weight(F.col("tf"), F.col("doc_length"), avg)
+        held = K.unblocked(rows.select("term", "_seg", "n", "window", "tf", "doc_length"), ("window", "tf", "doc_length")).join(weights, "term")
+        most = held.groupBy("query_id", "term", "_seg", "window").agg(F.max(value).alias("most"), F.count(F.lit(1)).alias("n"))
+        tops = most.groupBy("query_id", "_seg", "window").agg(F.sum("most").alias("most"), F.sum("n").alias("n")).persist()
 
         def scored(windows: DataFrame) -> DataFrame:
-            there = rows.join(windows.select("query_id", "_seg", "window"), ["_seg", "window"]).drop("impacts", "n").join(weights, ["query_id", "term"])
-            post = self.log.visible(K.unblocked(there), hidden)
-            value = F.col("weight") * K.term_weight(F.col("tf"), F.col("doc_length"), avg)
+            there = K.unblocked(rows).join(windows.select("query_id", "_seg", "window"), ["_seg", "window"]).join(weights, ["query_id", "term"])
+            post = self.log.visible(there, hidden)
             return post.groupBy("query_id", "doc_id").agg(F.sum(value).alias("score"))
 
         first = K.top(tops, ["query_id"], [F.desc("most"), F.asc("_seg"), F.asc("window")], k)
