@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BANDS, LANES, components, cut, discard, linked_components, merged, shared, sorted_distinct
@@ -90,20 +90,20 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = fps.select("fp").repartition(parts, "fp").distinct()  # a number keeps the partitions apart: each row becomes 65
     keyed = distinct.select("fp", F.explode(F.array(fp, *halves[0], *halves[1])).alias("z"))
-    first = keyed.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("z", "a")
-    return (keyed.join(first, "z").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
-            .where("bit_count(a ^ b) <= 2"))
+    # a point has at most 65 fingerprints; a join would broadcast a side, which Spark sizes as if nothing had been exploded
+    met = keyed.withColumn("a", F.min("fp").over(Window.partitionBy("z")))
+    return met.where("a < fp and bit_count(a ^ fp) <= 2").select("a", F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable over links of two bits."""
     fps = cut(fingerprints(docs, shingle), "fingerprints", large=True)
-    groups = components(near_fingerprints(fps))
+    groups = components(near_fingerprints(fps)).hint("merge")  # tables of a row a fingerprint or group: none goes through the driver
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     own = own.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
     own = cut(own, "groups")
-    names = own.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return fps.join(own.join(names, "comp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    names = own.groupBy("comp").agg(F.min("least").alias("component_id")).hint("merge")
+    return fps.join(own.join(names, "comp").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
