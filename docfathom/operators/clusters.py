@@ -8,19 +8,22 @@ however many of its cells are looked into. A cell or lot, however many rows it h
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, free
 from .keyword import top
 from .vectors import BLOCK, CELLS, JOIN_BLOCK, _unit, close_pairs, nearest_of
 
 #: Rows that the middles of cells are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
 MOST_CELLS = 4096
+#: Copies of rows that single linkage shuffles at a time, about.
+COPIES = 8_000_000
 #: Clusters of a group, at most, whose merges a task ends by itself.
 IN_TASK = 4096
 
@@ -198,8 +201,11 @@ def linked(vectors: DataFrame, threshold: float = 0.8, linkage: str = "average",
     to the middles, as 1 - half its root. Each round merges all clusters that are each other's nearest, which gives what
     merging one nearest pair at a time gives, ties aside. A cluster is named by its smallest id. No cluster or vocabulary goes through
     one task: nearest clusters are found by blocks of their middles, each block giving a cluster's nearest alone, or among the pairs over the
-    threshold; what is left of a group is merged in a task once it has at most IN_TASK clusters that can merge.
+    threshold; what is left of a group is merged in a task once it has at most IN_TASK clusters that can merge. Single linkage takes links
+    enough to join a cluster, and not all its pairs.
     """
+    if linkage == "single":
+        return _linked_single(vectors, threshold, by)
     unit = cut(vectors.select(F.col("id").cast("long").alias("id"), _unit_column(F.col("v")).alias("v"), (F.col(by) if by else F.lit(0)).cast("string").alias("g")))
     label = unit.select("id", F.col("id").alias("cluster"))
     best = lambda near: near.groupBy("id").agg(F.min_by("other", F.struct(-F.round("s", 12), "other")).alias("other"))
@@ -210,10 +216,6 @@ def linked(vectors: DataFrame, threshold: float = 0.8, linkage: str = "average",
     if linkage not in ("single", "complete"):
         raise ValueError("linkage is single, complete, average or ward")
     pairs = _pairs(unit, threshold)
-    if linkage == "single":
-        from .graph import components
-
-        return components(unit.select(F.col("id").alias("node")), pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     while True:
         near = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "s").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "s"))
         into = mutual(cut(best(near)))
@@ -230,6 +232,55 @@ def linked(vectors: DataFrame, threshold: float = 0.8, linkage: str = "average",
         pairs = cut(pairs.join(halves("a"), "a", "left").join(halves("b"), "b", "left").where(F.col("n") == full).select("a", "b", "s"))
 
 
+def _linked_single(vectors: DataFrame, least: float, by: str | None) -> DataFrame:
+    """linked() by the nearest pair. Rows are dealt into blocks and each two blocks meet in a task, which gives a forest of its links; pairs of blocks go in strips of
+    about COPIES rows, so what is shuffled at a time doesn't grow with the square of the table."""
+    from .graph import components
+
+    rows = cut(vectors.select(F.col("id").cast("long").alias("id"), "v", (F.col(by) if by else F.lit(0)).cast("string").alias("g")))
+    n = rows.count()
+    blocks = max(1, -(-n // JOIN_BLOCK))
+    at, wide, links = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), max(1, COPIES // max(1, n)), []
+    for low in range(0, blocks, wide):
+        other = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.least(k, "at").between(low, low + wide - 1))
+        dealt = rows.where("v is not null").withColumn("at", at).select("id", "v", "g", "at", F.explode(other).alias("k")).select("id", "v", "g", "at", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"))
+        links.append(cut(dealt.groupBy("i", "j").applyInPandas(lambda f: forest(f, least), "a long, b long")))
+        free(rows.sparkSession)
+    return components(rows.select(F.col("id").alias("node")), reduce(DataFrame.unionAll, links)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+def forest(f: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(a, b): links between the rows (id, v, g, at) of two blocks, or of one, that join all that chains of pairs of cosine `least` within a g join, and no more than do that."""
+    f = f.sort_values("at", kind="stable")
+    ids, m, g, place = f.id.to_numpy(), _unit(f.v), pd.factorize(f.g)[0], f["at"].to_numpy()
+    start = int(np.searchsorted(place, place[0], "right")) % len(f)  # where the second block begins; one block meets itself
+    small, margin = m.astype(np.float32), (m.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    label, found, step = np.arange(len(f)), [np.empty((0, 2), np.int64)], max(1, CELLS // (len(f) - start))
+    for low in range(0, start or len(f), step):
+        stop = min(low + step, start or len(f))
+        row, col = np.nonzero(small[low:stop] @ small[start:].T >= least - margin)
+        row, col = row + low, col + start
+        near = (label[row] != label[col]) & (g[row] == g[col])  # short numbers leave few out; of the others digits decide
+        row, col = row[near], col[near]
+        for k in range(0, len(row), BLOCK):
+            x, y = row[k : k + BLOCK], col[k : k + BLOCK]
+            close = np.round((m[x] * m[y]).sum(axis=1), 12) >= least
+            x, y = x[close], y[close]
+            while True:
+                apart = label[x] != label[y]
+                if not apart.any():
+                    break
+                x, y = x[apart], y[apart]
+                high, first = np.unique(np.maximum(label[x], label[y]), return_index=True)
+                found.append(np.column_stack([ids[x[first]], ids[y[first]]]))
+                into = np.arange(len(f))
+                into[high] = np.minimum(label[x], label[y])[first]
+                while (into[into] != into).any():
+                    into = into[into]
+                label = into[label]
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+
 def _linked_middles(unit: DataFrame, threshold: float, linkage: str, best, mutual, moved) -> DataFrame:
     """linked() by middles. A merged cluster is to no other one more alike than the more alike of its halves, so a cluster's nearest stays until it is merged, and a
     cluster that has none over the threshold gets none: only clusters that were merged, or whose nearest was, are asked again."""
